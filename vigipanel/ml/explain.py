@@ -109,7 +109,7 @@ def ensemble_nodes(model: GBTClassificationModel, spark) -> DataFrame:
         F.col(f"{node}.leftChild").alias("left"),
         F.col(f"{node}.rightChild").alias("right"),
         F.col(f"{node}.split.featureIndex").alias("feature"),
-        F.col(f"{node}.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get(f"{node}.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
 
 

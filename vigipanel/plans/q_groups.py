@@ -323,45 +323,48 @@ def w02(spark, sf):
 @query(
     "w03_future_target",
     f"""with {INC} select prov, maladie, debutsem, is_outbreak,
-      lead(is_outbreak, 4) over ({W}) as target_outbreak_future from labelled""",
+      cast(lead(is_outbreak, 4) over ({W}) as double) as target_outbreak_future from labelled""",
 )
 def w03(spark, sf):
     out = add_future_target(
         labelled(spark, sf), "is_outbreak", 4, KEYS, WEEK, "target_outbreak_future"
     )
-    return out.select(*ROW, "is_outbreak", "target_outbreak_future")
+    return out.select(*ROW, "is_outbreak", F.col("target_outbreak_future").cast("double"))
 
 
 @query(
     "w03_future_target_per_province",
     f"""with {INC} select prov, maladie, debutsem,
-      lead(is_outbreak, 2) over (partition by prov order by debutsem) as target_outbreak_future
+      cast(lead(is_outbreak, 2) over (partition by prov order by debutsem) as double)
+        as target_outbreak_future
     from labelled where maladie = 'MACHINERY'""",
 )
 def w03b(spark, sf):
     one = labelled(spark, sf).where("maladie = 'MACHINERY'")
     out = add_future_target(one, "is_outbreak", 2, ["prov"], WEEK, "target_outbreak_future")
-    return out.select(*ROW, "target_outbreak_future")
+    return out.select(*ROW, F.col("target_outbreak_future").cast("double"))
 
 
 @query(
     "w04_case_lags",
     f"""with {PANEL} select prov, maladie, debutsem,
-      {', '.join(f"{lag_sql('totalcas', k)} as cases_lag{k}" for k in (1, 2, 3, 4))} from panel""",
+      {', '.join(f"cast({lag_sql('totalcas', k)} as double) as cases_lag{k}" for k in (1, 2, 3, 4))}
+    from panel""",
 )
 def w04(spark, sf):
     out = add_lags(fx.panel(spark, sf), ["totalcas"], (1, 2, 3, 4), KEYS, WEEK, "cases_lag{k}")
-    return out.select(*ROW, *[f"cases_lag{k}" for k in (1, 2, 3, 4)])
+    return out.select(*ROW, *[F.col(f"cases_lag{k}").cast("double") for k in (1, 2, 3, 4)])
 
 
 @query(
     "w05_outbreak_lags",
-    f"""with {INC} select prov, maladie, debutsem, {lag_sql('is_outbreak', 1)} as outbreak_lag1,
-      {lag_sql('is_outbreak', 2)} as outbreak_lag2 from labelled""",
+    f"""with {INC} select prov, maladie, debutsem,
+      cast({lag_sql('is_outbreak', 1)} as double) as outbreak_lag1,
+      cast({lag_sql('is_outbreak', 2)} as double) as outbreak_lag2 from labelled""",
 )
 def w05(spark, sf):
     out = add_lags(labelled(spark, sf), ["is_outbreak"], (1, 2), KEYS, WEEK, "outbreak_lag{k}")
-    return out.select(*ROW, "outbreak_lag1", "outbreak_lag2")
+    return out.select(*ROW, *[F.col(f"outbreak_lag{k}").cast("double") for k in (1, 2)])
 
 
 @query(
@@ -467,14 +470,14 @@ def w11(spark, sf):
 @query(
     "w12_outbreak_persistence",
     f"""with {INC} select prov, maladie, debutsem,
-      cast({roll('sum', 'is_outbreak', 4, 1, 4)} as bigint) as outbreak_persistence from labelled""",
+      cast({roll('sum', 'is_outbreak', 4, 1, 4)} as double) as outbreak_persistence from labelled""",
 )
 def w12(spark, sf):
     out = add_rolling(
         labelled(spark, sf), "is_outbreak", "sum", (4,), KEYS, WEEK, "outbreak_persistence",
         min_periods=None,
     )
-    return out.select(*ROW, "outbreak_persistence")
+    return out.select(*ROW, F.col("outbreak_persistence").cast("double"))
 
 
 @query(
