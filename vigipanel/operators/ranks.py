@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigipanel.session import TASK_ROWS, at_most, materialise, small_side
+from vigipanel.session import TASK_ROWS, materialise, small_side
 
 _CUTS, _CELL = "__cuts", "__cell"
 
@@ -103,7 +103,7 @@ def running_sums(
 
     direction = F.desc if descending else F.asc
     if steps is None:
-        if at_most(table, TASK_ROWS):
+        if table.count() <= TASK_ROWS:
             return table.withColumns(before(keys, direction(value)))
         steps = 10
     cells = 1 << steps

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +13,6 @@ from vigipanel.operators.encode import impute_median
 from vigipanel.operators.ranks import exact_quantiles
 from vigipanel.session import materialise, small_side
 
-# Pairs per aggregation: keeps one aggregation's buffer and generated code small.
-PAIR_BLOCK = 60
-
-
 def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, variance): sample variances of all columns from one pass."""
     wide = df.agg(*[F.var_samp(c).alias(c) for c in columns])
@@ -29,27 +25,45 @@ def drop_low_variance(df: DataFrame, columns: Sequence[str], eps: float = 1e-6)
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, j, a, b, r) for i < j: Pearson over the rows where both are present."""
-    pairs = list(combinations(range(len(columns)), 2))
-    parts = []
-    for start in range(0, len(pairs), PAIR_BLOCK):
-        block = pairs[start : start + PAIR_BLOCK]
-        wide = df.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(j).alias("j"),
-                        F.lit(columns[i]).alias("a"),
-                        F.lit(columns[j]).alias("b"),
-                        F.corr(columns[i], columns[j]).alias("r"),
-                    )
-                    for i, j in block
-                ]
-            ).alias("pairs")
-        )
-        parts.append(wide.select(F.inline("pairs")))
-    return reduce(DataFrame.unionByName, parts)
+    """(i, j, a, b, r) for i < j: Pearson over the rows where both are present.
+
+    d columns have d(d-1)/2 pairs, too many for one aggregation of `corr` columns and
+    many scans if cut into several.  Instead each task turns its rows into d x d moment
+    matrices and emits one row per pair, so one scan and a shuffle of d(d-1)/2 rows per
+    task give all pairs.  The columns are centred first, which keeps the moments stable.
+    """
+    columns = list(columns)
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    means = doubles.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    centre = np.array([means[c] or 0.0 for c in columns])
+    upper = np.triu_indices(len(columns), k=1)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = batch[columns].to_numpy(dtype=float) - centre
+            here = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums, squares = x.T @ here, (x * x).T @ here
+            total += np.stack([here.T @ here, sums, sums.T, squares, squares.T, x.T @ x])
+        made = pd.DataFrame(total[:, *upper].T, columns=["n", "sx", "sy", "sxx", "syy", "sxy"])
+        yield made.assign(i=upper[0], j=upper[1])
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = ", ".join(f"{s} double" for s in sums) + ", i int, j int"
+    pairs = doubles.mapInPandas(moments, schema).groupBy("i", "j").agg(
+        *[F.sum(s).alias(s) for s in sums]
+    )
+    n, sx, sy, sxx, syy, sxy = (F.col(s) for s in sums)
+    spread = F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy)
+    names = F.array(*[F.lit(c) for c in columns])
+    return pairs.select(
+        "i",
+        "j",
+        F.get(names, "i").alias("a"),
+        F.get(names, "j").alias("b"),
+        F.try_divide(n * sxy - sx * sy, spread).alias("r"),
+    )
 
 
 def correlated_columns(pairs: DataFrame, limit: float) -> DataFrame:

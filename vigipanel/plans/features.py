@@ -22,7 +22,6 @@ from vigipanel.schema import (
     CLIMATE_WHITELIST,
     KEYS,
     LABEL,
-    MASTER_SCHEMA,
     TARGET,
     WEATHER,
     WEEK,
@@ -236,5 +235,4 @@ def climate_driven_table(features: DataFrame, disease: str) -> DataFrame:
     return one.select(*order, *kept, TARGET).dropna(subset=[*kept, TARGET])
 
 
-def master_columns() -> list[str]:
-    return MASTER_SCHEMA.names
+

@@ -12,14 +12,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigipanel.schema import HEALTH_SCHEMA, WEATHER
-from vigipanel.session import small_side
+from vigipanel.session import bounded_by
 from vigipanel.sources.weather import join_weather
 
 CUT_YEAR = 1999
 
 
+# Declared, so that opening a table starts no job to infer its schema.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _monday(column: str) -> Column:
@@ -69,7 +90,8 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.sum("qty").alias("qty"), F.sum("returned").alias("returned"))
     )
     # One row per region.  Shuffling the panel to it would leave a task per region.
-    made = weekly.join(small_side(population), "prov").select(
+    population = bounded_by(population, table(spark, sf, "region"))
+    made = weekly.join(population, "prov").select(
         "prov",
         (F.col("r_regionkey") * 5 - 10).alias("lat"),
         (F.col("r_regionkey") * 10).alias("lon"),

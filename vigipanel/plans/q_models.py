@@ -93,7 +93,8 @@ def f04(spark, sf):
     f"with {TRAIN_V3}, p as ({corr_sql()}) select distinct b as feature from p where abs(r) > 0.8",
 )
 def f05(spark, sf):
-    return L.correlated_columns(L.correlations(train_v3(spark, sf), CORR), 0.8)
+    train = materialise(train_v3(spark, sf).select(*CORR))
+    return L.correlated_columns(L.correlations(train, CORR), 0.8)
 
 
 MI = ("inc_lag1", "inc_lag4", "inc_roll4", "inc_roll12", "t2m", "rh2m_lag2", "month_sin")

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from vigipanel.functions import columns as C
 from vigipanel.functions import scalar as S
 from vigipanel.operators import splits
-from vigipanel.operators.groups import eligible_groups, in_both_periods
+from vigipanel.operators.groups import eligible_groups, keep_members
 from vigipanel.operators.labels import label_outbreaks
 from vigipanel.operators.selection import variances
-from vigipanel.operators.windows import add_abs_change, add_lags, lag, lead, rolling, with_ordered
+from vigipanel.operators.windows import add_abs_change, lag, lead, rolling, with_ordered
 from vigipanel.plans import features as ft
 from vigipanel.plans import fixtures as fx
 from vigipanel.plans.catalog import (
-    CUT, INC, K, MASTER, MASTER_COLUMNS, PANEL, PANEL_COLUMNS, W, WEATHER_CTE, feature_sql, items,
+    CUT, INC, MASTER, MASTER_COLUMNS, PANEL, PANEL_COLUMNS, W, WEATHER_CTE, feature_sql, items,
     lag_sql, query, r, roll,
 )
-from vigipanel.schema import CLIMATE_WHITELIST, KEYS, NOWCAST_EXCLUDE, WEATHER, WEEK
+from vigipanel.schema import CLIMATE_WHITELIST, KEYS, NOWCAST_EXCLUDE, WEEK
 from vigipanel.session import scratch_path
 from vigipanel.sources import panel as src
 from vigipanel.sources import weather as wx
@@ -287,8 +287,6 @@ def p17(spark, sf):
        (select c_custkey from customer where c_mktsegment = 'BUILDING')""",
 )
 def p18(spark, sf):
-    from vigipanel.operators.groups import keep_members
-
     members = fx.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
     orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return keep_members(
@@ -514,4 +512,4 @@ def c13(spark, sf):
     )
 
 
-__all__ = ["V3_NAMES", "V4_NAMES", "V5_NAMES", "incident", "labelled"]
+__all__ = ["ROW", "V3_NAMES", "V4_NAMES", "V5_NAMES", "incident", "labelled"]

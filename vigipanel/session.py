@@ -37,15 +37,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute an intermediate once and cut its lineage, in the shared folder."""
+    """Compute an intermediate once and cut its lineage: a table in the shared folder.
+
+    Parquet rather than an RDD checkpoint, so that later jobs read only the columns they
+    use and the planner knows the size.  Without a shared folder the plan stays lazy.
+    """
     if shared_folder(df.sparkSession) is None:
         return df
-    return df.checkpoint(eager=True)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if the table has no more than `rows` rows; reads at most one more."""
-    return df.limit(rows + 1).count() <= rows
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,7 +56,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     splits whatever keys are skewed.
     """
     table = materialise(df)
-    return F.broadcast(table) if at_most(table, rows) else table
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def bounded_by(df: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark for broadcast a table that has at most one row per row of `source`.
+
+    Only `source`, a stored table, is counted; `df` itself is not computed for the check.
+    """
+    return F.broadcast(df) if source.count() <= rows else df
 
 
 def local_session(cpus: int | str = 8, memory: str = "16g", **conf: str) -> SparkSession:
@@ -66,6 +75,7 @@ def local_session(cpus: int | str = 8, memory: str = "16g", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
