@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigipanel.functions import scalar as S
 from vigipanel.operators import groups as G
 from vigipanel.operators import reports as R
 from vigipanel.operators.encode import decode, medians, ordinal_codes, ordinal_encode
-from vigipanel.operators.labels import label_outbreaks, outbreak_thresholds
+from vigipanel.operators.labels import label_outbreaks, outbreak_thresholds, window_threshold
 from vigipanel.operators.selection import correlations, variances
 from vigipanel.operators.splits import split_by_year
-from vigipanel.operators.windows import add_future_target, add_lags, add_rolling, lag, with_ordered
+from vigipanel.operators.windows import (
+    add_future_target, add_lags, add_rolling, lag, rolling, with_ordered,
+)
 from vigipanel.plans import features as ft
 from vigipanel.plans import fixtures as fx
 from vigipanel.plans.catalog import (
@@ -514,6 +517,43 @@ def w13c(spark, sf):
     return out.select(*ROW, "is_outbreak")
 
 
+BRAND = """brand as (
+  select n_name as prov, p_brand as maladie, cast(date_trunc('week', o_orderdate) as date) as debutsem,
+         cast(sum(l_quantity) as bigint) as totalcas
+  from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey
+                join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+  group by all)"""
+
+
+@query(
+    "w_brand_panel",
+    f"""with {BRAND}, q as (
+      select prov, maladie, greatest(q3 + 1.5 * (q3 - q1), p90) as threshold from (
+        select prov, maladie, quantile_cont(totalcas::double, 0.25) as q1,
+          quantile_cont(totalcas::double, 0.75) as q3, quantile_cont(totalcas::double, 0.9) as p90
+        from brand group by 1, 2)),
+    t as (select *, {', '.join(f"{lag_sql('totalcas', k)} as cases_lag{k}" for k in (1, 4))},
+      {', '.join(f"{roll('avg', 'totalcas', w)} as cases_roll{w}" for w in (4, 12))} from brand)
+    select prov, maladie, debutsem, cast(totalcas > threshold as int) as is_outbreak,
+      cast(cases_lag1 as double) as cases_lag1, cast(cases_lag4 as double) as cases_lag4,
+      {r('cases_roll4', 'cases_roll12')} from t join q using (prov, maladie)""",
+)
+def w_brand(spark, sf):
+    """Label, lags and rolling means over nation x brand: many groups, one exchange."""
+    made = {f"cases_lag{k}": lag("totalcas", k) for k in (1, 4)}
+    made |= {f"cases_roll{w}": rolling("totalcas", "mean", w, 1, 1) for w in (4, 12)}
+    made["limit"] = lambda w: window_threshold(KEYS, "totalcas")
+    out = with_ordered(fx.brand_panel(spark, sf), made, KEYS, WEEK, null_keys="drop")
+    return out.select(
+        *ROW,
+        S.exceeds("totalcas", F.col("limit")).alias("is_outbreak"),
+        F.col("cases_lag1").cast("double"),
+        F.col("cases_lag4").cast("double"),
+        "cases_roll4",
+        "cases_roll12",
+    )
+
+
 # The same operators where five groups hold all rows: each is cut into runs of rows.
 EVENT_W = "partition by event_type order by ts"
 
