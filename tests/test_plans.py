@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def test_columns_and_filters_reach_the_scan(spark):
     df = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderpriority = 'x'")
     plan = physical(add_lags(df.select("o_custkey", "o_orderdate", "o_totalprice"),
                              ["o_totalprice"], [1], ["o_custkey"], "o_orderdate",
-                             null_keys="drop"))
+                             null_keys="drop", weekly_groups=True))
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,x)" in plan
     assert "o_orderstatus" not in plan
 
@@ -116,6 +117,17 @@ def test_climate_table_works_without_optional_columns(master):
     assert "t2m_roll4" in out.columns and "ws2m_roll4" not in out.columns
 
 
+@pytest.mark.parametrize("spec", [ft.V3, ft.V5])
+def test_hot_group_build_equals_the_weekly_build(master, spec):
+    """No assumption on the groups, every group cut into runs: the same table."""
+    names = ["prov", "maladie", "debutsem"]
+    weekly = ft.build_features(master, spec)
+    runs = ft.build_features(master, spec, weekly_groups=False, limit=20)
+    a = weekly.toPandas().sort_values(names).reset_index(drop=True)
+    b = runs.toPandas().sort_values(names).reset_index(drop=True)[a.columns]
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-12)
+
+
 def test_weather_of_another_group_is_kept(master):
     one = add_lags(master, ["t2m"], [1], KEYS, WEEK).where("maladie = 'MACHINERY'")
     assert one.count() == master.where("maladie = 'MACHINERY'").count()

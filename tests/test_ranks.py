@@ -3,7 +3,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigipanel.operators.ranks import exact_quantiles, rank_in_slices, running_sums
+from vigipanel.operators.ranks import (
+    exact_quantiles,
+    rank_in_slices,
+    running_sums,
+    sorted_positions,
+)
 
 PROBS = {"q1": 0.25, "q3": 0.75, "p90": 0.9}
 
@@ -75,3 +80,11 @@ def test_rank_within_keys(spark):
     ).toPandas()
     want = out.groupby("k").t.rank().astype(int)
     assert (out["rank"] == want).all()
+
+
+def test_sorted_positions(spark):
+    rng = np.random.default_rng(8)
+    names = [f"Customer#{i:09d}" for i in rng.permutation(700)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
+    out = {r.name: r.position for r in sorted_positions(df, ["name"]).collect()}
+    assert out == {n: i for i, n in enumerate(sorted(names))}

@@ -81,4 +81,7 @@ def test_duplicates_and_locations(spark):
         "prov string, maladie string, debutsem int, lat double",
     )
     assert [tuple(r) for r in P.duplicates(df).collect()] == [("a", "m", 1, 2)]
+    with pytest.raises(ValueError):
+        P.require_weekly(df)
+    assert P.require_weekly(df.distinct()).count() == 2
     assert [tuple(r) for r in X.distinct_locations(df, ["prov", "lat"]).collect()] == [("a", 0.5)]

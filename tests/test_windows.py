@@ -71,10 +71,9 @@ def test_abs_change(spark):
 
 
 @pytest.mark.parametrize("mode", ["keep", "drop"])
-@pytest.mark.parametrize("split", [None, 20])
-def test_rows_without_a_key_form_no_group(spark, mode, split):
+@pytest.mark.parametrize("kw", [{}, {"limit": 1}, {"weekly_groups": True}])
+def test_rows_without_a_key_form_no_group(spark, mode, kw):
     df = frame(spark, {("a", "m"): [1.0, 2.0], (None, "m"): [7.0, 8.0, 9.0]})
-    kw = {"split": split, "slice_by": F.year("debutsem")} if split else {}
     out = add_lags(df, ["x"], [1], KEYS, "debutsem", null_keys=mode, **kw)
     rows = [(r.prov, r.x, r.x_lag1) for r in out.collect()]
     expected = [("a", 1.0, None), ("a", 2.0, 1.0)]
@@ -84,13 +83,13 @@ def test_rows_without_a_key_form_no_group(spark, mode, split):
     assert out.columns == [*df.columns, "x_lag1"]
 
 
-def test_split_groups_match_pandas(spark):
-    """One group holds most rows and is cut into runs; slices of a month are uneven."""
+def test_hot_groups_in_runs_match_pandas(spark):
+    """One group holds most rows and is cut into runs; the other stays whole."""
     rng = np.random.default_rng(7)
     groups = {("hot", "m"): rng.normal(size=400).tolist(), ("cold", "m"): [1.0, 2.0, 3.0]}
     groups[("hot", "m")][50:90] = [None] * 40
     df = frame(spark, groups)
-    kw = {"split": 25, "slice_by": F.trunc("debutsem", "month")}
+    kw = {"limit": 25}
     out = add_rolling(df, "x", "mean", [4, 12], KEYS, "debutsem", "roll{w}", **kw)
     out = add_lags(out, ["x"], [1, 16], KEYS, "debutsem", **kw)
     out = add_future_target(out, "x", 4, KEYS, "debutsem", "ahead", **kw)
@@ -105,12 +104,10 @@ def test_split_groups_match_pandas(spark):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-12)
 
 
-def test_split_must_cover_the_frame(spark):
-    df = frame(spark, {("a", "m"): [1.0]})
+def test_runs_must_cover_the_frame(spark):
+    df = frame(spark, {("a", "m"): [1.0] * 10})
     with pytest.raises(ValueError):
-        add_lags(df, ["x"], [8], KEYS, "debutsem", split=4, slice_by=F.year("debutsem"))
-    with pytest.raises(ValueError):
-        add_lags(df, ["x"], [2], KEYS, "debutsem", split=4)
+        add_lags(df, ["x"], [8], KEYS, "debutsem", limit=4)
 
 
 def test_group_shorter_than_the_lag_leaves_nothing(spark):

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.operators.ranks import exact_quantiles, rank_in_slices
+from vigipanel.operators.ranks import exact_quantiles, sorted_positions
 from vigipanel.session import small_side
 
 # A one-hot level becomes a column, so their number is a schema size.
@@ -17,10 +17,8 @@ MAX_LEVELS = 5_000
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): 0-based position among the sorted distinct values."""
     distinct = df.select(F.col(column).alias("value")).dropna().distinct()
-    ranked = rank_in_slices(
-        distinct, slices={"__head": F.substring("value", 1, 2)}, order=["value"], name="__rank"
-    )
-    return ranked.select("value", (F.col("__rank") - 1).cast("int").alias("code"))
+    codes = sorted_positions(distinct, ["value"], "code")
+    return codes.withColumn("code", F.col("code").cast("int"))
 
 
 def ordinal_encode(

@@ -56,12 +56,21 @@ def rank_in_slices(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n) for present values; repeated values combine map-side."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def sorted_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """0-based position in the sort order, for columns that have no natural slices.
+
+    The sort is range-partitioned on samples of the data, so its partitions are even
+    whatever the values look like; only the partition sizes are added up in one place.
+    """
+    numbered = materialise(
+        df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__id", 33))
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(small_side(offsets), "__part").select(
+        *df.columns, (F.col("__off") + inside).alias(name)
     )
 
 
@@ -76,6 +85,33 @@ def _cell(value: str, steps: int) -> Column:
     return F.aggregate(widths, F.lit(0), step)
 
 
+def value_cells(df: DataFrame, keys: Sequence[str], value: str, steps: int) -> DataFrame:
+    """Add a cell number that does not decrease with the value: 2**steps cells per group.
+
+    The cut points are approximate quantiles, so the cells are about equally full.  They
+    only balance the work: callers total the cells exactly, so results do not depend on
+    where the cuts fall.
+    """
+    cells = 1 << steps
+    at = [i / cells for i in range(1, cells)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, 10 * cells).alias(_CUTS))
+    if keys:
+        marked = df.join(small_side(cuts, max(1, 2_000_000 // cells)), list(keys))
+    else:
+        marked = df.withColumn(_CUTS, cuts.scalar())
+    return marked.withColumn(_CELL, _cell(value, steps)).drop(_CUTS)
+
+
+def _before(
+    window_keys: Sequence[str], by: Column, sums: Sequence[str]
+) -> dict[str, Column]:
+    """{<c>_before: sum of c over the rows ahead}."""
+    window = Window.partitionBy(*window_keys).orderBy(by).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return {f"{c}_before": F.coalesce(F.sum(c).over(window), F.lit(0)) for c in sums}
+
+
 def running_sums(
     table: DataFrame,
     keys: Sequence[str],
@@ -87,40 +123,24 @@ def running_sums(
 ) -> DataFrame:
     """Add `<c>_before`: the sum of c over the rows of the group ahead of this one.
 
-    `table` has one row per (keys, value).  Small tables use a plain window.  Beyond
-    `TASK_ROWS` rows (or with `steps` given) each group is cut into 2**steps cells at
-    approximate quantiles.  The cut points only balance the work: totals of the cells
-    are exact, so the result is exact wherever the cuts fall.
+    `table` has one row per (keys, value).  Up to `TASK_ROWS` rows a plain window does.
+    Beyond (or with `steps` given) the groups are cut into cells; a task then holds one
+    cell, and the totals of the cells are the offsets.
     """
     keys = list(keys)
     table = materialise(table)
-
-    def before(window_keys: list[str], by: Column | str) -> dict[str, Column]:
-        window = Window.partitionBy(*window_keys).orderBy(by).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return {f"{c}_before": F.coalesce(F.sum(c).over(window), F.lit(0)) for c in sums}
-
     direction = F.desc if descending else F.asc
     if steps is None:
         if table.count() <= TASK_ROWS:
-            return table.withColumns(before(keys, direction(value)))
+            return table.withColumns(_before(keys, direction(value), sums))
         steps = 10
-    cells = 1 << steps
-    cuts = table.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / cells for i in range(1, cells)], 10 * cells).alias(_CUTS)
-    )
-    if keys:
-        celled = table.join(small_side(cuts, max(1, 2_000_000 // cells)), keys)
-    else:
-        celled = table.withColumn(_CUTS, cuts.scalar())
-    celled = celled.withColumn(_CELL, _cell(value, steps)).drop(_CUTS)
+    celled = value_cells(table, keys, value, steps)
     totals = celled.groupBy(*keys, _CELL).agg(*[F.sum(c).alias(c) for c in sums])
-    offsets = totals.withColumns(before(keys, direction(_CELL))).select(
+    offsets = totals.withColumns(_before(keys, direction(_CELL), sums)).select(
         *keys, _CELL, *[F.col(f"{c}_before").alias(f"__{c}_offset") for c in sums]
     )
     inside = celled.join(offsets, [*keys, _CELL]).withColumns(
-        before([*keys, _CELL], direction(value))
+        _before([*keys, _CELL], direction(value), sums)
     )
     return inside.select(
         *table.columns,
@@ -128,6 +148,12 @@ def running_sums(
     )
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; one scan of the key columns, combined map-side."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -138,30 +164,65 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, for groups of any size.
 
-    Repeated values are counted first; the order statistics at the two ranks next to
-    each quantile are then read off the running counts.
+    If every group fits a task, `percentile` finds them in one aggregation.  Otherwise
+    (or with `steps` given) the rows are counted per cell, which tells exactly which
+    cells hold the order statistics next to each quantile, and only the values of those
+    cells are counted and ranked: about one row in 2**steps per quantile.
+
+    A stored table is scanned three times for this; store an expensive input first.
     """
     keys = list(keys)
-    ranked = running_sums(value_counts(df, keys, value), keys, "value", ["n"], steps=steps)
-    sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("__size"))
-    sized = ranked.join(small_side(sizes), keys) if keys else ranked.withColumn(
-        "__size", sizes.scalar()
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("value")
+    )
+    if steps is None:
+        if largest_group(rows, keys) <= TASK_ROWS:
+            at = F.percentile("value", list(probs.values())).alias("__q")
+            return rows.groupBy(*keys).agg(at).select(
+                *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
+            )
+        steps = 10
+    celled = value_cells(rows, keys, "value", steps)
+    totals = celled.groupBy(*keys, _CELL).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum("n").over(Window.partitionBy(*keys))
+    ranged = totals.withColumns({**_before(keys, F.asc(_CELL), ["n"]), "__size": size})
+
+    def ranks(q: float) -> tuple[Column, Column, Column]:
+        """Ranks next to the quantile, and how far it lies between them."""
+        at = F.lit(float(q)) * (F.col("__size") - 1)
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+
+    wanted = F.lit(False)
+    for q in probs.values():
+        low, high, _ = ranks(q)
+        wanted = wanted | holds(low) | holds(high)
+    cells = ranged.where(wanted).select(
+        *keys, _CELL, F.col("n_before").alias("__offset"), "__size"
+    )
+    counts = (
+        celled.join(small_side(cells), [*keys, _CELL])
+        .groupBy(*keys, _CELL, "__offset", "__size", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranked = counts.withColumns(_before([*keys, _CELL], F.asc("value"), ["n"])).withColumn(
+        "n_before", F.col("n_before") + F.col("__offset")
     )
-    last = F.col("n_before") + F.col("n") - 1
     picks = []
     for name, q in probs.items():
-        at = F.lit(float(q)) * (F.col("__size") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("n_before") <= rank) & (rank <= last)
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"__{name}_{side}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"__{name}_part"))
-    picked = sized.groupBy(*keys).agg(*picks)
+        low, high, part = ranks(q)
+        picks.append(F.max(F.when(holds(low), F.col("value"))).alias(f"__{name}_low"))
+        picks.append(F.max(F.when(holds(high), F.col("value"))).alias(f"__{name}_high"))
+        picks.append(F.max(part).alias(f"__{name}_part"))
+    picked = ranked.groupBy(*keys).agg(*picks)
     return picked.select(
         *keys,
         *[
             (
-                F.col(f"__{name}_lo")
-                + (F.col(f"__{name}_hi") - F.col(f"__{name}_lo")) * F.col(f"__{name}_part")
+                F.col(f"__{name}_low")
+                + (F.col(f"__{name}_high") - F.col(f"__{name}_low")) * F.col(f"__{name}_part")
             ).alias(name)
             for name in probs
         ],

@@ -7,17 +7,17 @@ the sorted rows that are already there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigipanel.functions import scalar as S
 from vigipanel.functions.columns import drop_any_null, drop_warmup
-from vigipanel.operators.groups import add_anomaly, in_both_periods
-from vigipanel.operators.labels import label_outbreaks, window_threshold
-from vigipanel.operators.windows import lag, lead, rolling, with_ordered
+from vigipanel.operators.groups import add_anomaly, attach_stats, in_both_periods
+from vigipanel.operators.labels import label_outbreaks, outbreak_thresholds, window_threshold
+from vigipanel.operators.windows import Built, lag, lead, rolling, with_ordered
 from vigipanel.schema import (
     CLIMATE_WHITELIST,
     KEYS,
@@ -26,8 +26,7 @@ from vigipanel.schema import (
     WEATHER,
     WEEK,
 )
-
-Built = Callable[[WindowSpec], Column]
+from vigipanel.session import TASK_ROWS, materialise, small_side
 
 
 @dataclass(frozen=True)
@@ -66,6 +65,8 @@ V5 = FeatureSpec(
     horizon=4,
 )
 
+# One row per key and week; rows without a key are dropped, as the warm-up rule would do.
+WEEKLY = {"weekly_groups": True, "null_keys": "drop"}
 VOLATILITY = {"temp_volatility": "t2m", "rain_volatility": "prectotcorr"}
 
 
@@ -94,9 +95,16 @@ def build_features(
     order: str = WEEK,
     *,
     keep_warmup: bool = False,
+    weekly_groups: bool = True,
+    limit: int = TASK_ROWS,
 ) -> DataFrame:
-    """Incidence, label, lags, rolling means, signals, climate columns, season."""
+    """Incidence, label, lags, rolling means, signals, climate columns, season.
+
+    With `weekly_groups=False` nothing is assumed about the groups: thresholds and means
+    are aggregated and joined back, and groups over `limit` rows are cut into runs.
+    """
     base = master.withColumn("incidence", S.incidence("totalcas", "pop"))
+    reach = {"null_keys": "drop", "weekly_groups": weekly_groups, "limit": limit}
     ordered: dict[str, Built] = {f"inc_lag{k}": lag("incidence", k) for k in spec.inc_lags}
     for w in spec.inc_rolls:
         ordered[f"inc_roll{w}"] = rolling("incidence", "mean", w, 1, 1)
@@ -104,11 +112,20 @@ def build_features(
         ordered |= {f"{c}_lag{k}": lag(c, k) for k in spec.weather_lags}
     for name, c in VOLATILITY.items():
         ordered[name] = rolling(c, "std", 4, 0, spec.volatility_min)
-    group = Window.partitionBy(*keys)
-    whole: dict[str, Built] = {"__limit": lambda w: window_threshold(keys, "incidence")}
-    for c in spec.weather:
-        whole[f"__{c}_mean"] = lambda w, c=c: F.avg(c).over(group)
-    wide = with_ordered(base, {**ordered, **whole}, keys, order, null_keys="drop")
+    back = max(*spec.inc_lags, *spec.inc_rolls, *spec.weather_lags, 4)
+    means = {f"__{c}_mean": F.avg(c) for c in spec.weather}
+    if weekly_groups:
+        group = Window.partitionBy(*keys)
+        ordered["__limit"] = lambda w: window_threshold(keys, "incidence")
+        ordered |= {n: (lambda w, m=m: m.over(group)) for n, m in means.items()}
+    else:
+        base = materialise(base)
+        limits = outbreak_thresholds(base, keys, "incidence").withColumnRenamed(
+            "threshold", "__limit"
+        )
+        base = base.join(small_side(limits), list(keys), "left")
+        base = attach_stats(base, keys, means)
+    wide = with_ordered(base, ordered, keys, order, back=back, **reach)
 
     derived = {
         LABEL: S.exceeds("incidence", F.col("__limit")),
@@ -127,7 +144,8 @@ def build_features(
         derived["hum_temp"] = S.product("rh2m", "t2m")
     out = wide.withColumns(derived)
     if spec.horizon:
-        out = with_ordered(out, {TARGET: lead(LABEL, spec.horizon)}, keys, order, null_keys="drop")
+        target = {TARGET: lead(LABEL, spec.horizon)}
+        out = with_ordered(out, target, keys, order, back=0, ahead=spec.horizon, **reach)
     out = out.select(*master.columns, *_names(spec))
     return out if keep_warmup else drop_warmup(out, spec.warmup)
 
@@ -154,7 +172,7 @@ def features_fallback(master: DataFrame) -> DataFrame:
     made |= {f"cases_lag{k}": lag("totalcas", k) for k in (1, 2, 3, 4)}
     made |= {f"cases_roll{w}": rolling("totalcas", "mean", w, 1, 1) for w in (4, 8, 12)}
     made |= {f"outbreak_lag{k}": lag(LABEL, k) for k in (1, 2)}
-    out = with_ordered(labelled, made, KEYS, WEEK, null_keys="drop").withColumns(
+    out = with_ordered(labelled, made, KEYS, WEEK, back=12, **WEEKLY).withColumns(
         {"cases_trend": S.difference("cases_lag1", "cases_roll4"), **_season()}
     )
     return drop_warmup(out, ["cases_lag4", "outbreak_lag2"])
@@ -171,7 +189,7 @@ def history_columns(value: str = "incidence", label: str = LABEL) -> dict[str, B
 
 
 def add_history(df: DataFrame) -> DataFrame:
-    return with_ordered(df, history_columns(), KEYS, WEEK, null_keys="drop").withColumn(
+    return with_ordered(df, history_columns(), KEYS, WEEK, back=12, **WEEKLY).withColumn(
         "case_growth", S.growth("case_lag_1", "case_lag_4", 1.0)
     )
 
@@ -195,8 +213,9 @@ def climate_only_table(
     joined back; a window would leave it to twelve tasks.
     """
     one = features.where(F.col("maladie") == disease).drop(TARGET)
+    target = {TARGET: lead(LABEL, horizon)}
     targeted = with_ordered(
-        one, {TARGET: lead(LABEL, horizon)}, ["prov"], WEEK, null_keys="drop"
+        one, target, ["prov"], WEEK, back=0, ahead=horizon, **WEEKLY
     ).dropna(subset=[TARGET])
     sin_week, cos_week = S.cyclic("week", 52)
     sin_month, cos_month = S.cyclic("month", 12)
@@ -211,7 +230,7 @@ def climate_only_table(
     weather = [c for c in weather if c in dated.columns]
     made: dict[str, Built] = {f"{c}_lag{k}": lag(c, k) for c in weather for k in (1, 2, 4, 6)}
     made |= {f"{c}_roll4": rolling(c, "mean", 4, 0, 4) for c in weather}
-    lagged = with_ordered(dated, made, ["prov"], WEEK, null_keys="drop")
+    lagged = with_ordered(dated, made, ["prov"], WEEK, back=6, **WEEKLY)
     return drop_any_null(add_anomaly(lagged, weather, ["month"]))
 
 
@@ -233,6 +252,3 @@ def climate_driven_table(features: DataFrame, disease: str) -> DataFrame:
     kept = [c for c in CLIMATE_WHITELIST if c in one.columns]
     order = [c for c in ("annee", "mois", "prov", "maladie", WEEK) if c not in kept]
     return one.select(*order, *kept, TARGET).dropna(subset=[*kept, TARGET])
-
-
-

@@ -291,7 +291,8 @@ def a18(spark, sf):
     from t""",
 )
 def a19(spark, sf):
-    lagged = with_ordered(incident(spark, sf), {"inc_lag4": lag("incidence", 4)}, KEYS, WEEK)
+    made = {"inc_lag4": lag("incidence", 4)}
+    lagged = with_ordered(incident(spark, sf), made, KEYS, WEEK, back=4, weekly_groups=True)
     return R.drop_report(lagged, R.complete(["inc_lag4"]))
 
 
@@ -306,7 +307,7 @@ def a19(spark, sf):
 )
 def w01(spark, sf):
     lags = (1, 2, 3, 4, 8, 12)
-    out = add_lags(incident(spark, sf), ["incidence"], lags, KEYS, WEEK, "inc_lag{k}")
+    out = add_lags(incident(spark, sf), ["incidence"], lags, KEYS, WEEK, "inc_lag{k}", weekly_groups=True)
     return out.select(*ROW, *[f"inc_lag{k}" for k in lags])
 
 
@@ -317,7 +318,7 @@ def w01(spark, sf):
     select prov, maladie, debutsem, {r(*[f'{c}_lag{k}' for c in WEATHER for k in (1, 2, 8)])} from t""",
 )
 def w02(spark, sf):
-    out = add_lags(fx.master(spark, sf), WEATHER, (1, 2, 8), KEYS, WEEK)
+    out = add_lags(fx.master(spark, sf), WEATHER, (1, 2, 8), KEYS, WEEK, weekly_groups=True)
     return out.select(*ROW, *[f"{c}_lag{k}" for c in WEATHER for k in (1, 2, 8)])
 
 
@@ -328,7 +329,8 @@ def w02(spark, sf):
 )
 def w03(spark, sf):
     out = add_future_target(
-        labelled(spark, sf), "is_outbreak", 4, KEYS, WEEK, "target_outbreak_future"
+        labelled(spark, sf), "is_outbreak", 4, KEYS, WEEK, "target_outbreak_future",
+        weekly_groups=True,
     )
     return out.select(*ROW, "is_outbreak", F.col("target_outbreak_future").cast("double"))
 
@@ -342,7 +344,9 @@ def w03(spark, sf):
 )
 def w03b(spark, sf):
     one = labelled(spark, sf).where("maladie = 'MACHINERY'")
-    out = add_future_target(one, "is_outbreak", 2, ["prov"], WEEK, "target_outbreak_future")
+    out = add_future_target(
+        one, "is_outbreak", 2, ["prov"], WEEK, "target_outbreak_future", weekly_groups=True
+    )
     return out.select(*ROW, F.col("target_outbreak_future").cast("double"))
 
 
@@ -353,7 +357,10 @@ def w03b(spark, sf):
     from panel""",
 )
 def w04(spark, sf):
-    out = add_lags(fx.panel(spark, sf), ["totalcas"], (1, 2, 3, 4), KEYS, WEEK, "cases_lag{k}")
+    out = add_lags(
+        fx.panel(spark, sf), ["totalcas"], (1, 2, 3, 4), KEYS, WEEK, "cases_lag{k}",
+        weekly_groups=True,
+    )
     return out.select(*ROW, *[F.col(f"cases_lag{k}").cast("double") for k in (1, 2, 3, 4)])
 
 
@@ -364,7 +371,10 @@ def w04(spark, sf):
       cast({lag_sql('is_outbreak', 2)} as double) as outbreak_lag2 from labelled""",
 )
 def w05(spark, sf):
-    out = add_lags(labelled(spark, sf), ["is_outbreak"], (1, 2), KEYS, WEEK, "outbreak_lag{k}")
+    out = add_lags(
+        labelled(spark, sf), ["is_outbreak"], (1, 2), KEYS, WEEK, "outbreak_lag{k}",
+        weekly_groups=True,
+    )
     return out.select(*ROW, *[F.col(f"outbreak_lag{k}").cast("double") for k in (1, 2)])
 
 
@@ -376,7 +386,8 @@ def w05(spark, sf):
 )
 def w06(spark, sf):
     out = add_rolling(
-        incident(spark, sf), "incidence", "mean", (4, 8, 12, 16), KEYS, WEEK, "inc_roll{w}"
+        incident(spark, sf), "incidence", "mean", (4, 8, 12, 16), KEYS, WEEK, "inc_roll{w}",
+        weekly_groups=True,
     )
     return out.select(*ROW, *[f"inc_roll{w}" for w in (4, 8, 12, 16)])
 
@@ -399,7 +410,7 @@ def w07(spark, sf):
     for how in ("mean", "std"):
         out = add_rolling(
             out, "incidence", how, (4, 8), KEYS, WEEK, f"rolling_{how}_{{w}}", min_periods=None,
-            null_keys="drop",
+            **ft.WEEKLY,
         )
     return out.select(*ROW, *ROLL_NAMES)
 
@@ -442,7 +453,7 @@ def w10(spark, sf):
     out = fx.master(spark, sf)
     for n, (c, m) in VOL.items():
         out = add_rolling(
-            out, c, "std", (4,), KEYS, WEEK, f"vol_{n}", shift=0, min_periods=m, null_keys="drop"
+            out, c, "std", (4,), KEYS, WEEK, f"vol_{n}", shift=0, min_periods=m, **ft.WEEKLY
         )
     return out.select(*ROW, *[f"vol_{n}" for n in VOL])
 
@@ -463,7 +474,7 @@ def w11(spark, sf):
     for c in WEATHER:
         out = add_rolling(
             out, c, "mean", (4,), ["prov"], WEEK, f"{c}_roll{{w}}", shift=0, min_periods=4,
-            null_keys="drop",
+            **ft.WEEKLY,
         )
     return out.select(*ROW, *[f"{c}_roll4" for c in WEATHER])
 
@@ -476,7 +487,7 @@ def w11(spark, sf):
 def w12(spark, sf):
     out = add_rolling(
         labelled(spark, sf), "is_outbreak", "sum", (4,), KEYS, WEEK, "outbreak_persistence",
-        min_periods=None,
+        min_periods=None, weekly_groups=True,
     )
     return out.select(*ROW, F.col("outbreak_persistence").cast("double"))
 
@@ -543,7 +554,7 @@ def w_brand(spark, sf):
     made = {f"cases_lag{k}": lag("totalcas", k) for k in (1, 4)}
     made |= {f"cases_roll{w}": rolling("totalcas", "mean", w, 1, 1) for w in (4, 12)}
     made["limit"] = lambda w: window_threshold(KEYS, "totalcas")
-    out = with_ordered(fx.brand_panel(spark, sf), made, KEYS, WEEK, null_keys="drop")
+    out = with_ordered(fx.brand_panel(spark, sf), made, KEYS, WEEK, back=12, **ft.WEEKLY)
     return out.select(
         *ROW,
         S.exceeds("totalcas", F.col("limit")).alias("is_outbreak"),
@@ -558,10 +569,6 @@ def w_brand(spark, sf):
 EVENT_W = "partition by event_type order by ts"
 
 
-def by_hour():
-    return F.date_trunc("hour", "ts")
-
-
 def events(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
 
@@ -574,7 +581,7 @@ def events(spark, sf):
 def w01_hot(spark, sf):
     out = add_lags(
         events(spark, sf), ["value"], (1, 12), ["event_type"], "ts", "prectotcorr_lag{k}",
-        split=500, slice_by=by_hour(),
+        limit=500,
     )
     return out.select("event_id", "prectotcorr_lag1", "prectotcorr_lag12")
 
@@ -585,7 +592,7 @@ def w01_hot(spark, sf):
 )
 def w03_hot(spark, sf):
     out = add_future_target(
-        events(spark, sf), "value", 4, ["event_type"], "ts", "ahead", split=500, slice_by=by_hour()
+        events(spark, sf), "value", 4, ["event_type"], "ts", "ahead", limit=500
     )
     return out.select("event_id", F.col("ahead").alias("value"))
 
@@ -599,7 +606,7 @@ def w03_hot(spark, sf):
 def w06_hot(spark, sf):
     out = add_rolling(
         events(spark, sf), "value", "mean", (8, 16), ["event_type"], "ts", "mean{w}",
-        split=500, slice_by=by_hour(),
+        limit=500,
     )
     return out.select("event_id", "mean8", "mean16")
 
@@ -614,7 +621,7 @@ def w06_hot(spark, sf):
 def w07_hot(spark, sf):
     out = add_rolling(
         events(spark, sf), "value", "std", (8,), ["event_type"], "ts", "std{w}", min_periods=None,
-        split=500, slice_by=by_hour(),
+        limit=500,
     )
     return out.select("event_id", "std8")
 

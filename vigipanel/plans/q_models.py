@@ -205,7 +205,7 @@ def scores(spark, sf):
         "inc_lag4": lag("incidence", 4),
         "roll8": rolling("incidence", "mean", 8, 1, 1),
     }
-    rows = with_ordered(labelled(spark, sf), made, KEYS, WEEK, null_keys="drop").where(
+    rows = with_ordered(labelled(spark, sf), made, KEYS, WEEK, back=8, **ft.WEEKLY).where(
         F.col("inc_lag4").isNotNull() & (F.col("annee") > CUT)
     )
 

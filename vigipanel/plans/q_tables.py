@@ -91,7 +91,7 @@ shifted as (
 def shifted(spark, sf):
     made = {f"inc_lag{k}": lag("incidence", k) for k in (1, 2, 3, 4)}
     made |= {f"inc_roll{w}": rolling("incidence", "mean", w, 1, 1) for w in (4, 12)}
-    return with_ordered(incident(spark, sf), made, KEYS, WEEK)
+    return with_ordered(incident(spark, sf), made, KEYS, WEEK, back=12, weekly_groups=True)
 
 
 @query(
@@ -155,7 +155,8 @@ def p05(spark, sf):
 )
 def p06(spark, sf):
     names = {c: f"{c}_change" for c in ("t2m", "prectotcorr", "rh2m")}
-    return add_abs_change(fx.master(spark, sf), names, 4, KEYS, WEEK).select(*ROW, *names.values())
+    out = add_abs_change(fx.master(spark, sf), names, 4, KEYS, WEEK, weekly_groups=True)
+    return out.select(*ROW, *names.values())
 
 
 @query(
@@ -325,7 +326,10 @@ def p21(spark, sf):
     select prov, maladie, debutsem, cast(target as int) as target from t where target is not null""",
 )
 def p22(spark, sf):
-    ahead = with_ordered(labelled(spark, sf), {"target": lead("is_outbreak", 4)}, KEYS, WEEK)
+    target = {"target": lead("is_outbreak", 4)}
+    ahead = with_ordered(
+        labelled(spark, sf), target, KEYS, WEEK, back=0, ahead=4, weekly_groups=True
+    )
     return ahead.dropna(subset=["target"]).select(*ROW, F.col("target").cast("int"))
 
 

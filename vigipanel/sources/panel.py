@@ -65,6 +65,14 @@ def duplicates(df: DataFrame, keys: Sequence[str] = ROW_KEY) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def require_weekly(df: DataFrame, keys: Sequence[str] = ROW_KEY) -> DataFrame:
+    """The panel itself, after checking what `weekly_groups` relies on: unique keys."""
+    found = duplicates(df.dropna(subset=list(keys)), keys).limit(1).collect()
+    if found:
+        raise ValueError(f"several rows for one key, for example {found[0].asDict()}")
+    return df
+
+
 def with_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = "row_id") -> DataFrame:
     """A row identity that does not depend on partitioning or on a rerun."""
     return df.withColumn(name, F.xxhash64(*keys))
