@@ -272,6 +272,8 @@ def train_per_group(
 ) -> DataFrame:
     """One model per group with enough support; a result row per group, best AUC first.
 
+    A group whose training years hold a single class gets no model and no row.
+
     Each fit is a distributed Spark ML job, so a group may be of any size.  The rows are
     stored partitioned by group first, so that a fit reads its own group only.  A few
     fits run side by side to keep the cluster busy while one waits on its driver step.
@@ -283,20 +285,28 @@ def train_per_group(
     support = materialise(eligible_groups(df, [key], label, min_rows, min_positives))
     names = [r[key] for r in support.select(key).toLocalIterator()]
 
-    def one(name: str) -> DataFrame | None:
+    scored = scratch_path(df.sparkSession, "per-group-scores")
+    schema = f"{key} string, y double, p double"
+
+    def one(job: tuple[int, str]) -> str | None:
+        number, name = job
         rows = df.where(F.col(key) == name)
         train, test = rows.where(F.col("annee") <= cut), rows.where(F.col("annee") > cut)
         if train.select(label).distinct().count() < 2:
             return None
-        scored = fit(train, columns, label, spec).score(test)
-        return scored.select(key, F.col(label).alias("y"), "p")
+        part = fit(train, columns, label, spec).score(test)
+        path = f"{scored}/{number}"
+        write_table(part.select(key, F.col(label).cast("double").alias("y"), "p"), path)
+        return path
 
     with ThreadPoolExecutor(parallel) as pool:
-        scored = [part for part in pool.map(one, names) if part is not None]
-    if not scored:
-        empty = df.limit(0).select(key, F.col(label).alias("y"), F.lit(0.0).alias("p"))
-        scored = [empty]
-    pred = materialise(reduce(DataFrame.unionByName, scored))
+        paths = [path for path in pool.map(one, enumerate(names)) if path is not None]
+    session = df.sparkSession
+    pred = (
+        session.read.schema(schema).parquet(*paths)
+        if paths
+        else session.createDataFrame([], schema)
+    )
     sweep = threshold_sweep(pred, sorted({*thresholds, DEFAULT_LONG}), [key])
     best = best_threshold(sweep, [key], "f1", DEFAULT_LONG).drop("best")
     return (
@@ -325,36 +335,27 @@ def grid_search(
     """(mean F1 per combination, best model refitted on all rows).
 
     `folds` are (train, test) conditions on `df`, for example over the block column of
-    `expanding_folds`.  Fits run a few at a time; all held-out scores are evaluated in
-    one grouped pass.
+    `expanding_folds`.  Fits run a few at a time; each leaves one number behind, so the
+    size of the grid does not show in any plan.
     """
     df = materialise(df)
     options = combinations(grid)
 
-    def held_out(job: tuple[int, int]) -> DataFrame:
+    def held_out(job: tuple[int, int]) -> float:
         option, fold = job
         train, test = folds[fold]
         fitted = fit(df.where(train), columns, label, spec.with_params(**options[option]))
-        return fitted.score(df.where(test)).select(
-            F.lit(option).alias("option"), F.lit(fold).alias("fold"), F.col(label).alias("y"), "p"
-        )
+        scored = fitted.score(df.where(test)).withColumn("y", F.col(label))
+        return threshold_sweep(scored, [threshold], []).first()["f1"]
 
     jobs = list(product(range(len(options)), range(len(folds))))
     with ThreadPoolExecutor(parallel) as pool:
-        scored = list(pool.map(held_out, jobs))
-    sweep = threshold_sweep(
-        reduce(DataFrame.unionByName, scored), [threshold], ["option", "fold"]
-    )
-    means = materialise(sweep.groupBy("option").agg(F.avg("f1").alias("mean_f1")))
-    best = means.orderBy(F.desc("mean_f1"), "option").first()["option"]
-    described = F.element_at(
-        F.create_map(
-            *[x for i, o in enumerate(options) for x in (F.lit(i), F.lit(str(o)))]
-        ),
-        F.col("option"),
-    )
-    results = means.select("option", described.alias("params"), "mean_f1")
-    return results, fit(df, columns, label, spec.with_params(**options[best]))
+        f1 = list(pool.map(held_out, jobs))
+    means = np.reshape(f1, (len(options), len(folds))).mean(axis=1)
+    best = options[int(np.argmax(means))]  # the first of equals
+    rows = [(i, str(o), float(m)) for i, (o, m) in enumerate(zip(options, means, strict=True))]
+    results = df.sparkSession.createDataFrame(rows, "option int, params string, mean_f1 double")
+    return results, fit(df, columns, label, spec.with_params(**best))
 
 
 def expanding_conditions(n_splits: int, block: str = "block") -> list[tuple[Column, Column]]:

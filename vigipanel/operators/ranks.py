@@ -16,6 +16,9 @@ from vigipanel.session import TASK_ROWS, materialise, small_side
 
 _CUTS, _CELL = "__cuts", "__cell"
 
+# `percentile` keeps the distinct values of a group in one buffer, boxed.
+PERCENTILE_ROWS = 1_000_000
+
 
 def rank_in_slices(
     df: DataFrame,
@@ -74,15 +77,18 @@ def sorted_positions(df: DataFrame, order: Sequence[str], name: str = "position"
     )
 
 
-def _cell(value: str, steps: int) -> Column:
-    """How many cut points lie below the value: a binary search over the cuts."""
-    cuts, v = F.col(_CUTS), F.col(value)
-
-    def step(low: Column, width: Column) -> Column:
-        return F.when(F.get(cuts, low + width - 1) < v, low + width).otherwise(low)
+def _with_cell(df: DataFrame, value: str, steps: int) -> DataFrame:
+    """How many cut points lie below the value: a binary search, one projection per step.
 
-    widths = F.array(*[F.lit(1 << s) for s in reversed(range(steps))])
-    return F.aggregate(widths, F.lit(0), step)
+    Each step reads the column of the step before, so the search stays in generated code
+    and its expression does not grow.
+    """
+    df = df.withColumn(_CELL, F.lit(0))
+    for width in (1 << s for s in reversed(range(steps))):
+        low = F.col(_CELL)
+        above = F.get(_CUTS, low + (width - 1)) < F.col(value)
+        df = df.withColumn(_CELL, low + F.when(above, width).otherwise(0))
+    return df
 
 
 def value_cells(df: DataFrame, keys: Sequence[str], value: str, steps: int) -> DataFrame:
@@ -99,7 +105,7 @@ def value_cells(df: DataFrame, keys: Sequence[str], value: str, steps: int) -> D
         marked = df.join(small_side(cuts, max(1, 2_000_000 // cells)), list(keys))
     else:
         marked = df.withColumn(_CUTS, cuts.scalar())
-    return marked.withColumn(_CELL, _cell(value, steps)).drop(_CUTS)
+    return _with_cell(marked, value, steps).drop(_CUTS)
 
 
 def _before(
@@ -176,7 +182,7 @@ def exact_quantiles(
         *keys, F.col(value).cast("double").alias("value")
     )
     if steps is None:
-        if largest_group(rows, keys) <= TASK_ROWS:
+        if largest_group(rows, keys) <= PERCENTILE_ROWS:
             at = F.percentile("value", list(probs.values())).alias("__q")
             return rows.groupBy(*keys).agg(at).select(
                 *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]

@@ -100,9 +100,12 @@ def f05(spark, sf):
 MI = ("inc_lag1", "inc_lag4", "inc_roll4", "inc_roll12", "t2m", "rh2m_lag2", "month_sin")
 
 
-def mi_sql() -> str:
+def mi_sql(columns=MI, fill=False) -> str:
+    """Binned information of each feature; `fill` puts the median in place of missing values."""
+    value = "coalesce({c}, median({c}) over ())" if fill else "{c}"
     long = " union all ".join(
-        f"select '{c}' as feature, is_outbreak as y, {c} as v from train" for c in MI
+        f"select '{c}' as feature, is_outbreak as y, {value.format(c=c)} as v from train"
+        for c in columns
     )
     cuts = ", ".join(f"quantile_cont(v, {i / 10}) as c{i}" for i in range(1, 10))
     bins = " + ".join(f"cast(v > c{i} as int)" for i in range(1, 10))
@@ -132,13 +135,28 @@ def o04(spark, sf):
     return L.select_top_mi(f06(spark, sf), 4)
 
 
-@query("f07_assemble")
+@query(
+    "f07_assemble",
+    f"""with {TRAIN_V3} select prov, maladie, debutsem, {len(CORR)} as n_features from train
+    where {' and '.join(f'{c} is not null' for c in CORR)}""",
+)
 def f07(spark, sf):
     rows = M.assemble(train_v3(spark, sf).dropna(subset=list(CORR)), CORR)
     return rows.select(*ROW, F.size(M.vector_to_array("features")).alias("n_features"))
 
 
-@query("f08_select_features")
+@query(
+    "f08_select_features",
+    f"""with {mi_sql(CORR, fill=True)}, p as ({corr_sql()}),
+    flat as ({' union all '.join(
+        f"select '{c}' as feature from train having var_samp({c}) <= 1e-6" for c in CORR)}),
+    gone as (select distinct b as feature from p where abs(r) > 0.95
+             and a not in (select feature from flat)),
+    ranked as (select feature, row_number() over (order by mi desc, feature) - 1 as position
+      from mi where mi > 0 and feature not in (select feature from gone)
+        and feature not in (select feature from flat))
+    select cast(position as int) as position, feature from ranked where position < 8""",
+)
 def f08(spark, sf):
     names = L.select_features(train_v3(spark, sf), CORR, LABEL, limit=0.95, k=8)
     return spark.createDataFrame([(i, c) for i, c in enumerate(names)], "position int, feature string")

@@ -13,6 +13,19 @@ BROADCAST_ROWS = 200_000
 TASK_ROWS = 2_000_000
 
 
+# Settings for a large cluster; `spark.checkpoint.dir` must name a shared folder there.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Start with many small shuffle partitions and let AQE merge them to this size.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Windows ask for all of their keys, not for a coarser partitioning left by a join.
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+}
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder named by `spark.checkpoint.dir`.
 
