@@ -85,7 +85,8 @@ WEATHER_CTE = """
 weather as (
   select r_name as prov, cast(year(l_shipdate) as int) as annee,
          cast(month(l_shipdate) as int) as mois,
-         avg(l_quantity) as prectotcorr, avg(l_discount) * 400 as t2m, avg(l_tax) * 1500 as rh2m
+         round(avg(l_quantity), 10) as prectotcorr, round(avg(l_discount) * 400, 10) as t2m,
+         round(avg(l_tax) * 1500, 10) as rh2m
   from lineitem join supplier on l_suppkey = s_suppkey
                 join nation on s_nationkey = n_nationkey
                 join region on n_regionkey = r_regionkey

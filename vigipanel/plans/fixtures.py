@@ -120,9 +120,10 @@ def weather_monthly(spark: SparkSession, sf: str) -> DataFrame:
             F.month("l_shipdate").alias("mois"),
         )
         .agg(
-            F.avg("l_quantity").alias("prectotcorr"),
-            (F.avg("l_discount") * 400).alias("t2m"),
-            (F.avg("l_tax") * 1500).alias("rh2m"),
+            # Rounded, so that equal means are equal whatever order they were summed in.
+            F.round(F.avg("l_quantity"), 10).alias("prectotcorr"),
+            F.round(F.avg("l_discount") * 400, 10).alias("t2m"),
+            F.round(F.avg("l_tax") * 1500, 10).alias("rh2m"),
         )
     )
 
