@@ -36,7 +36,7 @@ def rank_in_slices(
     """
     keys, levels = list(keys), list(slices)
     df = df.withColumns(dict(slices))
-    counts = df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialise(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__n")))
     offset = F.lit(0).cast("bigint")
     table = counts
     for depth, level in enumerate(levels):

@@ -46,7 +46,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder = shared_folder(spark)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # One folder per application, so that all its steps can be removed with it.
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
