@@ -66,7 +66,7 @@ def test_rank_in_slices_is_the_global_order(spark):
     pdf["id"] = rng.permutation(500)
     ranked = rank_in_slices(
         spark.createDataFrame(pdf),
-        slices={"s0": F.col("w"), "s1": F.col("p")},
+        slices=[F.col("w"), F.col("p")],
         order=["id"],
     ).toPandas()
     want = ranked.sort_values(["w", "p", "id"])
@@ -76,7 +76,7 @@ def test_rank_in_slices_is_the_global_order(spark):
 def test_rank_within_keys(spark):
     pdf = pd.DataFrame({"k": ["a"] * 5 + ["b"] * 3, "t": [5, 3, 1, 2, 4, 9, 7, 8]})
     out = rank_in_slices(
-        spark.createDataFrame(pdf), slices={"s": F.floor(F.col("t") / 2)}, order=["t"], keys=["k"]
+        spark.createDataFrame(pdf), slices=[F.floor(F.col("t") / 2)], order=["t"], keys=["k"]
     ).toPandas()
     want = out.groupby("k").t.rank().astype(int)
     assert (out["rank"] == want).all()
@@ -88,3 +88,12 @@ def test_sorted_positions(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
     out = {r.name: r.position for r in sorted_positions(df, ["name"]).collect()}
     assert out == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_missing_slices_and_keys_keep_their_rows(spark):
+    rows = [(None, "a", 1), (None, None, 2), (3, None, 3), (3, "b", 4), (1, "a", 5)]
+    df = spark.createDataFrame(rows, "w int, p string, id int")
+    whole = rank_in_slices(df, slices=[F.col("w"), F.col("p")], order=["id"])
+    assert {r.id: r["rank"] for r in whole.collect()} == {2: 1, 1: 2, 5: 3, 3: 4, 4: 5}
+    within = rank_in_slices(df, slices=[F.col("w")], order=["id"], keys=["p"])
+    assert {r.id: r["rank"] for r in within.collect()} == {1: 1, 5: 2, 2: 1, 3: 2, 4: 1}

@@ -23,7 +23,7 @@ PERCENTILE_ROWS = 1_000_000
 def rank_in_slices(
     df: DataFrame,
     *,
-    slices: Mapping[str, Column],
+    slices: Sequence[Column],
     order: Sequence[str],
     keys: Sequence[str] = (),
     name: str = "rank",
@@ -32,33 +32,37 @@ def rank_in_slices(
 
     `slices` are nested levels, each non-decreasing in the order wanted (a week, then
     a province).  The offsets are found level by level on the table of slice counts,
-    so a task only ever sorts the rows of one innermost slice.
+    so a task only ever sorts the rows of one innermost slice.  Missing values come
+    first, as in a sort.
     """
-    keys, levels = list(keys), list(slices)
-    df = df.withColumns(dict(slices))
-    counts = materialise(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__n")))
-    offset = F.lit(0).cast("bigint")
-    table = counts
-    for depth, level in enumerate(levels):
-        outer = keys + levels[:depth]
-        totals = counts.groupBy(*outer, level).agg(F.sum("__n").alias("__t"))
-        before = Window.partitionBy(*outer).orderBy(level).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        totals = totals.withColumn(
-            f"__before{depth}", F.coalesce(F.sum("__t").over(before), F.lit(0))
-        ).drop("__t")
-        table = table.join(totals, [*outer, level])
-        offset = offset + F.col(f"__before{depth}")
-    table = table.select(*keys, *levels, offset.alias("__before"))
-    inner = Window.partitionBy(*keys, *levels).orderBy(*order)
-    return (
-        df.join(table, [*keys, *levels])
-        .withColumn(name, F.col("__before") + F.row_number().over(inner))
-        .drop("__before")
+    columns = df.columns
+    # Inside a struct a missing value is equal to itself, so the join keeps its rows.
+    groups = {f"__k{i}": F.struct(k) for i, k in enumerate(keys)}
+    levels = {f"__s{i}": F.struct(s) for i, s in enumerate(slices)}
+    df = df.withColumns({**groups, **levels})
+    outer, inner = list(groups), list(levels)
+    counts = materialise(df.groupBy(*outer, *inner).agg(F.count(F.lit(1)).alias("__n")))
+    # Rows before the innermost slice within its parent slice, then parents upwards.
+    parts = [outer + inner[:depth] for depth in range(len(inner))]
+    table = counts.withColumn("__before", _sum_before("__n", parts[-1], inner[-1])).drop("__n")
+    for depth in reversed(range(len(inner) - 1)):
+        by = [*parts[depth], inner[depth]]
+        totals = counts.groupBy(*by).agg(F.sum("__n").alias("__n"))
+        higher = totals.select(*by, _sum_before("__n", parts[depth], inner[depth]).alias("__more"))
+        table = table.join(higher, by).withColumn("__before", F.col("__before") + F.col("__more"))
+        table = table.drop("__more")
+    window = Window.partitionBy(*outer, *inner).orderBy(*order)
+    return df.join(table, [*outer, *inner]).select(
+        *columns, (F.col("__before") + F.row_number().over(window)).alias(name)
     )
 
 
+def _sum_before(column: str, keys: Sequence[str], by: Column | str) -> Column:
+    """Sum of a column over the rows ahead; 0 for the first."""
+    window = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
 def sorted_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position in the sort order, for columns that have no natural slices.
 
@@ -69,8 +73,7 @@ def sorted_positions(df: DataFrame, order: Sequence[str], name: str = "position"
         df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
     ).withColumn("__part", F.shiftright("__id", 33))
     sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    offsets = sizes.select("__part", _sum_before("__n", [], "__part").alias("__off"))
     inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.join(small_side(offsets), "__part").select(
         *df.columns, (F.col("__off") + inside).alias(name)
@@ -108,14 +111,8 @@ def value_cells(df: DataFrame, keys: Sequence[str], value: str, steps: int) -> D
     return _with_cell(marked, value, steps).drop(_CUTS)
 
 
-def _before(
-    window_keys: Sequence[str], by: Column, sums: Sequence[str]
-) -> dict[str, Column]:
-    """{<c>_before: sum of c over the rows ahead}."""
-    window = Window.partitionBy(*window_keys).orderBy(by).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return {f"{c}_before": F.coalesce(F.sum(c).over(window), F.lit(0)) for c in sums}
+def _before(keys: Sequence[str], by: Column, sums: Sequence[str]) -> dict[str, Column]:
+    return {f"{c}_before": _sum_before(c, keys, by) for c in sums}
 
 
 def running_sums(
@@ -129,7 +126,7 @@ def running_sums(
 ) -> DataFrame:
     """Add `<c>_before`: the sum of c over the rows of the group ahead of this one.
 
-    `table` has one row per (keys, value).  Up to `TASK_ROWS` rows a plain window does.
+    `table` has one row per (keys, value), none of them missing.  Up to `TASK_ROWS` rows a plain window does.
     Beyond (or with `steps` given) the groups are cut into cells; a task then holds one
     cell, and the totals of the cells are the offsets.
     """
@@ -176,9 +173,10 @@ def exact_quantiles(
     cells are counted and ranked: about one row in 2**steps per quantile.
 
     A stored table is scanned three times for this; store an expensive input first.
+    Rows without a key form no group.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = df.dropna(subset=[*keys, value]).select(
         *keys, F.col(value).cast("double").alias("value")
     )
     if steps is None:

@@ -55,7 +55,9 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.sum(s).alias(s) for s in sums]
     )
     n, sx, sy, sxx, syy, sxy = (F.col(s) for s in sums)
-    spread = F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy)
+    # Rounding may leave a constant column a hair below zero.
+    spread_x, spread_y = (F.greatest(n * q - s * s, F.lit(0.0)) for q, s in ((sxx, sx), (syy, sy)))
+    spread = F.sqrt(spread_x) * F.sqrt(spread_y)
     names = F.array(*[F.lit(c) for c in columns])
     return pairs.select(
         "i",

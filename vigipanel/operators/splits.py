@@ -47,9 +47,8 @@ def ranked_rows(
     name: str = "rank",
 ) -> DataFrame:
     """Global position by the columns of `slices`, then `order`, starting at 1."""
-    levels = {f"__s{i}": F.col(c) for i, c in enumerate(slices)}
-    ranked = rank_in_slices(df, slices=levels, order=order, keys=within, name=name)
-    return ranked.select(*df.columns, name)
+    levels = [F.col(c) for c in slices]
+    return rank_in_slices(df, slices=levels, order=order, keys=within, name=name)
 
 
 def row_total(df: DataFrame) -> Column:

@@ -119,8 +119,8 @@ def _in_runs(
     large = materialise(keyed.join(hot, keys, "left_semi"))
     celled = value_cells(large, keys, order, steps=10)
     ranked = rank_in_slices(
-        celled, keys=keys, slices={"__slice": F.col("__cell")}, order=[order], name=_POS
-    ).drop("__slice", "__cell")
+        celled, keys=keys, slices=[F.col("__cell")], order=[order], name=_POS
+    ).drop("__cell")
     run = F.floor((F.col(_POS) - 1) / limit)
     offset = (F.col(_POS) - 1) % limit
     targets = F.array_compact(
