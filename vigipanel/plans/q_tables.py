@@ -148,13 +148,13 @@ def p05(spark, sf):
 @query(
     "p06_abs_change",
     f"""with {MASTER} select prov, maladie, debutsem,
-        round(abs({lag_sql('t2m', 4)} - t2m), 8) + 0.0 as t2m_change,
-        round(abs({lag_sql('prectotcorr', 4)} - prectotcorr), 8) + 0.0 as prectotcorr_change,
-        round(abs({lag_sql('rh2m', 4)} - rh2m), 8) + 0.0 as rh2m_change
+        round(abs({lag_sql('t2m', 4)} - t2m), 6) + 0.0 as change_t2m,
+        round(abs({lag_sql('prectotcorr', 4)} - prectotcorr), 6) + 0.0 as change_prectotcorr,
+        round(abs({lag_sql('rh2m', 4)} - rh2m), 6) + 0.0 as change_rh2m
     from master""",
 )
 def p06(spark, sf):
-    names = {c: f"{c}_change" for c in ("t2m", "prectotcorr", "rh2m")}
+    names = {c: f"change_{c}" for c in ("t2m", "prectotcorr", "rh2m")}
     out = add_abs_change(fx.master(spark, sf), names, 4, KEYS, WEEK, weekly_groups=True)
     return out.select(*ROW, *names.values())
 
