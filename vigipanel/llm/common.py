@@ -12,7 +12,7 @@ from vigipanel.session import ship_package
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A token cache is emptied beyond this many entries, so that memory stays bounded.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 # Longer chunks are not worth keeping: they hardly ever come back.
 CACHE_CHARS = 40
 

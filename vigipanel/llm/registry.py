@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigipanel.llm import bpe, decontaminate, token_files
+from vigipanel.llm import bpe, decontaminate, embedding_dedup, minhash, secrets, token_files, toxicity
 from vigipanel.llm.common import table
 from vigipanel.session import scratch_path
 
@@ -43,3 +43,25 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokens = bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(tokens, ranks))
+
+
+@query
+def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), size=3, percent=85)
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit_on_labels(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(table(spark, sf, "documents")))
