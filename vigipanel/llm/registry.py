@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigipanel.llm import bpe, decontaminate, embedding_dedup, minhash, secrets, token_files, toxicity
+from vigipanel.llm import bpe, decontaminate, embedding_dedup, licenses, minhash, secrets, token_files, toxicity
 from vigipanel.llm.common import table
 from vigipanel.session import scratch_path
 
@@ -65,3 +65,11 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.summary(secrets.find_secrets(table(spark, sf, "documents")))
+
+
+@query
+def op1_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+ORACLES["op1_licenses"] = licenses.oracle_sql()
