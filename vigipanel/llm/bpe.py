@@ -44,12 +44,6 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self._spines: dict[int, tuple[list, list] | None] = {}
 
-    @classmethod
-    def read(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
-
     def merges(self, data: bytes) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
         """The definition of BPE: merge the neighbours of lowest rank, leftmost first.
 
@@ -173,9 +167,20 @@ class Prefixes:
         return out[::-1]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary.read(path)
+    return Vocabulary(read_ranks(path))
+
+
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
 
 
 @functools.lru_cache(maxsize=2)
@@ -222,7 +227,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """doc_id, ids and the bytes they stand for; null ids give no bytes, an unknown id fails."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens.__getitem__
+        token = token_bytes(path).__getitem__
         for batch in batches:
             data = [b"".join(map(token, ids.as_py() or ())) for ids in batch.column(1)]
             arrays = [batch.column(0), batch.column(1), pa.array(data, pa.binary())]
