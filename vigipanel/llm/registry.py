@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigipanel.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, minhash, secrets, token_files, toxicity
+from vigipanel.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, line_templates, minhash, secrets, token_files, toxicity
 from vigipanel.llm.common import table
 from vigipanel.session import scratch_path
 
@@ -78,3 +78,9 @@ ORACLES["op1_licenses"] = licenses.oracle_sql()
 @query
 def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
