@@ -199,6 +199,18 @@ def near_duplicates(
     return with_words.unionByName(without).withColumn("kept", kept)
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near-duplicates, with all columns: of each component the one with
+    the smallest id.  Repeated rows leave one row.  A row without an id goes by a stand-in made
+    of its text, above all real ids, so of a group without ids one text stays.
+    """
+    stand_in = F.lit(1 << 62) + F.abs(F.xxhash64("text") % (1 << 61))
+    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), stand_in), "_text": F.xxhash64("text")})
+    found = near_duplicates(marked.select(F.col("_id").alias("doc_id"), "text"), size, percent)
+    kept = materialise(found.where("kept").select(F.col("doc_id").alias("_id")).distinct())
+    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+
+
 def _node_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
     banded = nodes.select(F.explode("bands").alias("bucket"), "node", "n", F.col("node").alias("component"))

@@ -175,19 +175,19 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERM
 
 
 def weights_of(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, weight, n_words and the carried columns; the model is at most MAX_TERMS terms."""
+    """doc_id, the carried columns, weight and n_words; the model is at most MAX_TERMS terms."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    out = list(dict.fromkeys(["doc_id", *carry]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = handle.value.automaton()
         for batch in batches:
             pairs = [weigh(folded(t.as_py()), automaton) for t in batch.column("text")]
             arrays = [pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.int64())]
-            kept = [batch.column(c) for c in ("doc_id", *carry)]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], ["doc_id", *carry, "weight", "n_words"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, out), *arrays], [*out, "weight", "n_words"])
 
-    rows = docs.select("doc_id", "text", *carry)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    rows = docs.select(*dict.fromkeys([*out, "text"]))
+    schema = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out]
     return map_batches(rows, work, ", ".join([*schema, "weight double, n_words bigint"]))
 
 
@@ -197,12 +197,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null or empty text has no matches and gets the lowest score.  Rows are independent:
     repeated rows, null ids and empty tables pass through; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    others = tuple(c for c in carry if c not in ("doc_id", "text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
     weighed = weights_of(source, model, carry)
     a, b, c = model.coefficients
     line = a + b * F.log1p("weight") + c * F.log1p(100 * F.col("weight") / F.greatest("n_words", F.lit(1)))
     value = 1 / (1 + F.exp(-line))
-    return weighed.select("doc_id", *carry, value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    return weighed.select(*dict.fromkeys(["doc_id", *carry]), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    carry = tuple(c for c in docs.columns if c not in ("score", "predicted", "weight", "n_words"))
+    return score(docs, model, carry=carry).where("predicted = 0").select(*carry)
 
 
 def held_out(id_col: str = "doc_id"):
