@@ -146,7 +146,7 @@ def test_model_per_group_without_support(rows):
     out = M.train_per_group(rows, "g", COLUMNS, "y", spec("XGBoost"), 1999, min_rows=10_000)
     assert out.count() == 0
     assert out.columns == [
-        "g", "samples", "outbreaks", "auc", "precision", "recall", "f1", "threshold",
+        "g", "samples", "outbreaks", "status", "auc", "precision", "recall", "f1", "threshold",
     ]
 
 

@@ -19,7 +19,7 @@ def test_json_month_thirteen_is_left_out(spark):
         "prov string, body string",
     )
     rows = sorted((r.annee, r.mois, r.param, r.value) for r in X.weather_long(docs).collect())
-    assert rows == [(2006, 1, "T2M", 25.0), (2006, 12, "T2M", 26.0)]
+    assert rows == [(2006, 1, "t2m", 25.0), (2006, 12, "t2m", 26.0)]
 
 
 def test_two_locations_of_one_province_are_averaged(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigipanel.session import scratch_path
+from vigipanel.session import scratch_path, ship_package
 
 PREFIX = "phi_"
 
@@ -134,26 +134,37 @@ def _leaves(nodes: pd.DataFrame, weight: float) -> Iterator[Leaf]:
             todo.append((child, path | {row.feature: (*bounds, share * part)}))
 
 
-def _leaf_phi(x: np.ndarray, leaf: Leaf, out: np.ndarray) -> None:
+def _leaf_phi(x: np.ndarray, leaf: Leaf, out: np.ndarray, table: np.ndarray | None = None) -> None:
     """Add the Shapley values of one leaf for a batch of rows.
 
+    They depend only on which of its features hold, so a table of all cases is looked up.
     A leaf pays `value * prod(inside_j or share_j)` over a coalition's known and unknown
     features.  `weights[:, s]` collects that product over the coalitions of size s among
     the other features, as coefficients of prod(share_j + inside_j * t).
     """
+    own = x[:, leaf.features]
+    # A missing value goes right at every split: it is above any bound and below none.
+    inside = ~(own <= leaf.low) & ((own <= leaf.high) | np.isposinf(leaf.high))
+    table = _leaf_table(leaf) if table is None else table
+    out[:, leaf.features] += table[inside @ (1 << np.arange(len(leaf.features)))]
+
+
+def _leaf_table(leaf: Leaf) -> np.ndarray:
+    """The Shapley values of one leaf for every set of its features whose bounds hold."""
     m = len(leaf.features)
-    inside = (x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)
-    inside = inside.astype(float)
+    inside = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
     sizes = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
-    for i, feature in enumerate(leaf.features):
-        weights = np.zeros((len(x), m))
+    table = np.zeros((1 << m, m))
+    for i in range(m):
+        weights = np.zeros((1 << m, m))
         weights[:, 0] = 1.0
         for j in range(m):
             if j != i:
                 known = weights[:, :-1] * inside[:, [j]]
                 weights *= leaf.share[j]
                 weights[:, 1:] += known
-        out[:, feature] += leaf.value * (inside[:, i] - leaf.share[i]) * (weights @ sizes)
+        table[:, i] = leaf.value * (inside[:, i] - leaf.share[i]) * (weights @ sizes)
+    return table
 
 
 def tree_contributions(
@@ -167,6 +178,7 @@ def tree_contributions(
     The leaves (trees x 2**depth, a size of the model, not of the data) go to the tasks
     with the closure; rows are scored in Arrow batches where they lie.
     """
+    ship_package(df.sparkSession)
     nodes = ensemble_nodes(model, df.sparkSession).toPandas()
     log_odds = [2.0 * w for w in model.treeWeights]
     leaves = [
@@ -183,11 +195,12 @@ def tree_contributions(
     )
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [_leaf_table(leaf) for leaf in split_leaves]
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
             phi = np.zeros_like(x)
-            for leaf in split_leaves:
-                _leaf_phi(x, leaf, phi)
+            for leaf, table in zip(split_leaves, tables):
+                _leaf_phi(x, leaf, phi, table)
             made = pd.DataFrame(phi, columns=[PREFIX + c for c in features], index=batch.index)
             yield pd.concat([batch[keep], made], axis=1)
 

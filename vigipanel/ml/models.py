@@ -62,7 +62,9 @@ FULL: dict[str, dict[str, Any]] = {
     },
 }
 
-# Search grids, in the names of the Spark parameters.
+# Search grids, in the names of the Spark parameters.  Two axes of the originals
+# have no Spark parameter, the rows a node needs before it is split and the number of leaves of
+# a tree grown leaf by leaf; without them the first and the last grid have half as many options.
 GRIDS: dict[str, dict[str, Sequence[Any]]] = {
     "gradient_boosting": {
         "maxIter": (200, 300), "stepSize": (0.03, 0.05), "maxDepth": (3, 4),
@@ -269,16 +271,19 @@ def train_per_group(
     min_positives: int = 20,
     thresholds: Sequence[float] = GRID_LONG,
     parallel: int = 4,
+    year: str = "annee",
 ) -> DataFrame:
     """One model per group with enough support; a result row per group, best AUC first.
 
-    A group whose training years hold a single class gets no model and no row.
+    `status` is "trained", or says why there are no metrics: the training years hold a
+    single class, or there are no rows to test on.  The driver walks the groups, so their
+    number should be that of diseases, not of rows.
 
     Each fit is a distributed Spark ML job, so a group may be of any size.  The rows are
     stored partitioned by group first, so that a fit reads its own group only.  A few
     fits run side by side to keep the cluster busy while one waits on its driver step.
     """
-    df = df.select(*dict.fromkeys([key, "annee", label, *columns]))
+    df = df.select(*dict.fromkeys([key, year, label, *columns]))
     stored = scratch_path(df.sparkSession, "per-group")
     write_table(df, stored, partition_by=[key])
     df = df.sparkSession.read.schema(df.schema).parquet(stored)
@@ -291,7 +296,7 @@ def train_per_group(
     def one(job: tuple[int, str]) -> str | None:
         number, name = job
         rows = df.where(F.col(key) == name)
-        train, test = rows.where(F.col("annee") <= cut), rows.where(F.col("annee") > cut)
+        train, test = rows.where(F.col(year) <= cut), rows.where(F.col(year) > cut)
         if train.select(label).distinct().count() < 2:
             return None
         part = fit(train, columns, label, spec).score(test)
@@ -309,11 +314,21 @@ def train_per_group(
     )
     sweep = threshold_sweep(pred, sorted({*thresholds, DEFAULT_LONG}), [key])
     best = best_threshold(sweep, [key], "f1", DEFAULT_LONG).drop("best")
+    classes = F.count_distinct(F.when(F.col(year) <= cut, F.col(label)))
+    tests = F.count_if(F.col(year) > cut)
+    state = df.groupBy(key).agg(classes.alias("__classes"), tests.alias("__tests"))
+    status = (
+        F.when(F.col("__classes") < 2, "one class in training")
+        .when(F.col("__tests") == 0, "no rows to test")
+        .otherwise("trained")
+    )
     return (
-        support.join(auc(pred, [key]), key)
-        .join(sweep.join(best, [key, "threshold"]), key)
-        .select(key, "samples", "outbreaks", "auc", "precision", "recall", "f1", "threshold")
-        .orderBy(F.desc("auc"), key)
+        support.join(state, key)
+        .join(auc(pred, [key]), key, "left")
+        .join(sweep.join(best, [key, "threshold"]), key, "left")
+        .withColumn("status", status)
+        .select(key, "samples", "outbreaks", "status", "auc", "precision", "recall", "f1", "threshold")
+        .orderBy(F.desc_nulls_last("auc"), key)
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigipanel.operators.ranks import exact_quantiles, sorted_positions
 from vigipanel.session import small_side
 
-# A one-hot level becomes a column, so their number is a schema size.
+# A one-hot level becomes a column, so their number is a schema size; more levels fit a vector.
 MAX_LEVELS = 5_000
 
 
@@ -37,21 +38,43 @@ def decode(df: DataFrame, codes: DataFrame, code: str, name: str) -> DataFrame:
     return df.join(small_side(table), code, "left")
 
 
-def levels(df: DataFrame, column: str) -> list[str]:
+def levels(df: DataFrame, column: str, most: int = MAX_LEVELS) -> list[str]:
     """Sorted distinct values, for use as column names."""
-    rows = df.select(column).dropna().distinct().orderBy(column).limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has over {MAX_LEVELS} values: use ordinal_encode")
+    rows = df.select(column).dropna().distinct().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has over {most} values: use one_hot_vector, or allow more")
     return [r[0] for r in rows]
 
 
+def one_hot_vector(
+    df: DataFrame, columns: Sequence[str], name: str = "{col}_vector", fit_on: DataFrame | None = None
+) -> DataFrame:
+    """A sparse 0/1 vector per column, for any number of levels.
+
+    A missing value or a level not seen in fitting is all zeros.
+    """
+    source = fit_on if fit_on is not None else df
+    coded = ordinal_encode(df, columns, "__code", source)
+    for c in columns:
+        size = ordinal_codes(source, c).count()
+        # One position beyond the known ones, which the encoder drops, stands for the others.
+        code = F.coalesce(F.col(c + "__code"), F.lit(size)).cast("double")
+        encoder = OneHotEncoder(inputCol=c + "__code", outputCol=name.format(col=c), dropLast=True)
+        sizes = df.sparkSession.range(size + 1).select(F.col("id").cast("double").alias(c + "__code"))
+        coded = encoder.fit(sizes).transform(coded.withColumn(c + "__code", code)).drop(c + "__code")
+    return coded
+
+
 def one_hot(
-    df: DataFrame, columns: Sequence[str], known: Mapping[str, Sequence[str]] | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    known: Mapping[str, Sequence[str]] | None = None,
+    most: int = MAX_LEVELS,
 ) -> DataFrame:
     """A 0/1 column `<column>_<level>` per level but the first; the column itself goes."""
     made = {}
     for c in columns:
-        for level in (known[c] if known else levels(df, c))[1:]:
+        for level in (known[c] if known else levels(df, c, most))[1:]:
             made[f"{c}_{level}"] = F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
     return df.withColumns(made).drop(*columns)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,11 @@ from pyspark.sql import functions as F
 from vigipanel.session import small_side
 
 
+def has_all(keys: Sequence[str]) -> Column:
+    """Whether a row has all of its keys."""
+    return reduce(and_, (F.col(k).isNotNull() for k in keys), F.lit(True))
+
+
 def attach_stats(
     df: DataFrame,
     keys: Sequence[str],
@@ -25,7 +32,7 @@ def attach_stats(
     keys = list(keys)
     if weekly_groups:
         group = Window.partitionBy(*keys)
-        return df.dropna(subset=keys).withColumns({n: s.over(group) for n, s in stats.items()})
+        return df.withColumns({n: F.when(has_all(keys), s.over(group)) for n, s in stats.items()})
     table = df.dropna(subset=keys).groupBy(*keys).agg(*[s.alias(n) for n, s in stats.items()])
     return df.join(small_side(table), keys, "left")
 

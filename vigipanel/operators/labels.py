@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigipanel.functions.scalar import exceeds, hybrid_threshold
+from vigipanel.operators.groups import has_all
 from vigipanel.operators.ranks import exact_quantiles
 from vigipanel.session import small_side
 
@@ -63,7 +64,7 @@ def label_outbreaks(
     training years.
     """
     if weekly_groups and fit_until is None:
-        limit = window_threshold(keys, value)
+        limit = F.when(has_all(keys), window_threshold(keys, value))
         return (
             df.withColumn("__limit", limit)
             .withColumn(name, exceeds(value, F.col("__limit")))

@@ -157,6 +157,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """Interpolation with the arithmetic of `percentile`, so that both paths agree to the bit."""
+    return F.when((part == 0) | (low == high), low).otherwise((1 - part) * low + part * high)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -224,10 +229,7 @@ def exact_quantiles(
     return picked.select(
         *keys,
         *[
-            (
-                F.col(f"__{name}_low")
-                + (F.col(f"__{name}_high") - F.col(f"__{name}_low")) * F.col(f"__{name}_part")
-            ).alias(name)
+            _between(F.col(f"__{name}_low"), F.col(f"__{name}_high"), F.col(f"__{name}_part")).alias(name)
             for name in probs
         ],
     )

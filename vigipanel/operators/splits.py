@@ -83,7 +83,9 @@ def expanding_folds(
     The test blocks are equally long and block 0 takes the remainder.
     """
     total = row_total(df)
+    few = F.raise_error(F.lit(f"fewer rows than {n_splits} folds need"))
     size = F.floor(total / (n_splits + 1))
+    size = F.when(size > 0, size).otherwise(few.cast("bigint"))
     first = total - n_splits * size
     position = F.col("__rank") - 1
     block = F.when(position < first, F.lit(0)).otherwise(F.floor((position - first) / size) + 1)

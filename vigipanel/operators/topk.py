@@ -26,9 +26,13 @@ def top_per_group(
 
 
 def best_by(results: DataFrame, metrics: Sequence[str], name: str = "model") -> DataFrame:
-    """(metric, model, value): the best model per metric; equal values go to the first name."""
+    """(metric, model, value): the best model per metric; equal values go to the first name.
+
+    A model without the metric is no candidate; a metric nobody has gives NULLs.
+    """
     best = {
-        m: F.min(F.struct((-F.col(m)).alias("v"), F.col(name).alias("n"))) for m in metrics
+        m: F.min(F.when(F.col(m).isNotNull(), F.struct((-F.col(m)).alias("v"), F.col(name).alias("n"))))
+        for m in metrics
     }
     row = results.agg(*[b.alias(m) for m, b in best.items()])
     return row.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,7 +42,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     if current is None and named:
         sc.setCheckpointDir(named)
     elif current is None and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigipanel-"))
+        folder = tempfile.mkdtemp(prefix="vigipanel-")
+        # The steps of a local session go with the process.
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return named or sc.getCheckpointDir()
 
 
@@ -76,15 +81,22 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute an intermediate once and cut its lineage: a table in the shared folder.
 
     Parquet rather than an RDD checkpoint, so that later jobs read only the columns they
-    use and the planner knows the size.  Without a shared folder the plan stays lazy.
+    use and the planner knows the size.  On a cluster without a shared folder this fails,
+    for a step that is evaluated twice need not give the same rows twice.
     """
-    if shared_folder(df.sparkSession) is None:
-        return df
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_steps(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it before the session stops."""
+    folder = shared_folder(spark)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a per-group table and mark it for broadcast if its size allows.
 
@@ -103,6 +115,16 @@ def bounded_by(df: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if source.count() <= rows else df
 
 
+def cluster_session(**conf: str) -> SparkSession:
+    """A session with the settings for a large cluster; needs spark.checkpoint.dir."""
+    builder = SparkSession.builder.appName("vigipanel")
+    for key, value in {**CLUSTER_CONF, **conf}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    scratch_path(spark, "check")  # fails now rather than in the middle of a job
+    return spark
+
+
 def local_session(cpus: int | str = 8, memory: str = "16g", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")

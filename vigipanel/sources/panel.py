@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, IntegralType, StructField, StructType
 
 from vigipanel.functions.scalar import nan_to_null
 from vigipanel.schema import HEALTH_SCHEMA, ROW_KEY
@@ -18,20 +18,45 @@ def read_panel(
 ) -> DataFrame:
     """A panel from CSV with a header, or from Parquet, with a declared schema.
 
-    NaN becomes NULL here, once, so that no later step meets two kinds of missing.
+    NaN becomes NULL here, once, so that no later step meets two kinds of missing.  Writers
+    put counts with gaps as `12.0`; they are read as numbers and cast, and a value that is
+    no whole number, or no number at all, fails the read.
     """
     if fmt == "csv":
-        df = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+        whole = {f.name: f.dataType for f in schema if isinstance(f.dataType, IntegralType)}
+        loose = StructType(
+            [StructField(f.name, DoubleType() if f.name in whole else f.dataType) for f in schema]
+        )
+        df = spark.read.schema(loose).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+        df = df.withColumns({c: whole_number(c).cast(kind) for c, kind in whole.items()})
     else:
         df = spark.read.format(fmt).load(path)
     doubles = [f.name for f in df.schema if isinstance(f.dataType, DoubleType)]
     return df.withColumns({c: nan_to_null(c) for c in doubles})
 
 
+def whole_number(column: str) -> Column:
+    """A double that holds a count; NaN is NULL, a fraction is an error."""
+    value = nan_to_null(column)
+    wrong = F.raise_error(F.concat(F.lit(f"{column} holds a fraction: "), value.cast("string")))
+    return F.when(value.isNull() | (value == F.floor(value)), value).otherwise(wrong)
+
+
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+    tasks_per_value: int = 1,
 ) -> None:
-    """One file per task, never gathered into one; partition features by year to prune."""
+    """One file per task, never gathered into one; partition features by year to prune.
+
+    Rows of one partition value go to `tasks_per_value` tasks, so that files do not multiply
+    with the tasks that hold the rows; give a large value more of them.
+    """
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_value))
+        df = df.repartition(*partition_by, salt)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -74,5 +99,8 @@ def require_weekly(df: DataFrame, keys: Sequence[str] = ROW_KEY) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str] = ROW_KEY, name: str = "row_id") -> DataFrame:
-    """A row identity that does not depend on partitioning or on a rerun."""
+    """A hint of a row's identity that does not depend on partitioning or on a rerun.
+
+    The key columns are the identity; 64 bits of them may collide among billions of rows.
+    """
     return df.withColumn(name, F.xxhash64(*keys))
