@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import CACHE_ENTRIES, Cache, ChunkCache, map_batches
+from vigipanel.llm.common import CACHE_ENTRIES, ChunkCache, map_batches
 
 TOKENS = "doc_id bigint, ids array<int>"
 DECODED = TOKENS + ", bytes binary"
@@ -198,8 +198,7 @@ def encoder(path: str, pattern: str) -> ChunkCache:
         whole = own.ranks.get(data)
         return array("i", [whole] if whole is not None else Prefixes(own, data).tokens()).tobytes()
 
-    words = Cache(word)
-    return ChunkCache(lambda chunk: b"".join(map(words.__getitem__, matches(chunk))))
+    return ChunkCache(matches, word)
 
 
 def encode(
@@ -229,7 +228,9 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = token_bytes(path).__getitem__
         for batch in batches:
-            data = [b"".join(map(token, ids.as_py() or ())) for ids in batch.column(1)]
+            column = batch.column(1)
+            ids, ends = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+            data = [b"".join(map(token, ids[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             arrays = [batch.column(0), batch.column(1), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "bytes"])
 

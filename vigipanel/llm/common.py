@@ -33,11 +33,11 @@ def map_batches(
 class Cache(dict):
     """A bounded memo of a function of short strings."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable):
         super().__init__()
         self.make = make
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         value = self.make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
@@ -51,14 +51,25 @@ class ChunkCache(Cache):
 
     The splitting pattern of byte-level BPE never takes white space except in a run of white
     space or as the one space before a word.  So a text may be cut before every space that
-    stands between two non-space characters, and the chunks tokenised apart.  `encode` gives
-    the ids of one chunk as bytes.  Texts with other runs of spaces have their chunks merged
-    until each starts and ends with a non-space character.
+    stands between two non-space characters, and the chunks tokenised apart.  `split` cuts a
+    text into pieces and `encode` gives the ids of a piece as bytes; a piece that is a space
+    and a word is kept under the word, as the chunk of that word alone would be.
+    Texts with other runs of spaces have their chunks merged until each starts and ends with a
+    non-space character.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__(lambda chunk: encode(" " + chunk))
-        self.encode = encode
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[str], bytes]):
+        super().__init__(self._chunk)
+        self.split, self.encode = split, encode
+        self.others = Cache(encode)
+
+    def _chunk(self, chunk: str) -> bytes:
+        pieces = self.split(" " + chunk)
+        return self.encode(pieces[0]) if len(pieces) == 1 else self._joined(pieces)
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        word = lambda p: len(p) > 1 and p[0] == " " and not (p[1].isspace() or p[-1].isspace())
+        return b"".join([self[p[1:]] if word(p) else self.others[p] for p in pieces])
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
@@ -72,7 +83,7 @@ class ChunkCache(Cache):
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
             try:
-                return [self.encode(first), *map(self.__getitem__, rest)]
+                return [self._joined(self.split(first)), *map(self.__getitem__, rest)]
             except KeyError:
                 pass
         return self._merged([first, *rest])
@@ -87,4 +98,4 @@ class ChunkCache(Cache):
             else:
                 chunks[-1] = f"{before} {part}"
         first, *rest = chunks
-        return [self.encode(first), *(self.encode(" " + c) if c[-1].isspace() else self[c] for c in rest)]
+        return [self._joined(self.split(first)), *(self._joined(self.split(" " + c)) for c in rest)]

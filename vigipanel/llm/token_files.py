@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import Cache, ChunkCache, map_batches
+from vigipanel.llm.common import ChunkCache, map_batches
 from vigipanel.llm.elias_fano import EliasFano
 
 MAGIC = struct.Struct("<4sBQ")
@@ -56,18 +56,16 @@ def encoder(path: str) -> ChunkCache:
     library.encode_special_tokens = True  # a special token's name in a text is ordinary text
     matches, model = regex.compile(public_tokenizers.PATTERN).findall, library.model
 
-    def word(piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+    def split(text: str) -> list[str]:
+        return matches(text) if max(text) < LATIN else [text]
 
-    words = Cache(word)
+    def encode(piece: str) -> bytes:
+        if max(piece) < LATIN:
+            mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+        return array("I", library.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def encode(chunk: str) -> bytes:
-        if max(chunk) < LATIN:
-            return b"".join(map(words.__getitem__, matches(chunk)))
-        return array("I", library.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    return ChunkCache(encode)
+    return ChunkCache(split, encode)
 
 
 def pack_shard(ids: list[bytes]) -> bytes:
