@@ -27,13 +27,15 @@ def rank_in_slices(
     order: Sequence[str],
     keys: Sequence[str] = (),
     name: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """1-based position of every row in its group, by `slices` then `order`.
 
     `slices` are nested levels, each non-decreasing in the order wanted (a week, then
     a province).  The offsets are found level by level on the table of slice counts,
     so a task only ever sorts the rows of one innermost slice.  Missing values come
-    first, as in a sort.
+    first, as in a sort.  `total` names a column for the number of all rows, which the
+    stored slice counts give without another look at the input.
     """
     columns = df.columns
     # Inside a struct a missing value is equal to itself, so the join keeps its rows.
@@ -51,9 +53,12 @@ def rank_in_slices(
         higher = totals.select(*by, _sum_before("__n", parts[depth], inner[depth]).alias("__more"))
         table = table.join(higher, by).withColumn("__before", F.col("__before") + F.col("__more"))
         table = table.drop("__more")
+    extra = [] if total is None else [total]
+    if total is not None:
+        table = table.withColumn(total, counts.agg(F.sum("__n")).scalar())
     window = Window.partitionBy(*outer, *inner).orderBy(*order)
     return df.join(table, [*outer, *inner]).select(
-        *columns, (F.col("__before") + F.row_number().over(window)).alias(name)
+        *columns, *extra, (F.col("__before") + F.row_number().over(window)).alias(name)
     )
 
 

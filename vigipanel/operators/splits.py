@@ -45,14 +45,11 @@ def ranked_rows(
     order: Sequence[str],
     within: Sequence[str] = (),
     name: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """Global position by the columns of `slices`, then `order`, starting at 1."""
     levels = [F.col(c) for c in slices]
-    return rank_in_slices(df, slices=levels, order=order, keys=within, name=name)
-
-
-def row_total(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+    return rank_in_slices(df, slices=levels, order=order, keys=within, name=name, total=total)
 
 
 def split_by_fraction(
@@ -63,11 +60,11 @@ def split_by_fraction(
     name: str = "split",
 ) -> DataFrame:
     """The first floor(fraction * n) rows train.  `slices + order` must be unique."""
-    limit = F.floor(F.lit(float(fraction)) * row_total(df))
+    limit = F.floor(F.lit(float(fraction)) * F.col("__total"))
     return (
-        ranked_rows(df, slices, order, name="__rank")
+        ranked_rows(df, slices, order, name="__rank", total="__total")
         .withColumn(name, F.when(F.col("__rank") <= limit, "train").otherwise("test"))
-        .drop("__rank")
+        .drop("__rank", "__total")
     )
 
 
@@ -82,7 +79,7 @@ def expanding_folds(
 
     The test blocks are equally long and block 0 takes the remainder.
     """
-    total = row_total(df)
+    total = F.col("__total")
     few = F.raise_error(F.lit(f"fewer rows than {n_splits} folds need"))
     size = F.floor(total / (n_splits + 1))
     size = F.when(size > 0, size).otherwise(few.cast("bigint"))
@@ -90,9 +87,9 @@ def expanding_folds(
     position = F.col("__rank") - 1
     block = F.when(position < first, F.lit(0)).otherwise(F.floor((position - first) / size) + 1)
     return (
-        ranked_rows(df, slices, order, name="__rank")
+        ranked_rows(df, slices, order, name="__rank", total="__total")
         .withColumn(name, block.cast("int"))
-        .drop("__rank")
+        .drop("__rank", "__total")
     )
 
 
