@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import map_batches
+from vigipanel.llm.common import map_batches, set_aside
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -242,8 +242,9 @@ def clean(
     """
     text_col = names.get("text_col", "text")
     id_col = names.get("id_col", "doc_id")
-    carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = scan(docs, benchmark, carry=carry, **names)
+    apart, back = set_aside(docs, id_col, text_col)
+    carry = tuple(back)
+    found = scan(apart, benchmark, carry=carry, **names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema[: len(carry) + 2])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,5 +260,4 @@ def clean(
             yield out.select([f"{n}" for n in out.schema.names[: len(carry) + 2]]).filter(pa.array(kept))
 
     out = map_batches(found, work, schema)
-    back = {"doc_id": id_col, "text": text_col}
-    return out.withColumnsRenamed(back).select(*docs.columns)
+    return out.withColumnsRenamed({**back, "doc_id": id_col, "text": text_col}).select(*docs.columns)

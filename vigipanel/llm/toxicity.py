@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import map_batches
+from vigipanel.llm.common import map_batches, set_aside
 from vigipanel.session import materialise
 
 # At most so many labelled documents are fitted on, those with the least hash of their id.
@@ -208,8 +208,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    carry = tuple(c for c in docs.columns if c not in ("score", "predicted", "weight", "n_words"))
-    return score(docs, model, carry=carry).where("predicted = 0").select(*carry)
+    apart, back = set_aside(docs, "doc_id", "text")
+    kept = score(apart, model, carry=("text", *back)).where("predicted = 0")
+    return kept.drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):
