@@ -30,6 +30,13 @@ def map_batches(
     return df.mapInArrow(work, schema)
 
 
+def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with every column but the kept ones under a name that clashes with nothing,
+    and the names to give back."""
+    back = {f"_aside{i}": c for i, c in enumerate(c for c in df.columns if c not in kept)}
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 class Cache(dict):
     """A bounded memo of a function of short strings."""
 
