@@ -170,3 +170,10 @@ def test_importances(rows):
     table = M.fit(rows, COLUMNS, "y", spec("Random Forest")).importances().collect()
     assert {r.feature for r in table} == set(COLUMNS)
     assert sum(r.importance for r in table) == pytest.approx(1)
+
+
+def test_forecast_settings():
+    specs = {s.name: s.params for s in M.forecast_specs({"SVM": {"maxIter": 3}})}
+    assert specs["Random Forest"]["numTrees"] == 200 and specs["Gradient Boosting"]["maxDepth"] == 3
+    assert specs["Neural Network"]["hidden"] == (64, 32) and specs["SVM"]["maxIter"] == 3
+    assert specs["XGBoost"] == {s.name: s.params for s in M.fixed_specs()}["XGBoost"]

@@ -62,6 +62,14 @@ FULL: dict[str, dict[str, Any]] = {
     },
 }
 
+# Where the forecast of a future outbreak departs from these.
+FORECAST: dict[str, dict[str, Any]] = {
+    "Random Forest": {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 1},
+    "Gradient Boosting": {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 1.0},
+    "Logistic Regression": {"c": 1.0, "maxIter": 1000},
+    "Neural Network": {"hidden": (64, 32), "maxIter": 300},
+}
+
 # Search grids, in the names of the Spark parameters.  Two axes of the originals
 # have no Spark parameter, the rows a node needs before it is split and the number of leaves of
 # a tree grown leaf by leaf; without them the first and the last grid have half as many options.
@@ -133,6 +141,12 @@ def fixed_specs(overrides: Mapping[str, Params] | None = None) -> list[ModelSpec
     return [s.with_params(**overrides.get(s.name, {})) for s in made]
 
 
+def forecast_specs(overrides: Mapping[str, Params] | None = None) -> list[ModelSpec]:
+    """The six classifiers as the forecast study sets them."""
+    made = [s.with_params(**FORECAST.get(s.name, {})) for s in fixed_specs()]
+    return [s.with_params(**(overrides or {}).get(s.name, {})) for s in made]
+
+
 # ---- radial kernel by random features --------------------------------------------------
 
 
