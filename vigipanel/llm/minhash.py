@@ -6,11 +6,12 @@ random order of the others (optimal densification).  ROWS bins make a band and n
 equal band share a bucket: two sets of similarity 0.85 miss each other in all 32 bands with
 probability (1 - 0.85 ** 5) ** 32 < 1e-8.
 
-In a bucket, members are compared with one centre, so pairs grow with members and not with
-their square.  A star alone would lose a link whose ends are both far from the centre, so
-stars are repeated with other centres wherever a bucket still holds several components; as
-soon as few pairs are left, the members outside a bucket's main component are compared with
-all others there, so that every link between different components is found.
+In a bucket, members are compared with one centre, the one that shares the most buckets with
+others, so pairs grow with members and not with their square.  A star alone would lose a link
+whose ends are both far from the centre.  So a second round takes other centres where a bucket
+still holds several components, and what is left is joined exactly: sets of the threshold's
+similarity must share a shingle among the rarest few of both, at places that leave room for
+the overlap, and only pairs of different components are looked at.
 """
 
 from __future__ import annotations
@@ -29,9 +30,7 @@ from vigipanel.llm.components import components
 from vigipanel.session import materialise
 
 BINS, ROWS = 160, 5
-# Stars are drawn while the pairs left would be more than this many times the members.
-PAIRS_PER_MEMBER = 4
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 SKETCH = "doc_id bigint, alt bigint, n_shingles bigint, node binary, bands array<bigint>"
 SHINGLES = "doc_id bigint, alt bigint, node binary, shingles array<bigint>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -135,27 +134,59 @@ def _comparable(percent: int):
 
 
 def _star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair per member at most: with a bucket's centre from another component."""
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component", "n")).alias("centre")
+    """One pair per member at most: with a bucket's centre from another component.
+
+    The first centres are the members with the most company over all their buckets, the
+    later ones are drawn.
+    """
+    rank = -F.col("company") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    centre = F.min(F.struct(rank.alias("rank"), "node", "component", "n")).alias("centre")
     stars = members.groupBy("bucket").agg(centre).select(
-        "bucket", F.col("centre.node").alias("centre"), F.col("centre.component").alias("centre_component"), F.col("centre.n").alias("centre_n")
+        "bucket",
+        F.col("centre.rank").alias("rank"),
+        F.col("centre.node").alias("centre"),
+        F.col("centre.component").alias("centre_component"),
+        F.col("centre.n").alias("centre_n"),
     )
     pairs = members.join(stars, "bucket").where(F.col("component") != F.col("centre_component")).where(_comparable(percent))
-    best = F.min(F.struct(F.xxhash64("centre", F.lit(turn)), "centre")).alias("best")
+    best = F.min(F.struct("rank", "centre")).alias("best")
     return pairs.groupBy(F.col("node").alias("a")).agg(best).select("a", F.col("best.centre").alias("b"))
 
 
-def _remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket that join different components, from the smaller components' side."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main")).select("bucket", F.col("main.component").alias("main"))
-    marked = members.join(main, "bucket")
+def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components among `members` that can still be similar.
+
+    Shingles are put in order of their frequency among the members.  With the common part of
+    two sets at least `need` long, their first common shingle has at least that many behind
+    it in both, so each set is entered under its first few shingles only.  Under a shingle,
+    the members outside its main component are paired with all others.
+    """
+    nodes = members.select("node", "n", "component").distinct()
+    shingles = nodes.join(sets, "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    known = shingles.groupBy("shingle").agg(F.count("*").alias("times"))
+    ordered = (
+        shingles.join(known, "shingle")
+        .groupBy("node", "n", "component")
+        .agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("rarest"))  # one text's shingles
+    )
+    first = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    entries = ordered.select("node", "n", "component", F.posexplode(first).alias("place", "entry"))
+    entries = materialise(entries.where("entry.times > 1").select("node", "n", "component", "place", "entry.shingle"))
+    sizes = entries.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    marked = entries.join(main.where("parts > 1").select("shingle", F.col("main.component").alias("main")), "shingle")
     centres = marked.where("component <> main").select(
-        "bucket", F.col("node").alias("centre"), F.col("component").alias("centre_component"), F.col("n").alias("centre_n")
+        "shingle",
+        F.col("node").alias("centre"),
+        F.col("component").alias("centre_component"),
+        F.col("n").alias("centre_n"),
+        F.col("place").alias("centre_place"),
     )
     once = (F.col("component") == F.col("main")) | (F.col("centre") < F.col("node"))
     apart = F.col("component") != F.col("centre_component")
-    pairs = centres.join(marked, "bucket").where(apart & once).where(_comparable(percent))
+    room = F.least(F.col("n") - F.col("place"), F.col("centre_n") - F.col("centre_place"))
+    fits = room * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
+    pairs = centres.join(marked, "shingle").where(apart & once & fits).where(_comparable(percent))
     return pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -165,6 +196,14 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
     return members.join(spread.where("low <> high").select("bucket"), "bucket")
 
 
+def _in_company(banded: DataFrame) -> DataFrame:
+    """Members of the buckets with others, and how many others all their buckets hold."""
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialise(banded.join(sizes, "bucket"))
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    return materialise(shared.drop("size").join(company, "node"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -214,33 +253,23 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def _node_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
     banded = nodes.select(F.explode("bands").alias("bucket"), "node", "n", F.col("node").alias("component"))
-    members = materialise(_mixed_buckets(banded))
+    members = _in_company(banded)
     own = members.select("node").distinct().join(nodes.select("node", "doc_id", "alt"), "node")
     sets = materialise(_shingle_sets(rows, own, size))
     links, found = nodes.selectExpr("node a", "node b").limit(0), None
     for turn in range(STAR_ROUNDS + 1):
-        members_left, pairs_left = _left(members)
-        if not members_left:
+        if members.isEmpty():
             break
-        last = turn == STAR_ROUNDS or pairs_left <= PAIRS_PER_MEMBER * members_left
-        pairs = _remaining_pairs(members, percent) if last else _star_pairs(members, turn, percent)
+        last = turn == STAR_ROUNDS
+        pairs = _remaining_pairs(members, sets, percent) if last else _star_pairs(members, turn, percent)
         links = links.unionByName(materialise(linked(pairs, sets, percent)))
         found = components(links)
-        if last:
-            break
-        named = members.drop("component").join(found, "node", "left")
-        members = materialise(_mixed_buckets(named.withColumn("component", F.coalesce("component", "node"))))
+        if not last:
+            named = members.drop("component").join(found, "node", "left")
+            members = materialise(_mixed_buckets(named.withColumn("component", F.coalesce("component", "node"))))
     return components(links) if found is None else found
 
 
-def _left(members: DataFrame) -> tuple[int, int]:
-    """How many members and how many pairs of different components the buckets hold, at most."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    buckets = sizes.groupBy("bucket").agg(F.sum("size").alias("all"), F.max("size").alias("main"))
-    row = buckets.agg(F.sum("all").alias("members"), F.sum(F.expr("double(all - main) * all")).alias("pairs")).first()
-    return row.members or 0, row.pairs or 0
-
-
 def _shingle_sets(rows: DataFrame, own: DataFrame, size: int) -> DataFrame:
     """The sets of the given nodes, from one document each (by id, or by text where it has none)."""
     by_id = rows.where("doc_id is not null").join(own.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
