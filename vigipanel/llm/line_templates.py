@@ -15,6 +15,7 @@ documents differ in them, so copies are left to near-dedup.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,11 @@ PARSED = "text_key bigint, leaf bigint, tail bigint, least int, greatest int"
 CLEANED = "n_lines bigint, n_dropped bigint, text string"
 
 
+def _tokens(line: str) -> list[str]:
+    """Lower-case words without punctuation around them; signs alone are no tokens."""
+    return [word for token in line.lower().split() if (word := token.strip(string.punctuation))]
+
+
 def _mask(token: str) -> str:
     return "<*>" if VARIABLE.search(token) else token
 
@@ -52,7 +58,7 @@ def parse(text: str | None) -> list[tuple[int, int, int, int | None]]:
     """(start, end, tokens, leaf) of each line; short lines have no leaf."""
     out = []
     for m in SEGMENT.finditer(text or ""):
-        tokens = m[0].lower().split()
+        tokens = _tokens(m[0])
         leaf = None
         if len(tokens) >= LEAST_TOKENS:
             path = " ".join([str(len(tokens)), *map(_mask, tokens[:DEPTH])])
@@ -63,7 +69,7 @@ def parse(text: str | None) -> list[tuple[int, int, int, int | None]]:
 
 def tail_of(line: str) -> int:
     """The tokens behind the leading ones as eight bytes, one for each interleaved slice."""
-    tail = [_mask(t) for t in line.lower().split()[DEPTH:]]
+    tail = [_mask(t) for t in _tokens(line)[DEPTH:]]
     return int.from_bytes(bytes(xxhash.xxh32_intdigest(" ".join(tail[i::SLICES])) & 255 for i in range(SLICES)), "little")
 
 
