@@ -35,7 +35,7 @@ VARIABLE = re.compile(r"[0-9@]|://")
 DEPTH, LEAST_TOKENS = 6, 4
 SLICES = 8
 # Documents that must differ around a template, and the share of its documents they must be.
-LEAST_DOCS, LEAST_SHARE = 4, 0.5
+LEAST_DOCS, LEAST_SHARE = 4, 0.3
 # A run of recurring lines is dropped from this many tokens on.
 RUN_TOKENS = 20
 # Words of a shingle.
