@@ -97,8 +97,8 @@ PLAIN = (
     ("isc", 1, "isc licen[cs]e"), ("isc", 1, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", 2, "mozilla public license"), ("epl", 2, "eclipse public license"), ("cddl", 2, "common development and distribution license"),
     ("eupl", 2, "european union public licen[cs]e"), ("artistic", 2, "artistic license"), ("artistic-perl", 1, "same terms as perl itself"),
-    ("zlib", 1, "zlib (?:libpng )?license"), ("zlib", 1, "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("bsl", 2, "boost software license"), ("unlicense", 1, "the unlicense"), ("unlicense", 1, "this is free and unencumbered software released into the public domain"),
+    ("zlib", 1, "zlib (?:libpng )?license"), ("zlib", 1, "software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsl", 2, "boost software license"), ("unlicense", 1, "unlicense"), ("unlicense", 1, "free and unencumbered software released into the public domain"),
     ("wtfpl", 1, "wtfpl"), ("wtfpl", 1, "do what the fuck you want to public license"), ("beerware", 1, "beer ?ware license"),
     ("ofl", 2, "open font license"), ("psf", 2, "psf license"), ("psf", 2, "python software foundation license"), ("php", 2, "php license"),
     ("openssl", 1, "openssl license"), ("ssleay", 1, "ssleay license"), ("curl", 1, "curl license"), ("ncsa", 1, "university of illinois ncsa open source license"),
@@ -108,7 +108,7 @@ PLAIN = (
     ("ijg", 1, "independent jpeg group"), ("ibm-pl", 1, "ibm public license"), ("apsl", 1, "apple public source license"), ("sun-spl", 1, "sun public license"),
     ("netscape", 1, "netscape public license"), ("nasa", 1, "nasa open source agreement"), ("intel", 1, "intel open source license"),
     ("sleepycat", 1, "sleepycat license"), ("watcom", 1, "sybase open watcom public license"), ("json", 1, "json license"),
-    ("json", 1, "the software shall be used for good not evil"), ("commons-clause", 1, "commons clause"), ("parity", 1, "parity public license"),
+    ("json", 1, "software shall be used for good not evil"), ("commons-clause", 1, "commons clause"), ("parity", 1, "parity public license"),
     ("polyform", 1, "polyform (?:noncommercial|small business|strict|shield|perimeter|internal use|free trial) license"), ("hippocratic", 1, "hippocratic license"),
     ("anti-996", 1, "anti 996 license"), ("upl", 1, "universal permissive license"), ("blueoak", 1, "blue oak model license"), ("naist", 1, "naist license"),
     ("openrail", 2, "openrail(?: license)?"), ("llama", 1, "llama (?:2|3|3 1|3 2) community license(?: agreement)?"), ("gemma", 1, "gemma terms of use"),
@@ -120,22 +120,20 @@ PLAIN = (
     ("copyright", 2, "copyright by"), ("copyright", 2, "copyrighted (?:material|work)"), ("reserved", 2, "some rights reserved"),
     ("reserved", 1, "all rights reserved"), ("no-rights-reserved", 1, "no rights reserved"), ("no-copying", 1, "unauthorized (?:copying|reproduction|distribution|use) (?:of this [^ ]+ )?(?:is )?(?:strictly )?prohibited"),
     ("no-copying", 1, "may not be reproduced (?:[^ ]+ ){0,12}without (?:the )?(?:prior )?(?:express )?written permission"), ("proprietary", 1, "proprietary and confidential"),
-    ("proprietary", 1, "confidential and proprietary"), ("proprietary", 2, "proprietary license"), ("noncommercial", 2, "non ?commercial use only"),
-    ("noncommercial", 2, "for non ?commercial (?:use|purposes) only"), ("personal-use", 2, "for personal use only"), ("research-only", 2, "for research (?:use|purposes) only"),
+    ("proprietary", 1, "confidential and proprietary"), ("proprietary", 2, "proprietary license"), ("noncommercial", 2, "non commercial (?:use|purposes) only"),
+    ("noncommercial", 2, "noncommercial (?:use|purposes) only"), ("personal-use", 2, "personal use only"), ("research-only", 2, "research (?:use|purposes) only"),
     ("eula", 2, "end user license agreement"), ("eula", 2, "software license agreement"), ("cla", 2, "contributor license agreement"),
     ("warranty-disclaimer", 2, "provided as is without warranty of any kind"), ("dual", 2, "dual licensed under"), ("licensed", 2, "licensed under the terms of"),
     ("licensed", 2, "licensed under"), ("licensed", 2, "released under the [^ ]+(?: [^ ]+){0,3} licen[cs]e"), ("licensed", 2, "distributed under the [^ ]+(?: [^ ]+){0,3} licen[cs]e"),
     ("license-file", 2, "see (?:the )?licen[cs]e(?: txt| md)? file"), ("license-id", 2, "spdx license identifier"),
 )
 
-# Every signature holds one of these; texts without any are not looked at.
-GATES = (
-    "licen", "gpl", " cc ", "cc0", "creative commons", "apache ", "copyright", "copyleft", "reserved", "public domain", "permission", "redistribution",
-    "mpl ", "epl ", "cddl ", "eupl", "cecill", "odbl", "odc by", "bsd", "mit no", "gfdl", "ms pl", "as perl", "openrail", "open rail", "gemma terms",
-    "datenlizenz", "neither the name", "provided as is", "good not evil", "independent jpeg", "commons clause", "prohibited", "reproduced",
-    "confidential", "commercial use", "commercial purposes", "personal use", "research use", "research purposes",
-    "unencumbered", "wtfpl", "nasa open",
-)
+# Keywords: every signature holds one of these words; texts without any are not looked at.
+KEYWORDS = (
+    "license licence licensed gpl gplv1 gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv1 agplv3 gfdl cc cc0 creative apache copyright copyrighted "
+    "copyleft reserved domain permission redistribution mpl epl cddl eupl cecill odbl odc datenlizenz bsd mit ms perl openrail rail gemma "
+    "neither unlicense warranty evil jpeg commons prohibited reproduced confidential noncommercial commercial personal research unencumbered wtfpl nasa"
+).split()
 
 
 def _version(text: str) -> tuple[str, str]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.license_rules import GATES, anchored
+from vigipanel.llm.license_rules import KEYWORDS, anchored
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -21,46 +21,36 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 32
 
 
-def _spaced(text: Column) -> Column:
-    """Words with two blanks between neighbours, so that each has a blank of its own per side.
+def _normal(text: Column) -> Column:
+    """The words of a text with single blanks between them.
 
     `lower` also changes letters beyond A-Z, but no word boundary and none of the signatures'
     letters depends on that.
     """
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, "  "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
 
 
-def _words(spaced: Column) -> Column:
-    """Number of words in a padded text, by its blanks: two per word."""
-    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("bigint")
+def _words(doubled: Column) -> Column:
+    """Number of words in a part of a doubled text, by its blanks: two per word."""
+    return ((F.length(doubled) - F.length(F.replace(doubled, F.lit(" "), F.lit("")))) / 2).cast("bigint")
 
 
-def _padded(phrase: str) -> str:
-    return f" {phrase.replace(' ', '  ')} "
+def _places(normal: Column, n_words: Column, phrase: str) -> Column:
+    """Count, first and last place of a phrase that can't overlap itself; null without any.
 
-
-def _base_columns(padded: Column, n_words: Column) -> dict[str, Column]:
-    """Count, first and last place of every base phrase.
-
-    Phrases can't overlap themselves, so what stands before the first and after the last
-    occurrence gives their places.
+    With every blank doubled, and one at both ends, occurrences share no blank, so that what
+    stands before the first and after the last one gives their places.
     """
-    counts, firsts, lasts, labels = [], [], [], []
-    for phrase, label in BASE:
-        mark, size = _padded(phrase), len(phrase.split())
-        found = padded.contains(mark)
-        n = (F.length(padded) - F.length(F.replace(padded, F.lit(mark), F.lit("")))) / len(mark)
-        counts.append(F.when(found, n.cast("bigint")).otherwise(0))
-        firsts.append(F.when(found, _words(F.substring_index(padded, mark, 1))))
-        lasts.append(F.when(found, n_words - size - _words(F.substring_index(padded, mark, -1))))
-        labels.append(F.when(found, F.lit(label)))
-    return {
-        "n_base": counts[0] + counts[1] + counts[2],
-        "first_word": F.least(*firsts),
-        "last_word": F.greatest(*lasts),
-        "base_list": F.array_sort(F.array_compact(F.array(*labels))),
-        "base_score": F.coalesce(F.greatest(*(F.when(x.isNotNull(), F.lit(len(p.split()) / (len(p.split()) + 2))) for x, (p, _) in zip(labels, BASE))), F.lit(0.0)),
-    }
+    mark, size = f" {phrase.replace(' ', '  ')} ", len(phrase.split())
+    doubled = F.concat(F.lit(" "), F.replace(normal, F.lit(" "), F.lit("  ")), F.lit(" "))
+    return F.when(
+        F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {phrase} "),
+        F.struct(
+            ((F.length(doubled) - F.length(F.replace(doubled, F.lit(mark), F.lit("")))) / len(mark)).cast("bigint").alias("n"),
+            _words(F.substring_index(doubled, mark, 1)).alias("first"),
+            (n_words - size - _words(F.substring_index(doubled, mark, -1))).alias("last"),
+        ),
+    )
 
 
 def _rules_by_anchor() -> tuple[Column, Column]:
@@ -129,26 +119,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     any.  A null or empty text has no words, no labels and score 0.  Rows are independent:
     repeated rows, null ids and empty tables pass through; other columns are ignored.
     """
-    spaced = docs.select(F.col(id_col).alias("doc_id"), _spaced(F.col(text_col)).alias("spaced"))
-    n_words = F.when(F.col("spaced") == "", F.lit(0).cast("bigint")).otherwise(_words(F.concat(F.lit(" "), "spaced", F.lit(" "))))
-    padded = spaced.select("doc_id", F.concat(F.lit(" "), "spaced", F.lit(" ")).alias("padded"), n_words.alias("n_words"))
-    gate = F.lit(False)
-    for word in GATES:
-        inner = word.strip()
-        gate = gate | F.col("padded").contains(word.replace(inner, inner.replace(" ", "  ")))
-    words = F.split(F.trim("padded"), "  ")
-    none = F.struct(F.lit(0).alias("end_top"), F.lit(0).alias("end_all"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    found = F.when(gate, _kept(_detections(words))).otherwise(none)
-    rows = padded.withColumns({**_base_columns(F.col("padded"), F.col("n_words")), "found": found})
-    return rows.select(
+    normal = docs.select(F.col(id_col).alias("doc_id"), _normal(F.col(text_col)).alias("normal"))
+    # The words are a column of their own: an expression inside a lambda runs for each element.
+    split = normal.withColumn("words", F.when(F.col("normal") == "", F.array().cast("array<string>")).otherwise(F.split("normal", " ")))
+    words = split.withColumn("n_words", F.size("words").cast("bigint"))
+    keywords = F.arrays_overlap("words", F.array(*map(F.lit, KEYWORDS)))
+    marked = words.withColumns({f"base{i}": _places(F.col("normal"), F.col("n_words"), phrase) for i, (phrase, _) in enumerate(BASE)})
+    found = marked.withColumn("found", F.when(keywords, _kept(_detections(F.col("words")))))
+    base = [F.col(f"base{i}") for i in range(len(BASE))]
+    labels = F.array_sort(F.array_compact(F.array(*(F.when(b.isNotNull(), F.lit(label)) for b, (_, label) in zip(base, BASE)))))
+    sizes = [len(phrase.split()) for phrase, _ in BASE]
+    scores = [F.when(b.isNotNull(), F.lit(n / (n + 2))) for b, n in zip(base, sizes)]
+    none = F.array().cast("array<string>")
+    return found.select(
         "doc_id",
         "n_words",
-        "n_base",
-        "first_word",
-        "last_word",
-        F.array_join("base_list", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base_list", "found.labels")), ",").alias("labels"),
-        F.greatest("base_score", "found.score").alias("score"),
+        sum((F.coalesce(b["n"], F.lit(0)) for b in base[1:]), F.coalesce(base[0]["n"], F.lit(0))).cast("bigint").alias("n_base"),
+        F.least(*(b["first"] for b in base)).alias("first_word"),
+        F.greatest(*(b["last"] for b in base)).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, F.coalesce("found.labels", none))), ",").alias("labels"),
+        F.coalesce(F.greatest(*scores, "found.score"), F.lit(0.0)).alias("score"),
     )
 
 
