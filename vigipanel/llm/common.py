@@ -11,8 +11,12 @@ from vigipanel.session import ship_package
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Bytes of an Arrow batch, and the rows of it that an operator works on at a time.
+BATCH_BYTES = "8m"
+SLICE_ROWS = 256
+
 # A token cache is emptied beyond this many entries, so that memory stays bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 # Longer chunks are not worth keeping: they hardly ever come back.
 CACHE_CHARS = 40
 
@@ -24,10 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """`mapInArrow` with the package on every worker.  Batches are bounded in rows and bytes
-    by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch."""
+    """`mapInArrow` with the package on every worker.
+
+    The session's batches are bounded to BATCH_BYTES, for each is held several times between
+    Spark and Python; `work` gets them in slices, so that what it makes of one is small too.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
