@@ -218,6 +218,9 @@ def encode(
             flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        # The worker goes on to other operators, and the memory is theirs.
+        cache.clear()
+        vocabulary(path).pairs.clear()
 
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), work, TOKENS)
 

@@ -16,7 +16,7 @@ BATCH_BYTES = "8m"
 SLICE_ROWS = 256
 
 # A token cache is emptied beyond this many entries, so that memory stays bounded.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 # Longer chunks are not worth keeping: they hardly ever come back.
 CACHE_CHARS = 40
 
