@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigipanel.llm import bpe, decontaminate, line_templates, minhash, toxicity
-from vigipanel.llm.common import table
+from vigipanel.llm.common import set_aside, table
 from vigipanel.session import scratch_path
 
 
@@ -30,9 +30,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring passages go from every document; so does a document that was nothing else."""
-    cleaned = line_templates.drop_recurring(docs)
+    apart, back = set_aside(docs, "text")
+    cleaned = line_templates.drop_recurring(apart)
     kept = cleaned.where("n_dropped = 0 or length(trim(text)) > 0")
-    return _with_length(kept.select(*docs.columns))
+    return _with_length(kept.withColumnsRenamed(back).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

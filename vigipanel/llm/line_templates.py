@@ -3,7 +3,7 @@
 Lines, and in running text sentences, are parsed down a tree of fixed depth: first by their
 number of tokens, then by their leading tokens, where tokens with digits or addresses count as
 one variable field.  What follows the leading tokens is generalised: a line belongs to its
-leaf's template if half of its tail, compared in eight interleaved slices, agrees with the
+leaf's template if half of its tail, compared in four interleaved slices, agrees with the
 leaf's most frequent tail.  Templates that stand in several otherwise different documents
 recur; unbroken runs of recurring lines are dropped from all documents.
 
@@ -29,11 +29,11 @@ from vigipanel.llm.minhash import mixed, shingle_set, word_hashes
 from vigipanel.session import materialise
 
 # Up to a line break, or to a sentence's end before a blank.
-SEGMENT = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s))*[.!?]?")
+SEGMENT = re.compile(r"\S(?:[^\n.!?]++|[.!?](?!\s))*[.!?]?")
 VARIABLE = re.compile(r"[0-9@]|://")
 # Leading tokens of the tree, and the tokens a line needs to be looked at.
 DEPTH, LEAST_TOKENS = 6, 4
-SLICES = 8
+SLICES = 4
 # Documents that must differ around a template, and the share of its documents they must be.
 LEAST_DOCS, LEAST_SHARE = 4, 0.3
 # A run of recurring lines is dropped from this many tokens on.
@@ -42,7 +42,7 @@ RUN_TOKENS = 20
 SHINGLE = 3
 
 PARSED = "text_key bigint, leaf bigint, tail bigint, least int, greatest int"
-CLEANED = "n_lines bigint, n_dropped bigint, text string"
+CLEANED = "n_dropped bigint, text string"
 
 
 def _tokens(line: str) -> list[str]:
@@ -54,7 +54,7 @@ def _mask(token: str) -> str:
     return "<*>" if VARIABLE.search(token) else token
 
 
-def parse(text: str | None) -> list[tuple[int, int, int, int | None]]:
+def parse(text: str | None) -> list[tuple[int, int, list[str], int | None]]:
     """(start, end, tokens, leaf) of each line; short lines have no leaf."""
     out = []
     for m in SEGMENT.finditer(text or ""):
@@ -63,13 +63,13 @@ def parse(text: str | None) -> list[tuple[int, int, int, int | None]]:
         if len(tokens) >= LEAST_TOKENS:
             path = " ".join([str(len(tokens)), *map(_mask, tokens[:DEPTH])])
             leaf = xxhash.xxh3_64_intdigest(path)
-        out.append((*m.span(), len(tokens), leaf))
+        out.append((*m.span(), tokens, leaf))
     return out
 
 
-def tail_of(line: str) -> int:
-    """The tokens behind the leading ones as eight bytes, one for each interleaved slice."""
-    tail = [_mask(t) for t in _tokens(line)[DEPTH:]]
+def tail_of(tokens: list[str]) -> int:
+    """The tokens behind the leading ones as four bytes, one for each interleaved slice."""
+    tail = [_mask(t) for t in tokens[DEPTH:]]
     return int.from_bytes(bytes(xxhash.xxh32_intdigest(" ".join(tail[i::SLICES])) & 255 for i in range(SLICES)), "little")
 
 
@@ -83,7 +83,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaf, tail, ends = [], [], [], []
         for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = value.as_py()
-            seen = {line: tail_of(text[a:b]) for a, b, _, line in reversed(parse(text)) if line is not None}
+            seen = {leaf_: tail_of(tokens) for _, _, tokens, leaf_ in reversed(parse(text)) if leaf_ is not None}
             if not seen:
                 continue
             shingles = shingle_set(text, SHINGLE, hashes)
@@ -126,18 +126,17 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share:
     return members.join(recurring, "leaf").select("text_key", "leaf")
 
 
-def drop_lines(text: str, recurring: set[int]) -> tuple[str, int, int]:
-    """The text without its runs of recurring lines; its lines and how many were dropped.
+def drop_lines(text: str, recurring: set[int]) -> tuple[str, int]:
+    """The text without its runs of recurring lines, and how many lines were dropped.
 
     Short lines between two recurring ones belong to the run.
     """
     lines = parse(text)
     runs: list[tuple[int, int]] = []
     start = last = None
-    tokens = 0
 
     def close() -> None:
-        if start is not None and sum(line[2] for line in lines[start : last + 1]) >= RUN_TOKENS:
+        if start is not None and sum(len(line[2]) for line in lines[start : last + 1]) >= RUN_TOKENS:
             runs.append((start, last))
 
     for i, (_, _, tokens, leaf) in enumerate(lines):
@@ -148,7 +147,7 @@ def drop_lines(text: str, recurring: set[int]) -> tuple[str, int, int]:
             start = None
     close()
     if not runs:
-        return text, len(lines), 0
+        return text, 0
     out, at = [], 0
     for first, end in runs:
         out.append(text[at : lines[first][0]])
@@ -157,40 +156,37 @@ def drop_lines(text: str, recurring: set[int]) -> tuple[str, int, int]:
         while at < len(text) and text[at].isspace() and (not out[-1] or out[-1][-1].isspace()):
             at += 1
     out.append(text[at:])
-    return "".join(out), len(lines), sum(end - first + 1 for first, end in runs)
+    return "".join(out), sum(end - first + 1 for first, end in runs)
 
 
 def _cleaner(carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, dropped = [], [], []
+            texts, dropped = [], []
             for value, found in zip(batch.column("text"), batch.column("leaves")):
-                text, marks = value.as_py(), found.as_py()
+                text, marks, gone = value.as_py(), found.as_py(), 0
                 if marks:
-                    text, n, gone = drop_lines(text, {m & (1 << 64) - 1 for m in marks})
-                else:
-                    n, gone = len(parse(text)), 0
+                    text, gone = drop_lines(text, {m & (1 << 64) - 1 for m in marks})
                 texts.append(text)
-                lines.append(n)
                 dropped.append(gone)
-            arrays = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *arrays], [*carried, "n_lines", "n_dropped", "text"])
+            arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *arrays], [*carried, "n_dropped", "text"])
 
     return work
 
 
 def drop_recurring(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """All rows and columns of `docs` with recurring lines dropped, and n_lines, n_dropped.
+    """All rows and columns of `docs` with recurring lines dropped, and n_dropped.
 
-    A null or empty text stays as it is and has no lines.  Repeated rows are treated alike and
+    A null or empty text stays as it is.  Repeated rows are treated alike and
     count once; null ids do no harm, for texts are known by their hash.  An empty table gives
-    an empty one.  Columns of `docs` called n_lines, n_dropped or text_key are replaced.
+    an empty one.  Columns of `docs` called n_dropped, text_key or leaves are left out.
     """
-    carried = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "text_key", "leaves")]
+    carried = [c for c in docs.columns if c not in (text_col, "n_dropped", "text_key", "leaves")]
     rows = docs.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     # A text's recurring lines are no more than its lines.
     marks = recurring_lines(rows, **limits).groupBy("text_key").agg(F.collect_set("leaf").alias("leaves"))
     marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "leaves")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
     out = map_batches(marked, _cleaner(carried), schema).withColumnRenamed("text", text_col)
-    return out.select(*[c for c in docs.columns if c in (*carried, text_col)], "n_lines", "n_dropped")
+    return out.select(*[c for c in docs.columns if c in (*carried, text_col)], "n_dropped")

@@ -83,4 +83,4 @@ def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = line_templates.drop_recurring(table(spark, sf, "documents"))
-    return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
+    return cleaned.select("doc_id", "n_dropped", "text")
