@@ -258,3 +258,24 @@ def test_parse_and_runs():
     assert [text[a:b] for a, b, _, _ in lines] == ["Short.", "One two three four five.", "Id 17 of nine more words here!", "Last line of four"]
     assert lines[0][3] is None and lines[2][3] == line_templates.parse("id 99 of nine more words there")[0][3]
     assert line_templates.drop_lines(text, set()) == (text, 0)
+
+
+def dropped(docs):
+    return {r.doc_id: r for r in line_templates.drop_recurring(docs).collect()}
+
+
+def test_votes_of_dominant_passages_and_hot_copies(spark):
+    draw = random.Random(12)
+    # A passage that is three quarters of each of its documents.
+    passage = " ".join(prose(draw, 15) for _ in range(4))
+    mostly = [(i, passage + "\n" + prose(draw, 20)) for i in range(60)]
+    # Another in 200 near copies of one document and in four documents of their own.
+    other = " ".join(prose(draw, 15) for _ in range(4))
+    own = [prose(draw, 10) for _ in range(20)]
+    hot = [(100 + i, other + "\n" + "\n".join([*own[:-1], f"{own[-1][:-1]} mark{i}x."])) for i in range(200)]
+    apart = [(400 + i, prose(draw, 60) + "\n" + other) for i in range(4)]
+    rows = [*mostly, *hot, *apart]
+    got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert all(got[i].n_dropped == 4 and passage not in got[i].text for i, _ in mostly)
+    assert all(got[i].n_dropped == 4 and other not in got[i].text for i, _ in [*hot, *apart])
+    assert all(got[i].text.endswith("x.") and own[3] in got[i].text for i, _ in hot)

@@ -7,9 +7,10 @@ leaf's template if half of its tail, compared in four interleaved slices, agrees
 leaf's most frequent tail.  Templates that stand in several otherwise different documents
 recur; unbroken runs of recurring lines are dropped from all documents.
 
-Copies of a whole document share all their lines, but also most of their word shingles.  Each
-document carries the least and the greatest hash of its shingles; a template recurs only if its
-documents differ in them, so copies are left to near-dedup.
+Copies of a whole document share all their lines.  So the documents around a template are not
+counted themselves: near-dedup's components are, and all copies of a document have one vote
+together.  A template recurs by the number of its votes alone, however many copies there are
+and however much of its documents it makes up.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches
-from vigipanel.llm.minhash import mixed, shingle_set, word_hashes
+from vigipanel.llm.minhash import near_duplicates
 from vigipanel.session import materialise
 
 # Up to a line break, or to a sentence's end before a blank.
@@ -34,14 +35,14 @@ VARIABLE = re.compile(r"[0-9@]|://")
 # Leading tokens of the tree, and the tokens a line needs to be looked at.
 DEPTH, LEAST_TOKENS = 6, 4
 SLICES = 4
-# Documents that must differ around a template, and the share of its documents they must be.
-LEAST_DOCS, LEAST_SHARE = 4, 0.3
+# Different documents that a template must stand in.
+LEAST_DOCS = 4
 # A run of recurring lines is dropped from this many tokens on.
 RUN_TOKENS = 20
-# Words of a shingle.
-SHINGLE = 3
+# Documents are copies of one if near-dedup links them: words of a shingle, similarity.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
-PARSED = "text_key bigint, leaf bigint, tail bigint, least int, greatest int"
+PARSED = "text_key bigint, leaf bigint, tail bigint"
 CLEANED = "n_dropped bigint, text string"
 
 
@@ -78,23 +79,15 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = word_hashes()
     for batch in batches:
-        key, leaf, tail, ends = [], [], [], []
+        key, leaf, tail = [], [], []
         for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = value.as_py()
-            seen = {leaf_: tail_of(tokens) for _, _, tokens, leaf_ in reversed(parse(text)) if leaf_ is not None}
-            if not seen:
-                continue
-            shingles = shingle_set(text, SHINGLE, hashes)
+            seen = {leaf_: tail_of(tokens) for _, _, tokens, leaf_ in reversed(parse(value.as_py())) if leaf_ is not None}
             key += [text_key] * len(seen)
             leaf += seen.keys()
             tail += seen.values()
-            ends += [(shingles[0], shingles[-1])] * len(seen)
-        pairs = np.array(ends, np.uint64).reshape(-1, 2)
-        least, greatest = ((mixed(pairs[:, i]) >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in (0, 1))
-        arrays = [pa.array(key, pa.int64()), _signed(leaf), _signed(tail), pa.array(least), pa.array(greatest)]
-        yield pa.RecordBatch.from_arrays(arrays, ["text_key", "leaf", "tail", "least", "greatest"])
+        arrays = [pa.array(key, pa.int64()), _signed(leaf), _signed(tail)]
+        yield pa.RecordBatch.from_arrays(arrays, ["text_key", "leaf", "tail"])
 
 
 def _agreeing(a: str, b: str):
@@ -103,27 +96,30 @@ def _agreeing(a: str, b: str):
     return sum((s.cast("int") for s in slices[1:]), slices[0].cast("int"))
 
 
-def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
+def voters(texts: DataFrame) -> DataFrame:
+    """(text_key, voter): texts that are near copies of each other are one voter."""
+    found = near_duplicates(texts, COPY_WORDS, COPY_PERCENT, id_col="text_key")
+    return found.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("voter")).distinct()
+
+
+def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(text_key, leaf) of the lines that belong to a recurring template.
 
-    Lines are counted by leaf first, and only leaves with enough of them go on.  Equal texts
-    count once.  Every step is an aggregation with partial sums or a join on hashed keys.
+    Only leaves of several texts go on, and only texts with such leaves are compared with each
+    other.  Every step is an aggregation with partial sums or a join on hashed keys.
     """
-    parsed = materialise(map_batches(rows.where("length(text) > 0").select("text_key", "text"), _parsed, PARSED))
-    frequent = parsed.groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
-    lines = materialise(parsed.join(frequent, "leaf").dropDuplicates(["leaf", "text_key"]))
+    texts = rows.where("length(text) > 0").select("text_key", "text")
+    parsed = materialise(map_batches(texts, _parsed, PARSED))
+    ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
+    lines = materialise(parsed.join(ends.where("low <> high").select("leaf"), "leaf").distinct())
+    bearing = materialise(lines.select("text_key").distinct())
+    lines = materialise(lines.join(voters(texts.join(bearing, "text_key", "left_semi")), "text_key"))
     tails = lines.groupBy("leaf", "tail").count()
     common = tails.groupBy("leaf").agg(F.max(F.struct("count", "tail"))["tail"].alias("template"))
     members = lines.join(common, "leaf").where(_agreeing("tail", "template") >= SLICES // 2)
-    members = materialise(members.select("leaf", "text_key", "least", "greatest"))
-
-    def variety(end: str) -> DataFrame:
-        return members.groupBy("leaf", end).count().groupBy("leaf").agg(F.count("*").alias(end), F.sum("count").alias("docs"))
-
-    both = variety("least").join(variety("greatest").drop("docs"), "leaf")
-    differing = (F.col("least") + F.col("greatest")) / 2
-    recurring = both.where((differing >= least_docs) & (differing >= least_share * F.col("docs"))).select("leaf")
-    return members.join(recurring, "leaf").select("text_key", "leaf")
+    members = materialise(members.select("leaf", "text_key", "voter"))
+    votes = members.select("leaf", "voter").distinct().groupBy("leaf").count()
+    return members.join(votes.where(F.col("count") >= least_docs), "leaf").select("text_key", "leaf")
 
 
 def drop_lines(text: str, recurring: set[int]) -> tuple[str, int]:
