@@ -279,3 +279,16 @@ def test_votes_of_dominant_passages_and_hot_copies(spark):
     assert all(got[i].n_dropped == 4 and passage not in got[i].text for i, _ in mostly)
     assert all(got[i].n_dropped == 4 and other not in got[i].text for i, _ in [*hot, *apart])
     assert all(got[i].text.endswith("x.") and own[3] in got[i].text for i, _ in hot)
+
+
+def test_passages_of_two_and_three_documents_go(spark):
+    draw = random.Random(13)
+    rows, passages = [], {}
+    for n in (2, 3):
+        for k in range(8):
+            passage = " ".join(prose(draw, 15) for _ in range(4))
+            for i in range(n):
+                passages[len(rows)] = passage
+                rows.append((len(rows), prose(draw, 30) + "\n" + passage + "\n" + prose(draw, 30)))
+    got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert all(got[i].n_dropped == 4 and passages[i] not in got[i].text for i, _ in rows)

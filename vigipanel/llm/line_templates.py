@@ -36,7 +36,7 @@ VARIABLE = re.compile(r"[0-9@]|://")
 DEPTH, LEAST_TOKENS = 6, 4
 SLICES = 4
 # Different documents that a template must stand in.
-LEAST_DOCS = 4
+LEAST_DOCS = 2
 # A run of recurring lines is dropped from this many tokens on.
 RUN_TOKENS = 20
 # Documents are copies of one if near-dedup links them: words of a shingle, similarity.
