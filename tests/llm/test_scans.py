@@ -292,3 +292,15 @@ def test_passages_of_two_and_three_documents_go(spark):
                 rows.append((len(rows), prose(draw, 30) + "\n" + passage + "\n" + prose(draw, 30)))
     got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert all(got[i].n_dropped == 4 and passages[i] not in got[i].text for i, _ in rows)
+
+
+def test_every_template_of_a_leaf_counts(spark):
+    draw = random.Random(14)
+    lead = "this article was first published on"
+    common, rarer, once = (lead + " " + prose(draw, 16) for _ in range(3))
+    rows = [(i, prose(draw, 30) + "\n" + (common if i < 9 else rarer) + "\n" + prose(draw, 30)) for i in range(14)]
+    # A line of the same leaf that does not recur stands before the recurring one and stays.
+    rows.append((14, once + "\n" + prose(draw, 30) + "\n" + rarer + "\n" + prose(draw, 30)))
+    got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert all(r.n_dropped == 1 and common not in r.text and rarer not in r.text for r in got.values())
+    assert once in got[14].text

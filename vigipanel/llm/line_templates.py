@@ -2,10 +2,11 @@
 
 Lines, and in running text sentences, are parsed down a tree of fixed depth: first by their
 number of tokens, then by their leading tokens, where tokens with digits or addresses count as
-one variable field.  What follows the leading tokens is generalised: a line belongs to its
-leaf's template if half of its tail, compared in four interleaved slices, agrees with the
-leaf's most frequent tail.  Templates that stand in several otherwise different documents
-recur; unbroken runs of recurring lines are dropped from all documents.
+one variable field.  What follows the leading tokens is generalised: it is cut into four
+interleaved slices, and each half of the slices that a line can share with others of its leaf
+is a template.  So a leaf has as many templates as it needs, and two lines of a leaf that agree
+in half of their tails always meet in one.  Templates that stand in several otherwise
+different documents recur; unbroken runs of recurring lines are dropped from all documents.
 
 Copies of a whole document share all their lines.  So the documents around a template are not
 counted themselves: near-dedup's components are, and all copies of a document have one vote
@@ -15,6 +16,7 @@ and however much of its documents it makes up.
 
 from __future__ import annotations
 
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -44,6 +46,7 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 
 PARSED = "text_key bigint, leaf bigint, tail bigint"
 CLEANED = "n_dropped bigint, text string"
+FULL = (1 << 64) - 1
 
 
 def _tokens(line: str) -> list[str]:
@@ -69,9 +72,12 @@ def parse(text: str | None) -> list[tuple[int, int, list[str], int | None]]:
 
 
 def tail_of(tokens: list[str]) -> int:
-    """The tokens behind the leading ones as four bytes, one for each interleaved slice."""
+    """The tokens behind the leading ones: 16 bits for each interleaved slice, 0 for an empty one."""
     tail = [_mask(t) for t in tokens[DEPTH:]]
-    return int.from_bytes(bytes(xxhash.xxh32_intdigest(" ".join(tail[i::SLICES])) & 255 for i in range(SLICES)), "little")
+    out = 0
+    for i in range(min(SLICES, len(tail))):
+        out |= (xxhash.xxh32_intdigest(" ".join(tail[i::SLICES])) % 65535 + 1) << 16 * i
+    return out
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -82,18 +88,23 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, leaf, tail = [], [], []
         for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen = {leaf_: tail_of(tokens) for _, _, tokens, leaf_ in reversed(parse(value.as_py())) if leaf_ is not None}
+            seen = {(leaf_, tail_of(tokens)) for _, _, tokens, leaf_ in parse(value.as_py()) if leaf_ is not None}
             key += [text_key] * len(seen)
-            leaf += seen.keys()
-            tail += seen.values()
+            leaf += [line[0] for line in seen]
+            tail += [line[1] for line in seen]
         arrays = [pa.array(key, pa.int64()), _signed(leaf), _signed(tail)]
         yield pa.RecordBatch.from_arrays(arrays, ["text_key", "leaf", "tail"])
 
 
-def _agreeing(a: str, b: str):
-    """Slices in which two tails agree."""
-    slices = [F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8 * i).bitwiseAND(F.lit(255)) == 0 for i in range(SLICES)]
-    return sum((s.cast("int") for s in slices[1:]), slices[0].cast("int"))
+def templates():
+    """A line's templates: its leaf with each choice of half of its slices."""
+    parts = [F.shiftrightunsigned("tail", 16 * i).bitwiseAND(F.lit(65535)) for i in range(SLICES)]
+    out = F.array(F.xxhash64("leaf"))
+    for n in range(1, SLICES + 1):
+        halves = itertools.combinations(range(n), (n + 1) // 2)
+        named = F.array(*(F.xxhash64("leaf", F.lit(" ".join(map(str, half))), *(parts[i] for i in half)) for half in halves))
+        out = F.when(parts[n - 1] != 0, named).otherwise(out)
+    return out
 
 
 def voters(texts: DataFrame) -> DataFrame:
@@ -103,7 +114,7 @@ def voters(texts: DataFrame) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(text_key, leaf) of the lines that belong to a recurring template.
+    """(text_key, leaf, tail) of the lines that belong to a recurring template.
 
     Only leaves of several texts go on, and only texts with such leaves are compared with each
     other.  Every step is an aggregation with partial sums or a join on hashed keys.
@@ -114,20 +125,19 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     lines = materialise(parsed.join(ends.where("low <> high").select("leaf"), "leaf").distinct())
     bearing = materialise(lines.select("text_key").distinct())
     lines = materialise(lines.join(voters(texts.join(bearing, "text_key", "left_semi")), "text_key"))
-    tails = lines.groupBy("leaf", "tail").count()
-    common = tails.groupBy("leaf").agg(F.max(F.struct("count", "tail"))["tail"].alias("template"))
-    members = lines.join(common, "leaf").where(_agreeing("tail", "template") >= SLICES // 2)
-    members = materialise(members.select("leaf", "text_key", "voter"))
-    votes = members.select("leaf", "voter").distinct().groupBy("leaf").count()
-    return members.join(votes.where(F.col("count") >= least_docs), "leaf").select("text_key", "leaf")
+    members = lines.select("text_key", "voter", "leaf", "tail", F.explode(templates()).alias("template"))
+    votes = members.select("template", "voter").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    found = members.join(materialise(votes.where(F.col("docs") >= least_docs)), "template")
+    return found.groupBy("text_key", "leaf", "tail").agg(F.max("docs").alias("docs")).drop("docs")
 
 
-def drop_lines(text: str, recurring: set[int]) -> tuple[str, int]:
+def drop_lines(text: str, recurring: set[tuple[int, int]]) -> tuple[str, int]:
     """The text without its runs of recurring lines, and how many lines were dropped.
 
     Short lines between two recurring ones belong to the run.
     """
     lines = parse(text)
+    leaves = {leaf for leaf, _ in recurring}
     runs: list[tuple[int, int]] = []
     start = last = None
 
@@ -136,7 +146,7 @@ def drop_lines(text: str, recurring: set[int]) -> tuple[str, int]:
             runs.append((start, last))
 
     for i, (_, _, tokens, leaf) in enumerate(lines):
-        if leaf in recurring:
+        if leaf in leaves and (leaf, tail_of(tokens)) in recurring:
             start, last = (i if start is None else start), i
         elif leaf is not None:
             close()
@@ -159,10 +169,10 @@ def _cleaner(carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, dropped = [], []
-            for value, found in zip(batch.column("text"), batch.column("leaves")):
+            for value, found in zip(batch.column("text"), batch.column("marks")):
                 text, marks, gone = value.as_py(), found.as_py(), 0
                 if marks:
-                    text, gone = drop_lines(text, {m & (1 << 64) - 1 for m in marks})
+                    text, gone = drop_lines(text, {(m["leaf"] & FULL, m["tail"] & FULL) for m in marks})
                 texts.append(text)
                 dropped.append(gone)
             arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
@@ -176,13 +186,14 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", **limits) -> DataFra
 
     A null or empty text stays as it is.  Repeated rows are treated alike and
     count once; null ids do no harm, for texts are known by their hash.  An empty table gives
-    an empty one.  Columns of `docs` called n_dropped, text_key or leaves are left out.
+    an empty one.  Columns of `docs` called n_dropped, text_key or marks are left out.
     """
-    carried = [c for c in docs.columns if c not in (text_col, "n_dropped", "text_key", "leaves")]
+    carried = [c for c in docs.columns if c not in (text_col, "n_dropped", "text_key", "marks")]
     rows = docs.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     # A text's recurring lines are no more than its lines.
-    marks = recurring_lines(rows, **limits).groupBy("text_key").agg(F.collect_set("leaf").alias("leaves"))
-    marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "leaves")
+    lines = recurring_lines(rows, **limits)
+    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "tail")).alias("marks"))
+    marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "marks")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
     out = map_batches(marked, _cleaner(carried), schema).withColumnRenamed("text", text_col)
     return out.select(*[c for c in docs.columns if c in (*carried, text_col)], "n_dropped")
