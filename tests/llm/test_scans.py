@@ -304,3 +304,16 @@ def test_every_template_of_a_leaf_counts(spark):
     got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert all(r.n_dropped == 1 and common not in r.text and rarer not in r.text for r in got.values())
     assert once in got[14].text
+
+
+def test_short_lines_go_alone_if_many_documents_have_them(spark):
+    draw = random.Random(15)
+    notices = ["Copyright 2021 Example Corp, all rights reserved.", "Click here to subscribe to our newsletter."]
+    rows = [(i, prose(draw, 30) + "\n" + notices[i % 2] + "\n" + prose(draw, 30)) for i in range(24)]
+    # A saying of two documents stays, and rows of different numbers are no template.
+    rows += [(100 + i, prose(draw, 30) + "\nEvery dog has its day.\n" + prose(draw, 30)) for i in range(2)]
+    rows += [(200 + i, prose(draw, 30) + f"\n{i} {i + 1} {i + 2} {i + 3}\n" + prose(draw, 30)) for i in range(12)]
+    got = dropped(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for i, text in rows:
+        kept = "\n".join([text.split("\n")[0], text.split("\n")[2]])
+        assert (got[i].n_dropped, got[i].text) == ((1, kept) if i < 24 else (0, text))

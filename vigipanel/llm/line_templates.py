@@ -6,7 +6,8 @@ one variable field.  What follows the leading tokens is generalised: it is cut i
 interleaved slices, and each half of the slices that a line can share with others of its leaf
 is a template.  So a leaf has as many templates as it needs, and two lines of a leaf that agree
 in half of their tails always meet in one.  Templates that stand in several otherwise
-different documents recur; unbroken runs of recurring lines are dropped from all documents.
+different documents recur; unbroken runs of recurring lines are dropped from all documents.  A recurring line that
+stands alone and is short goes as well if more documents have it.
 
 Copies of a whole document share all their lines.  So the documents around a template are not
 counted themselves: near-dedup's components are, and all copies of a document have one vote
@@ -39,8 +40,9 @@ DEPTH, LEAST_TOKENS = 6, 4
 SLICES = 4
 # Different documents that a template must stand in.
 LEAST_DOCS = 2
-# A run of recurring lines is dropped from this many tokens on.
-RUN_TOKENS = 20
+# A run of recurring lines is dropped from this many tokens on.  Fewer could be a saying, so a
+# line in a shorter run must stand in more documents.
+RUN_TOKENS, SHORT_DOCS = 20, 10
 # Documents are copies of one if near-dedup links them: words of a shingle, similarity.
 COPY_WORDS, COPY_PERCENT = 5, 80
 
@@ -65,7 +67,9 @@ def parse(text: str | None) -> list[tuple[int, int, list[str], int | None]]:
         tokens = _tokens(m[0])
         leaf = None
         if len(tokens) >= LEAST_TOKENS:
-            path = " ".join([str(len(tokens)), *map(_mask, tokens[:DEPTH])])
+            lead = [*map(_mask, tokens[:DEPTH])]
+            # Fields alone are no template: rows of numbers recur only as they are.
+            path = " ".join([str(len(tokens)), *(lead if any(t != "<*>" for t in lead) else tokens[:DEPTH])])
             leaf = xxhash.xxh3_64_intdigest(path)
         out.append((*m.span(), tokens, leaf))
     return out
@@ -113,8 +117,9 @@ def voters(texts: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("voter")).distinct()
 
 
-def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(text_key, leaf, tail) of the lines that belong to a recurring template.
+def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
+    """(text_key, leaf, tail, alone) of the lines that belong to a recurring template; `alone`
+    if it stands in enough documents to go without a run.
 
     Only leaves of several texts go on, and only texts with such leaves are compared with each
     other.  Every step is an aggregation with partial sums or a join on hashed keys.
@@ -128,13 +133,14 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     members = lines.select("text_key", "voter", "leaf", "tail", F.explode(templates()).alias("template"))
     votes = members.select("template", "voter").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     found = members.join(materialise(votes.where(F.col("docs") >= least_docs)), "template")
-    return found.groupBy("text_key", "leaf", "tail").agg(F.max("docs").alias("docs")).drop("docs")
+    return found.groupBy("text_key", "leaf", "tail").agg((F.max("docs") >= short_docs).alias("alone"))
 
 
-def drop_lines(text: str, recurring: set[tuple[int, int]]) -> tuple[str, int]:
+def drop_lines(text: str, recurring: set[tuple[int, int]], alone: set[tuple[int, int]] = frozenset()) -> tuple[str, int]:
     """The text without its runs of recurring lines, and how many lines were dropped.
 
-    Short lines between two recurring ones belong to the run.
+    Short lines between two recurring ones belong to the run.  Of a run with too few tokens
+    the lines in `alone` are dropped.
     """
     lines = parse(text)
     leaves = {leaf for leaf, _ in recurring}
@@ -142,8 +148,14 @@ def drop_lines(text: str, recurring: set[tuple[int, int]]) -> tuple[str, int]:
     start = last = None
 
     def close() -> None:
-        if start is not None and sum(len(line[2]) for line in lines[start : last + 1]) >= RUN_TOKENS:
+        if start is None:
+            return
+        if sum(len(line[2]) for line in lines[start : last + 1]) >= RUN_TOKENS:
             runs.append((start, last))
+            return
+        for at in range(start, last + 1):
+            if lines[at][3] is not None and (lines[at][3], tail_of(lines[at][2])) in alone:
+                runs.append((at, at))
 
     for i, (_, _, tokens, leaf) in enumerate(lines):
         if leaf in leaves and (leaf, tail_of(tokens)) in recurring:
@@ -172,7 +184,8 @@ def _cleaner(carried: list[str]):
             for value, found in zip(batch.column("text"), batch.column("marks")):
                 text, marks, gone = value.as_py(), found.as_py(), 0
                 if marks:
-                    text, gone = drop_lines(text, {(m["leaf"] & FULL, m["tail"] & FULL) for m in marks})
+                    lines = [(m["leaf"] & FULL, m["tail"] & FULL, m["alone"]) for m in marks]
+                    text, gone = drop_lines(text, {line[:2] for line in lines}, {line[:2] for line in lines if line[2]})
                 texts.append(text)
                 dropped.append(gone)
             arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
@@ -192,7 +205,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", **limits) -> DataFra
     rows = docs.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     # A text's recurring lines are no more than its lines.
     lines = recurring_lines(rows, **limits)
-    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "tail")).alias("marks"))
+    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "tail", "alone")).alias("marks"))
     marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "marks")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
     out = map_batches(marked, _cleaner(carried), schema).withColumnRenamed("text", text_col)
