@@ -139,6 +139,22 @@ def test_battery_accepts_random_and_rejects_structure():
     assert secrets.battery(np.zeros(40, int), 64) < secrets.ALPHA
 
 
+def test_keys_behind_names_in_paths_and_beside_base_spans(spark):
+    signed = KEY[:12] + "/" + KEY[12:24] + "+" + KEY[24:]
+    urlsafe = KEY[:12] + "-" + KEY[12:24] + "_" + KEY[24:]
+    texts = [
+        f"aws_secret_access_key={signed}", f"see https://host/my_files/of-all/{KEY}/list_here", f"https://host/v1/one/{urlsafe}/x",
+        f"deadbeefdeadbeef00/{KEY}", f"SESSION_KEY={KEY}==", "a_long/path-of/ordinary_words-and/names=more_of-the/same",
+    ]
+    prose = "ordinary words that go on " * 50
+    docs = spark.createDataFrame([(i, f"{t} {prose}") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = {r.doc_id: r.spans for r in secrets.summary(secrets.find_secrets(docs)).collect()}
+    for i, key in enumerate([signed, KEY, urlsafe, KEY, KEY + "=="]):
+        found = [tuple(map(int, s.split(":")[1:])) for s in rows[i].split(",") if s.startswith("random")]
+        assert any(key in texts[i][a:b] for a, b in found), (i, rows[i])
+    assert rows[5] == ""
+
+
 def test_secrets_odd_tables(spark):
     assert secrets.find_secrets(table(spark, SECRETS)).count() == len(SECRETS) + 1
     assert secrets.find_secrets(table(spark, [])).count() == 0

@@ -1,8 +1,9 @@
 """Operator 10: secrets by patterns and by a battery of randomness tests.
 
-Besides the base patterns, long runs of key characters are tested.  The alphabet is inferred
-from the characters; against it, three tests look for structure: chi-squared uniformity of
-the characters, the number of runs above and below the middle of the alphabet, and the serial
+Besides the base patterns, long runs of key characters are tested, whole and in their parts
+between '=', '/', '+', '-' and '_', as a key may stand behind a name or in a path.  The alphabet
+is inferred from the characters; against it, three tests look for structure: chi-squared
+uniformity of the characters, the number of runs above and below the middle of the alphabet, and the serial
 correlation of neighbours.  Their p-values combine by Fisher's method, and a run is random if
 the battery finds no structure.  What remains could still be chance: ordinary text has runs
 that look random if they are short.  So each random run also gets a p-value against the
@@ -36,6 +37,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16, "random": 20}
 
 KEY_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST["random"])
+# Between '='; what ends a run may be padding.  Then the longest stretches of an alphabet.
+PARTS = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+STRETCHES = [re.compile(r"[A-Za-z0-9%s]+=*" % signs) for signs in ("+/", "_-", "")]
 # Alphabets from the narrowest; a run belongs to the first that has all its characters.
 # Plain numbers and words of one case are identifiers and prose, not keys.
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -127,6 +131,28 @@ def encoding_of(run: str) -> tuple[str, str] | None:
     return None
 
 
+def parts_of(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run of key characters, sorted: its parts between '=',
+    whole if they have an alphabet, and their longest stretches of each alphabet."""
+    out = set()
+    for part in PARTS.finditer(run):
+        if encoding_of(part[0].rstrip("=")) is not None:
+            out.add(part.span())
+        out.update((part.start() + m.start(), part.start() + m.end()) for pattern in STRETCHES for m in pattern.finditer(part[0]))
+    return sorted((a, b) for a, b in out if b - a >= LEAST["random"])
+
+
+def beside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of a run."""
+    for a, _, b in spans:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def test_run(run: str, log_share: dict[str, float]) -> tuple[str, float, int] | None:
     """Encoding, battery p-value, and the bin of the p-value against ordinary text."""
     run = run.rstrip("=")
@@ -172,11 +198,12 @@ def _find(log_share: dict[str, float]):
                 base, tested = base_spans(text, data), []
                 if LONG_KEY in data.translate(KEY_MASK):
                     for m in RUN.finditer(text):
-                        if any(a < m.end() and m.start() < b for a, _, b in base):
-                            continue
-                        result = test_run(m[0], log_share)
-                        if result:
-                            tested.append(dict(zip(("start", "end", "encoding", "random", "bin"), (*m.span(), *result))))
+                        for left, right in beside(*m.span(), base):
+                            for a, b in parts_of(text[left:right]):
+                                result = test_run(text[left + a : left + b], log_share)
+                                if result:
+                                    values = (left + a, left + b, *result)
+                                    tested.append(dict(zip(("start", "end", "encoding", "random", "bin"), values)))
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 runs.append(tested)
             arrays = [pa.array(bases, pa.list_(span)), pa.array(runs, pa.list_(run_kind))]
@@ -202,16 +229,21 @@ def discovery_bin(found: DataFrame, fdr: float) -> int:
 def find_secrets(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, base and all spans as arrays of (start, kind, end) in code points.
 
-    Kinds are numbered as in KINDS; spans are sorted by start, then kind.  A run that overlaps a
-    base span is not tested.  Null and empty texts have no spans.  Rows are independent but for
+    Kinds are numbered as in KINDS; spans are sorted by start, then kind.  Of a run that overlaps a
+    base span the rest is tested; of random parts inside each other the widest is reported.  Null and empty texts have no spans.  Rows are independent but for
     the corpus' character counts and the discovery threshold: repeated rows count repeatedly,
     null ids pass on, an empty table gives an empty one, other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(map_batches(source, _find(char_shares(source, "text")), FOUND))
     least = discovery_bin(found, fdr)
+    passed = F.filter("runs", lambda r: (r["random"] >= ALPHA) & (r["bin"] >= least))
+
+    def wider(r):
+        return lambda o: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
+
     random = F.transform(
-        F.filter("runs", lambda r: (r["random"] >= ALPHA) & (r["bin"] >= least)),
+        F.filter(passed, lambda r: ~F.exists(passed, wider(r))),
         lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")),
     )
     return found.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
