@@ -164,3 +164,17 @@ def test_queries_are_registered_and_run_with_nulls():
     names = [q for q in contract.queries() if q.startswith("op") and q[2].isdigit()]
     assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
     assert "pipeline" in contract.queries()
+
+
+@pytest.mark.parametrize("n_vectors", [10_000, 1_000_000, 100_000_000])
+def test_links_meet_however_large_the_table(n_vectors):
+    rng = np.random.default_rng(7)
+    dims, n = 64, 200
+    caps = embedding_dedup.caps_for(n_vectors)
+    codes = embedding_dedup.codes_for(n_vectors, caps)
+    x, z = rng.normal(size=(2, n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1)[:, None]
+    met = [len(np.intersect1d(*(embedding_dedup.caps_of(v, codes, caps) for v in pair))) > 0 for pair in zip(x, y)]
+    assert np.mean(met) >= 0.99

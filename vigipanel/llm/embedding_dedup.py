@@ -5,7 +5,8 @@ are cut into three blocks with CODES random unit vectors each, and every triple
 so a vector's best directions are list-decoded from 3 * CODES inner products.  A vector's caps
 are the `caps` directions nearest to it, in each of `ROTATIONS` independent codes; vectors that
 share a cap meet there and are verified by their cosine in double precision.  The number of
-directions grows with the number of vectors, so a cap holds few unrelated ones.
+directions grows with the number of vectors, so a cap holds few unrelated ones; finer directions
+part near vectors sooner, so a vector's caps grow too, by `caps_for`, which keeps the recall.
 
 Within a cap nothing is paired off in rows: a task holds at most two chunks of a cap's
 members, compares them as matrices, counts each link in its first common cap only, and
@@ -15,6 +16,7 @@ returns one row per member.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from vigipanel.llm.components import components
 from vigipanel.session import materialise
 
 BLOCKS, ROTATIONS, CAPS = 3, 3, 12
+# Vectors up to which CAPS are enough; beyond, caps grow with the cube root of the vectors.
+CAPS_ENOUGH_FOR = 50_000
 # Members of a cap that are compared as one matrix; larger caps are cut into chunks.
 CHUNK = 1024
 NODE = "vec_id bigint, node binary, dims int, vector binary"
@@ -92,6 +96,16 @@ def nearest_directions(scores: list[np.ndarray], codes: int, caps: int) -> np.nd
     return name
 
 
+def caps_for(n_vectors: int, caps: int = CAPS) -> int:
+    """Caps of a vector in each rotation, by the number of vectors."""
+    return math.ceil(caps * max(1.0, n_vectors / CAPS_ENOUGH_FOR) ** (1 / 3))
+
+
+def codes_for(n_vectors: int, caps: int) -> int:
+    """Codes of a block: directions in proportion to the places, so that a cap's load stays the same."""
+    return max(16, round((n_vectors * caps / 3) ** (1 / BLOCKS)))
+
+
 def caps_of(vector: np.ndarray, codes: int, caps: int) -> np.ndarray:
     dims = len(vector)
     out = []
@@ -131,8 +145,9 @@ def compare(cap: int, chunks: np.ndarray, units: np.ndarray, caps: list[np.ndarr
         table[i, : len(earlier)] = earlier
     used = max(1, int((table >= 0).sum(1).max()))
     table = table[:, :used]
-    for at in range(0, len(a), 4096):
-        i, j = a[at : at + 4096], b[at : at + 4096]
+    step = max(1, min(4096, 2**23 // used**2))
+    for at in range(0, len(a), step):
+        i, j = a[at : at + step], b[at : at + step]
         left = table[i]
         met = ((left[:, :, None] == table[j][:, None, :]) & (left >= 0)[:, :, None]).any((1, 2))
         i, j = i[~met], j[~met]
@@ -203,8 +218,9 @@ def near_duplicates(
     nodes = materialise(
         valid.groupBy("node").agg(F.min("vec_id").alias("own_id"), F.count("*").alias("copies"), F.min("dims").alias("dims"), F.min("vector").alias("vector"))
     )
-    # Directions in proportion to the vectors, so that a cap's load stays the same.
-    codes = max(16, round((nodes.count() * caps / 3) ** (1 / BLOCKS)))
+    n_nodes = nodes.count()
+    caps = caps_for(n_nodes, caps)
+    codes = codes_for(n_nodes, caps)
     filtered = map_batches(nodes.select("node", "copies", "dims", "vector"), _filters(codes, caps), FILTERED)
     counted = materialise(_verified(materialise(filtered), least, chunk))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
