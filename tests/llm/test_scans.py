@@ -224,6 +224,18 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("wrap", ['id="wrap" class="content has-sidebar"', 'class="post ad-free"', 'class="layout sidebar-right"', 'class="tabs"'])
+def test_layout_names_hide_no_article(wrap):
+    text = "The first, long paragraph of the page, with commas, and more of it, and so on."
+    page = f"""<body><div class="nav"><a href=/>home</a></div><div {wrap}><p>{text}</p><p>{text}</p>
+<div class="sidebar"><p>Aside, with, commas</p></div><p>{text}</p></div><div class="footer">f</div></body>"""
+    assert html_text.main_text(page) == "\n".join([text] * 3)
+
+
+def test_names_that_leave_nothing_are_not_heeded():
+    assert html_text.main_text('<div class="comments"><p>All there is, on this page.</p></div>') == "All there is, on this page."
+
+
 def test_deep_and_broken_pages_end():
     assert html_text.main_text("<div>" * 20_000 + "<p>deep, text" + "</i>" * 5000) == "deep, text"
     assert html_text.main_text("<p>a < b <c") != ""

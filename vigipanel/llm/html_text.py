@@ -66,28 +66,32 @@ UNWANTED = frozenset(
 ARTICLE = frozenset("article articlebody body content entry hentry main page post story text".split())
 NOT_ARTICLES = frozenset("ad ads advert comment comments promo recommended related replies reply sponsored teaser".split())
 NAME_PART = re.compile(r"[a-z0-9]+")
+# Names that say what an element has or lacks, not what it is: has-sidebar, ad-free.
+MODIFIER = re.compile(r"(?:has|have|with|without|no|hide|show)[-_].*|.*[-_](?:free|less|enabled|disabled|open|closed|visible|hidden)")
 
 LEAST_POINTS, SIBLING_SHARE = 10.0, 0.2
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "chars", "commas", "link_chars", "hidden", "holds_article")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "chars", "commas", "link_chars", "hidden", "holds_article", "prose")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
         self.points, self.chars, self.commas, self.link_chars = 0.0, 0, 0, 0
         self.hidden = self.holds_article = False
+        self.prose = 0
 
     def names(self) -> set[str]:
-        """Parts of class, id and role."""
+        """Parts of class, id and role; a modifier has none."""
         out: set[str] = set()
         if self.attrs:
             for key, value in ATTRIBUTE.findall(self.attrs):
                 if key.lower() in ("class", "id", "role"):
                     for word in value.strip("\"'").lower().split():
                         out.add(word)
-                        out.update(NAME_PART.findall(word))
+                        if not MODIFIER.fullmatch(word):
+                            out.update(NAME_PART.findall(word))
         return out
 
     def invisible(self) -> bool:
@@ -164,14 +168,18 @@ def _walk(root: Element) -> list[Element]:
     return out
 
 
-def _unwanted(node: Element) -> bool:
-    """By tag or attribute, or by a name where the element holds no article."""
+def _unwanted(node: Element, prose: int, by_name: bool) -> bool:
+    """By tag or attribute, or by a name where the element holds no article.
+
+    What holds most of the page's `prose` is its layout, whatever it is called, unless it is
+    called adverts, comments or the like.
+    """
     if node.invisible():
         return True
     if node.tag in DROPPED:
         # A heading block inside an article is its own; other headers are the site's.
         return not (node.tag == "header" and _inside(node, ("article", "main")))
-    if not node.attrs or node.tag in ("html", "body"):
+    if not by_name or not node.attrs or node.tag in ("html", "body"):
         return False
     names = node.names()
     bad = names & UNWANTED
@@ -179,6 +187,8 @@ def _unwanted(node: Element) -> bool:
         return bool(bad & NOT_ARTICLES)
     if bad == {"header"} and names & ARTICLE:
         return False
+    if 2 * node.prose > prose and not bad & NOT_ARTICLES:
+        return False
     return bool(bad) and not node.holds_article
 
 
@@ -190,17 +200,19 @@ def _inside(node: Element, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def _mark_and_measure(root: Element) -> list[Element]:
+def _mark_and_measure(root: Element, by_name: bool = True) -> list[Element]:
     """Hides what is unwanted; the rest in page order, with the counts of their whole texts."""
     for node in reversed(_walk(root)):
         wanted = node.tag in ("article", "main") and not node.names() & NOT_ARTICLES
         if (wanted or node.holds_article) and node.parent is not None:
             node.parent.holds_article = True
+        if node.tag not in DROPPED and node.tag != "a":
+            node.prose = sum(len(c.strip()) if isinstance(c, str) else c.prose for c in node.children)
     todo = [root]
     while todo:
         for child in todo.pop().children:
             if isinstance(child, Element):
-                child.hidden = _unwanted(child)
+                child.hidden = _unwanted(child, root.prose, by_name)
                 if not child.hidden:
                     todo.append(child)
     nodes = _walk(root)
@@ -305,8 +317,13 @@ def main_text(page: str | None) -> str:
     """Blocks of the main text, one per line; empty if there is none."""
     if not page:
         return ""
+    # Where the names leave nothing they are not heeded.
+    return _text(page) or _text(page, by_name=False)
+
+
+def _text(page: str, by_name: bool = True) -> str:
     root = parse(page)
-    best = best_container(_mark_and_measure(root))
+    best = best_container(_mark_and_measure(root, by_name))
     if best is None:
         return "\n".join(_blocks(root))
     articles = _whole_article(best)
