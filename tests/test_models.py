@@ -177,3 +177,20 @@ def test_forecast_settings():
     assert specs["Random Forest"]["numTrees"] == 200 and specs["Gradient Boosting"]["maxDepth"] == 3
     assert specs["Neural Network"]["hidden"] == (64, 32) and specs["SVM"]["maxIter"] == 3
     assert specs["XGBoost"] == {s.name: s.params for s in M.fixed_specs()}["XGBoost"]
+
+
+def test_importances_are_of_full_models(monkeypatch):
+    from vigipanel.plans import q_models
+
+    class Fitted(Exception):
+        pass
+
+    def fit(train, columns, label, spec):
+        raise Fitted(spec)
+
+    monkeypatch.setattr(q_models, "split_v3", lambda spark, sf: (None, None))
+    monkeypatch.setattr(q_models.M, "fit", fit)
+    for build in (q_models.m10, q_models.x01_tree_importances):
+        with pytest.raises(Fitted) as seen:
+            build(None, None)
+        assert seen.value.args[0] in q_models.M.fixed_specs()

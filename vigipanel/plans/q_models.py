@@ -677,7 +677,7 @@ def m09(spark, sf):
 @query("m10_importances")
 def m10(spark, sf):
     train, _ = split_v3(spark, sf)
-    spec = next(s for s in M.fixed_specs(TRIAL) if s.name == "Random Forest")
+    spec = next(s for s in M.fixed_specs() if s.name == "Random Forest")
     return topk.top_features(M.fit(train, NOWCAST, LABEL, spec).importances(), 15)
 
 
@@ -724,7 +724,7 @@ def x01_tree(spark, sf):
 @query("x01_tree_importances")
 def x01_tree_importances(spark, sf):
     train, test = split_v3(spark, sf)
-    spec = next(s for s in M.fixed_specs(TRIAL) if s.name == "Gradient Boosting")
+    spec = next(s for s in M.fixed_specs() if s.name == "Gradient Boosting")
     wide, _ = X.tree_contributions(M.fit(train, NOWCAST, LABEL, spec).model, test, NOWCAST, X_KEYS)
     return X.group_importance(wide, "maladie")
 
