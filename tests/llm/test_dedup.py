@@ -162,7 +162,7 @@ def test_queries_are_registered_and_run_with_nulls():
     import __spark_entry__ as contract
 
     names = [q for q in contract.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 

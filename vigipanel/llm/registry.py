@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigipanel.llm import bpe, decontaminate, embedding_dedup, html_text, licenses, line_templates, minhash, secrets, token_files, toxicity
+from vigipanel.llm import (
+    bpe,
+    decontaminate,
+    embedding_dedup,
+    filter_audit,
+    hard_negatives,
+    html_text,
+    licenses,
+    line_templates,
+    minhash,
+    multi_index,
+    secrets,
+    token_files,
+    toxicity,
+)
 from vigipanel.llm.common import table
 from vigipanel.session import scratch_path
 
@@ -84,3 +98,23 @@ def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = line_templates.drop_recurring(table(spark, sf, "documents"))
     return cleaned.select("doc_id", "n_dropped", "text")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    cells = filter_audit.document_cells(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return filter_audit.audit(cells)
+
+
+ORACLES["op11_filter_audit"] = filter_audit.oracle_sql()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
