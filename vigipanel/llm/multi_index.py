@@ -28,11 +28,11 @@ from vigipanel.llm.common import map_batches
 from vigipanel.llm.vector_blocks import BLOCK, blocks_for, numbers, packed, paired, valid_rows
 from vigipanel.session import materialise
 
-# Least bits of a code (a vector of more dimensions has one for each), vectors that it is learned
+# Least bits of a code (a vector of many dimensions has two for each), vectors that it is learned
 # from, different codes a query looks at in a block.
 BITS, SAMPLE, POOL = 256, 4096, 64
 # Queries of a block, and rounds of the rotation's fit.
-QUERIES, ROUNDS = 256, 30
+QUERIES, ROUNDS = 256, 10
 MODEL = "dims int, mean binary, directions binary"
 INDEXED = BLOCK + ", codes binary, places binary, members binary, starts binary"
 FOUND = "query_id bigint, query_alt bigint, vec_id bigint, score double"
@@ -46,7 +46,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 def learn(sample: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, directions by column) by iterative quantisation of a sample of unit vectors."""
-    bits = max(bits, -(-sample.shape[1] // 8) * 8)
+    bits = max(bits, -(-sample.shape[1] // 4) * 8)
     mean = sample.mean(0)
     z = sample - mean
     axes = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :bits]
