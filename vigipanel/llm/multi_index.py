@@ -30,7 +30,7 @@ from vigipanel.session import materialise
 
 # Least bits of a code (a vector of many dimensions has two for each), vectors that it is learned
 # from, different codes a query looks at in a block.
-BITS, SAMPLE, POOL = 256, 4096, 64
+BITS, SAMPLE, POOL = 192, 4096, 96
 # Queries of a block, and rounds of the rotation's fit.
 QUERIES, ROUNDS = 256, 10
 MODEL = "dims int, mean binary, directions binary"
@@ -46,7 +46,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 def learn(sample: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, directions by column) by iterative quantisation of a sample of unit vectors."""
-    bits = max(bits, -(-sample.shape[1] // 4) * 8)
+    bits = -(-max(bits, 2 * sample.shape[1]) // 64) * 64
     mean = sample.mean(0)
     z = sample - mean
     axes = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, :bits]
@@ -64,15 +64,10 @@ def codes_of(vectors: np.ndarray, mean: np.ndarray, directions: np.ndarray) -> n
     return np.packbits((vectors - mean) @ directions > 0, axis=1)
 
 
-@functools.lru_cache(maxsize=1)
-def bit_counts() -> np.ndarray:
-    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
-
-
 @functools.lru_cache(maxsize=1)
 def rings() -> list[np.ndarray]:
     """The byte masks of 0, 1, ... 8 bits."""
-    return [np.flatnonzero(bit_counts() == t).astype(np.uint8) for t in range(9)]
+    return [np.flatnonzero(np.bitwise_count(np.arange(256)) == t).astype(np.uint8) for t in range(9)]
 
 
 class Index:
@@ -96,38 +91,47 @@ class Index:
         codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
         return cls(codes, whole("places").reshape(m, -1), whole("members"), whole("starts").reshape(m, 257))
 
-    def within(self, code: np.ndarray, enough: int) -> np.ndarray:
-        """The members of every code within the least radius that holds `enough` codes, or of
-        all codes if there are no more."""
-        n, m = self.codes.shape
-        seen = np.zeros(n, bool)
+    def within(self, asked: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each code asked, the members of every code within the least radius that holds
+        `enough` codes, or of all codes if there are no more.
+
+        All codes asked go through the probes together; those that have enough leave.
+        """
+        (n, m), q, top = self.codes.shape, len(asked), 8 * self.codes.shape[1]
+        own, words = self.codes.view("<u8"), np.ascontiguousarray(asked).view("<u8")
+        # By query and code in one row of numbers: query * n + code.
+        seen = np.zeros(q * n, bool)
+        distance = np.full(q * n, top + 1, np.int16)
         # How many codes seen so far are at each distance.
-        at = np.zeros(8 * m + 1, np.int64)
-        known, distance = 0, np.full(n, 8 * m + 1, np.int64)
+        counts = np.zeros((q, top + 1), np.int64)
+        limit, active = np.full(q, top), np.arange(q)
         for t, masks in enumerate(rings()):
             for j in range(m):
-                values = masks ^ code[j]
-                begin, end = self.starts[j, values], self.starts[j, values.astype(np.int64) + 1]
-                size = end - begin
+                values = (asked[active, j][:, None] ^ masks).astype(np.int64).ravel()
+                begin = self.starts[j, values]
+                size = self.starts[j, values + 1] - begin
                 total = int(size.sum())
                 if total:
                     offset = np.repeat(begin - np.concatenate([[0], size.cumsum()[:-1]]), size)
                     hit = self.places[j, offset + np.arange(total)]
-                    new = hit[~seen[hit]]
-                    if len(new):
-                        seen[new] = True
-                        distance[new] = bit_counts()[self.codes[new] ^ code].sum(1)
-                        at += np.bincount(distance[new], minlength=len(at))
-                        known += len(new)
+                    place = np.repeat(np.repeat(active * n, len(masks)), size) + hit
+                    place = place[~seen.take(place)]
+                    seen[place] = True
+                    row, hit = np.divmod(place, n)
+                    apart = np.bitwise_count(own[hit] ^ words[row]).sum(1, dtype=np.int64)
+                    distance[place] = apart
+                    counts += np.bincount(row * (top + 1) + apart, minlength=counts.size).reshape(counts.shape)
                 # Complete up to here: each substring but the first j + 1 was probed to t - 1.
                 radius = m * t + j
-                if known == n or at[: radius + 1].sum() >= enough:
-                    near = distance <= (8 * m if known == n else radius)
-                    if known == n and at.sum() > enough:
-                        least = int(np.searchsorted(at.cumsum(), enough))
-                        near = distance <= least
-                    return np.flatnonzero(near[self.members])
-        return np.arange(len(self.members))
+                whole = counts[active].sum(1) == n
+                done = whole | (counts[active, : radius + 1].sum(1) >= enough)
+                for i in active[done & whole]:
+                    limit[i] = np.searchsorted(counts[i].cumsum(), min(enough, n))
+                limit[active[done & ~whole]] = radius
+                active = active[~done]
+                if not len(active):
+                    return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, n) <= limit[:, None]]
+        return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, n) <= limit[:, None]]
 
 
 def _learned(bits: int):
@@ -201,8 +205,8 @@ def _searched(k: int, pool: int):
             asked, codes = _coded(pair, "q_")
             own, alts = (np.frombuffer(pair[c], "<i8") for c in ("q_ids", "q_alts"))
             out = [[], [], [], []]
-            for query, code, query_id, alt in zip(asked, codes, own, alts):
-                found, scores = nearest(vectors, ids, query, query_id, index.within(code, pool), k)
+            for query, near, query_id, alt in zip(asked, index.within(codes, pool), own, alts):
+                found, scores = nearest(vectors, ids, query, query_id, near, k)
                 for column, value in zip(out, (np.full(len(found), query_id), np.full(len(found), alt), found, scores)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "query_alt", "vec_id", "score"])
