@@ -345,3 +345,37 @@ def test_short_lines_go_alone_if_many_documents_have_them(spark):
     for i, text in rows:
         kept = "\n".join([text.split("\n")[0], text.split("\n")[2]])
         assert (got[i].n_dropped, got[i].text) == ((1, kept) if i < 24 else (0, text))
+
+
+# findings on pages and exceptions
+
+PARAGRAPHS = "".join(f"<p>{'A paragraph of the article, with some words in it, number ' * 3}{i}.</p>" for i in range(3))
+LINKS = "".join(f"<li><a href=http://x.org/{i}/>A headline of another page, number {i}</a></li>" for i in range(30))
+
+
+def test_unquoted_addresses_that_end_in_a_slash_are_links():
+    unquoted = html_text.main_text(f"<html><body><div>{PARAGRAPHS}</div><ul>{LINKS}</ul></body></html>")
+    quoted = html_text.main_text(f"<html><body><div>{PARAGRAPHS}</div><ul>{re.sub('href=([^>]*)>', 'href=\"\\\\1\">', LINKS)}</ul></body></html>")
+    assert unquoted == quoted and "number 2." in unquoted and "headline" not in unquoted
+
+
+def test_a_slash_closes_void_elements_only():
+    page = f"<html><body><div/>{PARAGRAPHS}<br/><img src=a/ /></body></html>"
+    assert html_text.main_text(page).count("\n") == 2
+    place = f"<html><body><div><a name='top'/>{PARAGRAPHS}</div></body></html>"
+    assert html_text.main_text(place).count("number") == 9
+
+
+def test_words_of_the_article_stay():
+    page = f"<html><body><nav>Menu</nav><article>{PARAGRAPHS}<p>So <math>E = mc</math> holds <span class='tags'>for all</span> of us.</p></article></body></html>"
+    assert "So E = mc holds for all of us." in html_text.main_text(page)
+
+
+def test_exceptions_are_merged_with_matches():
+    assert [*toxicity.outside([0, 4, 5, 9, 12, 30], [(10, 14), (4, 6), (1, 5), (29, 30)])] == [0, 9, 30]
+    import time
+
+    model = toxicity.Model({"bad": 1.0}, (0.0, 1.0, 1.0), ("not bad at all",))
+    text = toxicity.folded("not bad at all " * 70_000 + "bad")
+    start = time.perf_counter()
+    assert toxicity.weigh(text, model.automaton()) == (1.0, 280_001) and time.perf_counter() - start < 3

@@ -34,10 +34,10 @@ RAW = frozenset("script style textarea title xmp noframes iframe noembed".split(
 # Elements whose text is no part of an article.
 DROPPED = frozenset(
     "head script style noscript template nav header footer aside form button select option textarea input fieldset "
-    "iframe object embed applet canvas svg math audio video map menu dialog title xmp noframes noembed".split()
+    "iframe object embed applet canvas svg audio video map menu dialog title xmp noframes noembed".split()
 )
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math meter nobr output progress q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr br".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
@@ -47,6 +47,7 @@ ENDS_P = frozenset(
     "menu nav ol p pre section table ul".split()
 )
 ENDED_BY = {
+    "a": frozenset(["a"]),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]), "p": ENDS_P, "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"]),
@@ -94,6 +95,10 @@ class Element:
                             out.update(NAME_PART.findall(word))
         return out
 
+    def is_link(self) -> bool:
+        """An anchor without an address is a place, not a link."""
+        return any(key.lower() == "href" for key, _ in ATTRIBUTE.findall(self.attrs))
+
     def invisible(self) -> bool:
         if not self.attrs:
             return False
@@ -152,7 +157,8 @@ def parse(page: str) -> Element:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in VOID and not m["attrs"].endswith("/"):
+        elif name not in VOID:
+            # A slash before the end closes nothing else: it ends an unquoted value, or is ignored.
             here = element
             opened[name] += 1
     return root
@@ -181,6 +187,8 @@ def _unwanted(node: Element, prose: int, by_name: bool) -> bool:
         return not (node.tag == "header" and _inside(node, ("article", "main")))
     if not by_name or not node.attrs or node.tag in ("html", "body"):
         return False
+    if node.tag in INLINE and _inside(node, ("article",)):
+        return False  # a word of the article, however it is marked
     names = node.names()
     bad = names & UNWANTED
     if node.tag in ("article", "main"):
@@ -224,7 +232,7 @@ def _mark_and_measure(root: Element, by_name: bool = True) -> list[Element]:
             elif not child.hidden:
                 node.chars += child.chars
                 node.commas += child.commas
-                node.link_chars += child.chars if child.tag == "a" else child.link_chars
+                node.link_chars += child.chars if child.tag == "a" and child.is_link() else child.link_chars
     return nodes
 
 
@@ -267,7 +275,7 @@ def best_container(nodes: list[Element]) -> Element | None:
 
 def _kept(best: Element) -> list[Element]:
     """The best container with the siblings that belong to it, in page order."""
-    if best.parent is None or best.tag in ("body", "html"):
+    if best.parent is None or best.tag in ("body", "html", "article"):
         return [best]
     limit = max(LEAST_POINTS, SIBLING_SHARE * best.points)
     out = []
@@ -326,18 +334,17 @@ def _text(page: str, by_name: bool = True) -> str:
     best = best_container(_mark_and_measure(root, by_name))
     if best is None:
         return "\n".join(_blocks(root))
-    articles = _whole_article(best)
-    return "\n".join(text for node in (articles or _kept(best)) for text in _blocks(node))
+    return "\n".join(text for node in _kept(_article_around(best) or best) for text in _blocks(node))
 
 
-def _whole_article(best: Element) -> list[Element] | None:
-    """The article or main element around the best container, if it is around it."""
+def _article_around(best: Element) -> Element | None:
+    """The outermost article element around the best container: its parts belong together."""
     node, found = best, None
     while node is not None:
-        if node.tag == "article" or node.tag == "main" and found is None:
+        if node.tag == "article":
             found = node
         node = node.parent
-    return [found] if found is not None else None
+    return found
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
