@@ -98,8 +98,17 @@ def weigh(text: str, automaton) -> tuple[float, int]:
                 spared.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-    total = sum(w for start, w in best.items() if not any(a <= start < b for a, b in spared))
-    return total, len(text.split())
+    return sum(best[start] for start in outside(sorted(best), spared)), len(text.split())
+
+
+def outside(places: list[int], spans: list[tuple[int, int]]) -> Iterator[int]:
+    """The rising places that lie in no span, both lists read once."""
+    spans, at, reach = sorted(spans), 0, 0
+    for place in places:
+        while at < len(spans) and spans[at][0] <= place:
+            reach, at = max(reach, spans[at][1]), at + 1
+        if place >= reach:
+            yield place
 
 
 def inputs(total: float, words: int) -> tuple[float, float]:
