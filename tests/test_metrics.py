@@ -84,14 +84,56 @@ def test_roc_reaches_the_corner(spark):
         assert rows.iloc[-1].tpr == 1.0 and rows.iloc[-1].fpr == 1.0
 
 
+def drawn(rows):
+    """The curve by its definition: cumulated counts, equal steps left out, the origin in front."""
+    out = []
+    for m in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == m]
+        p1, n0 = sum(r[1] for r in own), sum(1 - r[1] for r in own)
+        points = [(t, sum(r[1] for r in own if r[2] >= t), sum(1 - r[1] for r in own if r[2] >= t)) for t in sorted({r[2] for r in own}, reverse=True)]
+        for i, (t, tp, fp) in enumerate(points):
+            if 0 < i < len(points) - 1:
+                (_, a, b), (_, c, d) = points[i - 1], points[i + 1]
+                if a + c == 2 * tp and b + d == 2 * fp:
+                    continue
+            out.append((m, t, fp / n0 if n0 else None, tp / p1 if p1 else None))
+        out.append((m, float("inf"), 0.0 if n0 else None, 0.0 if p1 else None))
+    return sorted(out, key=lambda r: (r[0], r[1]))
+
+
+@pytest.mark.parametrize("steps", [None, 1, 3])
+def test_drawn_curve_equals_its_definition(spark, steps):
+    rows = [("a", int(i % 4 == 0), (i // 2) / 40) for i in range(80)] + [("b", 0, i / 10) for i in range(6)] + [("c", 1, 0.5), ("c", 0, 0.5)]
+    rows += [(m, int(y), float(p)) for m, y, p in zip(*(scored()[c] for c in ("model", "y", "p")))]
+    df = spark.createDataFrame(rows, "model string, y int, p double")
+    got = sorted(map(tuple, V.roc_curve(df, ["model"], steps=steps).collect()), key=lambda r: (r[0], r[1]))
+    want = drawn(rows)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want):
+        assert g[2:] == pytest.approx(w[2:]) if None not in w else g[2:] == w[2:]
+
+
 def test_waterfall_keeps_the_total(spark):
-    rows = [(1, f"f{i}", float((-1) ** i * i)) for i in range(15)]
-    long = spark.createDataFrame(rows, "id int, feature string, phi double")
-    out = topk.waterfall(long, ["id"], 10).toPandas().sort_values("position")
-    assert len(out) == 11 and out.phi.is_monotonic_increasing
-    assert out.phi.sum() == pytest.approx(sum(r[2] for r in rows))
+    values = {f"phi_f{i}": float((-1) ** i * i) for i in range(15)}
+    wide = spark.createDataFrame([(1, *values.values()), (2, *[None] * 15)], "id int, " + ", ".join(f"{c} double" for c in values))
+    both = topk.waterfall(wide, ["id"], 10)
+    out = both.where("id = 1").toPandas().sort_values("position")
+    assert len(out) == 11 and out.phi.is_monotonic_increasing and list(out.position) == [*range(1, 12)]
+    assert out.phi.sum() == pytest.approx(sum(values.values()))
     others = out[out.feature == "Others"].phi.iloc[0]
-    assert others == pytest.approx(sum(r[2] for r in rows[:5]))
+    assert others == pytest.approx(sum([*values.values()][:5]))
+    assert both.where("id = 2 and phi is null").count() == 11
+    assert topk.waterfall(wide, ["id"], 15).where("id = 1").count() == 15
+
+
+def test_explanations_stay_within_the_row(spark):
+    wide = spark.createDataFrame([(i, float(i), -1.0 * i, 0.5, 2.0) for i in range(9)], "id int, a double, phi_a double, b double, phi_b double")
+    importance = spark.createDataFrame([("a", 4.0), ("b", 2.0)], "feature string, importance double")
+    pairs = topk.dependence(wide, importance, ["id"], 1)
+    assert sorted(map(tuple, pairs.collect()))[3] == (3, "a", -3.0, 3.0) and pairs.count() == 9
+    for df in (pairs, topk.waterfall(wide, ["id"], 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
 
 
 def test_example_rows_fall_back_to_positions(spark):

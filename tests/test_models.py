@@ -1,3 +1,4 @@
+import inspect
 from itertools import combinations
 from math import factorial
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from vigipanel.ml import explain as X
 from vigipanel.ml import models as M
+from vigipanel.ml.certify import certified
+from vigipanel.ml.staged import staged_scores
 
 COLUMNS = ["a", "b", "c"]
 
@@ -152,13 +155,54 @@ def test_model_per_group_without_support(rows):
 
 def test_grid_search(rows):
     blocked = rows.withColumn("block", F.floor(F.col("id") / 100))
-    results, best = M.grid_search(
-        blocked, COLUMNS, "y", M.ModelSpec("GB", "boosted", {}, 4.0),
-        {"maxIter": (1, 4), "maxDepth": (2,)}, M.expanding_conditions(3),
-    )
-    table = {r.option: r.mean_f1 for r in results.collect()}
-    assert set(table) == {0, 1}
-    assert best.spec.params["maxIter"] == (1, 4)[max(table, key=lambda o: (table[o], -o))]
+    grid = {"maxIter": (1, 4), "maxDepth": (2, 3)}
+    base = M.ModelSpec("GB", "boosted", {}, 4.0)
+    folds = M.expanding_conditions(3)
+    found = M.grid_search(blocked, COLUMNS, "y", base, grid, folds)
+    table = {r.option: r.mean_f1 for r in found.results.collect()}
+    assert set(table) == {0, 1, 2, 3}
+    assert found.option == max(table, key=lambda o: (table[o], -o))
+    for i, option in enumerate(M.combinations(grid)):
+        f1 = []
+        for train, test in folds:
+            own = M.fit(blocked.where(train), COLUMNS, "y", base.with_params(**option))
+            hits = own.score(blocked.where(test)).select("y", (F.col("p") >= 0.5).alias("h")).toPandas()
+            tp = int((hits.h & (hits.y == 1)).sum())
+            f1.append(2 * tp / max(1, int(hits.h.sum() + hits.y.sum())))
+        assert table[i] == pytest.approx(np.mean(f1))
+    assert found.best.spec.params == {**base.params, **M.combinations(grid)[found.option]}
+
+
+def test_stages_are_the_shorter_models(rows):
+    long = M.fit(rows, COLUMNS, "y", spec("Gradient Boosting", maxIter=6))
+    made = {r.id: r.stages for r in staged_scores(long.model, long.prepare(rows), "__features", [2, 6], ["id"]).collect()}
+    for at, n in enumerate((2, 6)):
+        short = M.fit(rows, COLUMNS, "y", spec("Gradient Boosting", maxIter=n)).score(rows)
+        assert all(abs(r.p - made[r.id][at]) < 1e-12 for r in short.select("id", "p").collect())
+
+
+def test_stages_send_missing_values_right(rows):
+    model = M.fit(rows, COLUMNS, "y", spec("Gradient Boosting"))
+    gaps = rows.withColumn("a", F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("a")))
+    prepared = M.VectorAssembler(inputCols=COLUMNS, outputCol="__features", handleInvalid="keep").transform(gaps)
+    own = {r.id: r.stages[0] for r in staged_scores(model.model, prepared, "__features", [4], ["id"]).collect()}
+    library = model.model.transform(prepared).select("id", vector_to_array("probability")[1].alias("p")).collect()
+    assert all(abs(own[r.id] - r.p) < 1e-12 for r in library)
+
+
+def test_scoring_leaves_the_columns_as_they_are(rows):
+    for name in ("Logistic Regression", "SVM"):
+        scored = M.fit(rows, COLUMNS, "y", spec(name)).score(rows)
+        assert scored.select("id", *COLUMNS).exceptAll(rows.select("id", *COLUMNS)).count() == 0
+
+
+@pytest.mark.parametrize("name", [s.name for s in M.fixed_specs()])
+def test_certificates_tell_a_fitted_model_from_a_constant(rows, name):
+    wanted = spec(name, **({"maxIter": 300} if name == "Logistic Regression" else {}))
+    assert certified(M.fit(rows, COLUMNS, "y", wanted), rows, "y")
+    # A model of labels that have nothing to do with the columns is no better than a constant.
+    shuffled = rows.withColumn("y", (F.xxhash64("id") % 3 == 0).cast("int"))
+    assert not certified(M.fit(shuffled, COLUMNS, "y", wanted), rows, "y")
 
 
 def test_full_size_grids():
@@ -179,18 +223,10 @@ def test_forecast_settings():
     assert specs["XGBoost"] == {s.name: s.params for s in M.fixed_specs()}["XGBoost"]
 
 
-def test_importances_are_of_full_models(monkeypatch):
+def test_registered_models_and_searches_are_full():
     from vigipanel.plans import q_models
 
-    class Fitted(Exception):
-        pass
-
-    def fit(train, columns, label, spec):
-        raise Fitted(spec)
-
-    monkeypatch.setattr(q_models, "split_v3", lambda spark, sf: (None, None))
-    monkeypatch.setattr(q_models.M, "fit", fit)
-    for build in (q_models.m10, q_models.x01_tree_importances):
-        with pytest.raises(Fitted) as seen:
-            build(None, None)
-        assert seen.value.args[0] in q_models.M.fixed_specs()
+    source = inspect.getsource(q_models)
+    assert "with_params" not in source and "TRIAL" not in source
+    assert set(q_models.MODEL_IDS.values()) == {s.name for s in M.fixed_specs()}
+    assert q_models.options_sql("gradient_boosting").count("maxDepth") == 16

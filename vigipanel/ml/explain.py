@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigipanel.operators.topk import PREFIX
 from vigipanel.session import scratch_path, ship_package
 
-PREFIX = "phi_"
-
 
 def linear_contributions(
     df: DataFrame,

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigipanel.functions.scalar import class_weight
+from vigipanel.ml.staged import STAGES, staged_scores
 from vigipanel.operators.encode import scale, scaling_stats
 from vigipanel.operators.groups import eligible_groups
 from vigipanel.operators.metrics import (
@@ -43,6 +44,16 @@ from vigipanel.sources.panel import write_table
 
 Params = Mapping[str, Any]
 
+# Rows of a task in a search: small tables stay in few tasks, so that many fits run at once.
+ROWS_PER_TASK = 100_000
+# Fits side by side: a fit on a small table waits for its many small steps rather than for
+# cores, while one on a large table fills the cluster and keeps its rows in memory.
+PARALLEL_SMALL, PARALLEL_LARGE = 24, 4
+
+
+def side_by_side(rows: int) -> int:
+    return PARALLEL_SMALL if rows <= ROWS_PER_TASK else PARALLEL_LARGE
+
 # Full-size hyper-parameters.
 FULL: dict[str, dict[str, Any]] = {
     "xgboost": {
@@ -195,6 +206,14 @@ class Fitted:
         return session.createDataFrame(rows, "feature string, importance double")
 
 
+def fit_assembled(rows: DataFrame, label: str, spec: ModelSpec, features: str = "__features") -> Any:
+    """A boosted model on rows that hold their feature vector already."""
+    weight = weight_column(rows, label, spec.weight)
+    marked = rows if weight is None else rows.withColumn("__weight", weight)
+    weighted = {} if weight is None else {"weightCol": "__weight"}
+    return GBTClassifier(featuresCol=features, labelCol=label, seed=spec.seed, **weighted, **spec.params).fit(marked)
+
+
 def fit(train: DataFrame, columns: Sequence[str], label: str, spec: ModelSpec) -> Fitted:
     """Fit one classifier.  Scaling is fitted on the training rows only."""
     columns = list(columns)
@@ -202,16 +221,22 @@ def fit(train: DataFrame, columns: Sequence[str], label: str, spec: ModelSpec) -
     stats = scaling_stats(train, columns) if spec.scaled else {}
     features = "__features"
 
+    def scaled(df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The model's inputs beside the columns of `df`, which stay as they are."""
+        if not stats:
+            return df, columns
+        names = {c: f"__scaled_{c}" for c in columns}
+        copies = df.withColumns({n: F.col(c) for c, n in names.items()})
+        return scale(copies, {n: stats[c] for c, n in names.items()}), list(names.values())
+
     def prepare(df: DataFrame) -> DataFrame:
-        return assemble(scale(df, stats) if stats else df, columns, features)
+        return assemble(*scaled(df), features)
 
     if spec.kind == "svm" and params.pop("kernel", "rbf") == "rbf":
         size = params.pop("random_features", 64)
 
         def prepare(df: DataFrame) -> DataFrame:  # noqa: F811
-            return random_features(
-                scale(df, stats), columns, features, size, 1 / len(columns), spec.seed
-            )
+            return random_features(*scaled(df), features, size, 1 / len(columns), spec.seed)
 
     rows = prepare(train)
     common = {"featuresCol": features, "labelCol": label}
@@ -261,16 +286,34 @@ def compare_models(
     specs: Sequence[ModelSpec],
     keep: Sequence[str],
 ) -> DataFrame:
-    """(model, keep, y, p) of all models in one long table, so one pass evaluates them all."""
-    train = materialise(train.select(label, *columns))
+    """(model, keep, y, p) of all models in one long table, so one pass evaluates them all.
+
+    A few models are fitted side by side, for each spends much of its time on small steps.
+    """
     test = materialise(test.select(*dict.fromkeys([*keep, label, *columns])))
-    scored = [
-        fit(train, columns, label, spec)
-        .score(test)
-        .select(F.lit(spec.name).alias("model"), *keep, F.col(label).alias("y"), "p")
-        for spec in specs
-    ]
-    return reduce(DataFrame.unionByName, scored)
+    return score_models(fit_models(train, columns, label, specs), test, label, keep)
+
+
+def fit_models(
+    train: DataFrame, columns: Sequence[str], label: str, specs: Sequence[ModelSpec]
+) -> list[Fitted]:
+    """Every model on the same stored rows, several at a time."""
+    train = materialise(train.select(label, *columns))
+    n = train.count()
+    train = train.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+    with ThreadPoolExecutor(side_by_side(n)) as pool:
+        return [*pool.map(lambda spec: fit(train, columns, label, spec), specs)]
+
+
+def score_models(fitted: Sequence[Fitted], test: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [scored_rows(f, test, label, keep) for f in fitted])
+
+
+def scored_rows(fitted: Fitted, test: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
+    """(model, keep, y, p) of one model."""
+    return fitted.score(test).select(
+        F.lit(fitted.spec.name).alias("model"), *keep, F.col(label).alias("y"), "p"
+    )
 
 
 def train_per_group(
@@ -284,7 +327,6 @@ def train_per_group(
     min_rows: int = 300,
     min_positives: int = 20,
     thresholds: Sequence[float] = GRID_LONG,
-    parallel: int = 4,
     year: str = "annee",
 ) -> DataFrame:
     """One model per group with enough support; a result row per group, best AUC first.
@@ -305,9 +347,11 @@ def train_per_group(
     names = [r[key] for r in support.select(key).toLocalIterator()]
 
     scored = scratch_path(df.sparkSession, "per-group-scores")
-    schema = f"{key} string, y double, p double"
+    schema = T.StructType(
+        [df.schema[key], T.StructField("y", T.DoubleType()), T.StructField("p", T.DoubleType())]
+    )
 
-    def one(job: tuple[int, str]) -> str | None:
+    def one(job: tuple[int, Any]) -> str | None:
         number, name = job
         rows = df.where(F.col(key) == name)
         train, test = rows.where(F.col(year) <= cut), rows.where(F.col(year) > cut)
@@ -318,7 +362,7 @@ def train_per_group(
         write_table(part.select(key, F.col(label).cast("double").alias("y"), "p"), path)
         return path
 
-    with ThreadPoolExecutor(parallel) as pool:
+    with ThreadPoolExecutor(side_by_side(df.count())) as pool:
         paths = [path for path in pool.map(one, enumerate(names)) if path is not None]
     session = df.sparkSession
     pred = (
@@ -350,6 +394,33 @@ def combinations(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
+@dataclass
+class Search:
+    """A finished grid search: mean F1 per option, the folds' predictions, the refitted best."""
+
+    results: DataFrame
+    predictions: DataFrame
+    option: int
+    best: Fitted
+
+
+def fold_matrix(df: DataFrame, columns: Sequence[str], label: str, folds: Sequence[tuple[Column, Column]]) -> tuple[DataFrame, int]:
+    """The rows as every fit reads them, stored once: vector, label, and two flags per fold; and their number."""
+    flags = {f"__{part}{i}": pair[side] for i, pair in enumerate(folds) for side, part in enumerate(("train", "test"))}
+    rows = assemble(df, columns, "__features").withColumns(flags)
+    stored = materialise(rows.select("__features", F.col(label).cast("double").alias(label), *flags))
+    n = stored.count()
+    return stored.coalesce(max(1, -(-n // ROWS_PER_TASK))), n
+
+
+def staged_options(options: Sequence[Mapping[str, Any]]) -> dict[tuple, list[int]]:
+    """Options that differ in the number of trees only, together: one fit serves them all."""
+    shared: dict[tuple, list[int]] = {}
+    for i, option in enumerate(options):
+        shared.setdefault(tuple((k, v) for k, v in option.items() if k != "maxIter"), []).append(i)
+    return shared
+
+
 def grid_search(
     df: DataFrame,
     columns: Sequence[str],
@@ -359,32 +430,61 @@ def grid_search(
     folds: Sequence[tuple[Column, Column]],
     *,
     threshold: float = 0.5,
-    parallel: int = 4,
-) -> tuple[DataFrame, Fitted]:
-    """(mean F1 per combination, best model refitted on all rows).
+) -> Search:
+    """Mean F1 per option of a grid of boosted models, and the best refitted on all rows.
 
     `folds` are (train, test) conditions on `df`, for example over the block column of
-    `expanding_folds`.  Fits run a few at a time; each leaves one number behind, so the
-    size of the grid does not show in any plan.
+    `expanding_folds`.  The longest model of each combination of the other parameters is fitted
+    once per fold and its stages stand for the shorter ones.  Fits run a few at a time; each
+    leaves its test rows' probabilities at every stage in one stored table, and one pass over
+    that table gives the counts of all options.
     """
-    df = materialise(df)
+    if spec.kind != "boosted":
+        raise ValueError("stages are those of boosted trees")
     options = combinations(grid)
+    trees = [int({**spec.params, **o}.get("maxIter", 20)) for o in options]
+    shared = staged_options(options)
+    matrix, n_rows = fold_matrix(df, columns, label, folds)
+    stored = scratch_path(df.sparkSession, "fold-predictions")
+
+    def one(job: tuple[int, tuple, list[int]]) -> str:
+        fold, params, members = job
+        longest = max(trees[i] for i in members)
+        own = spec.with_params(**dict(params), maxIter=longest)
+        train, test = matrix.where(f"__train{fold}"), matrix.where(f"__test{fold}")
+        model = fit_assembled(train, label, own)
+        scored = staged_scores(model, test, "__features", [trees[i] for i in members], [label])
+        marks = F.array(*[F.lit(i) for i in members])
+        path = f"{stored}/{members[0]}-{fold}"
+        scored.select(F.lit(fold).alias("fold"), marks.alias("options"), F.col(label).alias("y"), STAGES).write.parquet(path)
+        return path
 
-    def held_out(job: tuple[int, int]) -> float:
-        option, fold = job
-        train, test = folds[fold]
-        fitted = fit(df.where(train), columns, label, spec.with_params(**options[option]))
-        scored = fitted.score(df.where(test)).withColumn("y", F.col(label))
-        return threshold_sweep(scored, [threshold], []).first()["f1"]
-
-    jobs = list(product(range(len(options)), range(len(folds))))
-    with ThreadPoolExecutor(parallel) as pool:
-        f1 = list(pool.map(held_out, jobs))
-    means = np.reshape(f1, (len(options), len(folds))).mean(axis=1)
-    best = options[int(np.argmax(means))]  # the first of equals
-    rows = [(i, str(o), float(m)) for i, (o, m) in enumerate(zip(options, means, strict=True))]
-    results = df.sparkSession.createDataFrame(rows, "option int, params string, mean_f1 double")
-    return results, fit(df, columns, label, spec.with_params(**best))
+    # Long fits first, so that the pool does not end on one of them.
+    jobs = [(fold, params, members) for params, members in shared.items() for fold in range(len(folds))]
+    jobs.sort(key=lambda j: (-dict(j[1]).get("maxDepth", 5), -j[0]))
+    with ThreadPoolExecutor(side_by_side(n_rows)) as pool:
+        paths = [*pool.map(one, jobs)]
+    predictions = df.sparkSession.read.parquet(*paths)
+    results = option_scores(predictions, options, threshold)
+    ranked = results.orderBy(F.desc("mean_f1"), "option").first()  # the first of equals
+    best = fit(df, columns, label, spec.with_params(**options[ranked["option"]]))
+    return Search(results, predictions, ranked["option"], best)
+
+
+def option_scores(predictions: DataFrame, options: Sequence[Mapping[str, Any]], threshold: float) -> DataFrame:
+    """(option, params, mean_f1) from the folds' predictions: counts per fold and fit, then per option."""
+    most = max(map(len, staged_options(options).values()))
+    y = F.col("y") == 1
+    counts = {}
+    for s in range(most):
+        hit = F.coalesce(F.get(STAGES, F.lit(s)) >= threshold, F.lit(False))
+        counts |= {f"tp{s}": F.count_if(y & hit), f"fp{s}": F.count_if(~y & hit), f"fn{s}": F.count_if(y & ~hit)}
+    by_fit = predictions.groupBy("fold", "options").agg(*[c.alias(n) for n, c in counts.items()])
+    f1 = [F.coalesce(F.try_divide(F.lit(2.0) * F.col(f"tp{s}"), 2 * F.col(f"tp{s}") + F.col(f"fp{s}") + F.col(f"fn{s}")), F.lit(0.0)) for s in range(most)]
+    by_fold = by_fit.select("fold", F.inline(F.arrays_zip(F.col("options").alias("option"), F.array(*f1).alias("f1"))).alias("option", "f1"))
+    means = by_fold.where("option is not null").groupBy("option").agg(F.avg("f1").alias("mean_f1"))
+    names = F.array(*[F.lit(str(o)) for o in options])
+    return materialise(means.select("option", F.get(names, "option").alias("params"), "mean_f1"))
 
 
 def expanding_conditions(n_splits: int, block: str = "block") -> list[tuple[Column, Column]]:

@@ -8,8 +8,9 @@ from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.operators.ranks import exact_quantiles, sorted_positions
-from vigipanel.session import small_side
+from vigipanel.operators.ranks import sorted_positions
+from vigipanel.operators.wide import wide_quantiles
+from vigipanel.session import BROADCAST_ROWS, materialise, small_side
 
 # A one-hot level becomes a column, so their number is a schema size; more levels fit a vector.
 MAX_LEVELS = 5_000
@@ -22,13 +23,44 @@ def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
     return codes.withColumn("code", F.col("code").cast("int"))
 
 
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, code) of columns of one type: their sorted distinct values, numbered.
+
+    The source is read once for all columns: one distinct of (feature, value) with partial
+    results per task, one range sort of what is left, and one stored table of codes.
+    """
+    entry = lambda c: F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+    pairs = df.select(F.inline(F.array(*map(entry, columns)))).where("value is not null").distinct()
+    placed = sorted_positions(pairs, ["feature", "value"])
+    first = placed.groupBy("feature").agg(F.min("position").alias("first"))  # a row per column
+    coded = placed.join(F.broadcast(first), "feature")
+    return materialise(coded.select("feature", "value", (F.col("position") - F.col("first")).cast("int").alias("code")))
+
+
+def dictionaries(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[DataFrame, int]]:
+    """{column: (table of value and code, its size)}; columns of a type share one dictionary."""
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    made = {}
+    for own in by_type.values():
+        codes = dictionary(df, own)
+        sizes = {r["feature"]: r["count"] for r in codes.groupBy("feature").count().collect()}  # a row per column
+        made |= {c: (codes.where(F.col("feature") == c).select("value", "code"), sizes.get(c, 0)) for c in own}
+    return made
+
+
+def _joined(df: DataFrame, column: str, codes: DataFrame, size: int, name: str) -> DataFrame:
+    table = codes.withColumnsRenamed({"value": column, "code": name})
+    return df.join(F.broadcast(table) if size <= BROADCAST_ROWS else table, column, "left")
+
+
 def ordinal_encode(
     df: DataFrame, columns: Sequence[str], suffix: str = "_code", fit_on: DataFrame | None = None
 ) -> DataFrame:
-    for c in columns:
-        codes = ordinal_codes(fit_on if fit_on is not None else df, c)
-        codes = codes.withColumnsRenamed({"value": c, "code": c + suffix})
-        df = df.join(small_side(codes), c, "left")
+    """A code column per column; a missing value, or one not met in fitting, has no code."""
+    for c, (codes, size) in dictionaries(fit_on if fit_on is not None else df, columns).items():
+        df = _joined(df, c, codes, size, c + suffix)
     return df
 
 
@@ -53,10 +85,9 @@ def one_hot_vector(
 
     A missing value or a level not seen in fitting is all zeros.
     """
-    source = fit_on if fit_on is not None else df
-    coded = ordinal_encode(df, columns, "__code", source)
-    for c in columns:
-        size = ordinal_codes(source, c).count()
+    coded = df
+    for c, (codes, size) in dictionaries(fit_on if fit_on is not None else df, columns).items():
+        coded = _joined(coded, c, codes, size, c + "__code")
         # One position beyond the known ones, which the encoder drops, stands for the others.
         code = F.coalesce(F.col(c + "__code"), F.lit(size)).cast("double")
         encoder = OneHotEncoder(inputCol=c + "__code", outputCol=name.format(col=c), dropLast=True)
@@ -103,11 +134,8 @@ def standardise(train: DataFrame, frames: Sequence[DataFrame], columns: Sequence
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, median): exact, without gathering a column."""
-    long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
-    )
-    return exact_quantiles(long, ["feature"], "value", {"median": 0.5})
+    """(feature, median): exact, without gathering a column or multiplying the rows."""
+    return wide_quantiles(df, columns, {"median": 0.5})
 
 
 def impute_median(train: DataFrame, frames: Sequence[DataFrame], columns: Sequence[str]):

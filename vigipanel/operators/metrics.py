@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigipanel.functions.scalar import classify
-from vigipanel.operators.ranks import running_sums
+from vigipanel.operators.ranks import running_sums, with_next
 from vigipanel.session import small_side
 
 COUNTS = ("tp", "fp", "fn", "tn")
@@ -114,11 +114,43 @@ def roc_points(
     pred: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", steps: int | None = None
 ) -> DataFrame:
     """(keys, threshold, fpr, tpr): one point per distinct score, from high to low."""
-    above = running_sums(
+    return _rates_at(_cumulated(pred, keys, y, p, steps), keys)
+
+
+def roc_curve(
+    pred: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", steps: int | None = None
+) -> DataFrame:
+    """The points of a drawn curve: from (0, 0) at an infinite threshold, without the points
+    that lie half way between their neighbours.
+
+    A point between two others is left out if the step to it and the step from it add the same
+    numbers of positives and of negatives, which integers decide exactly; the points at the
+    highest and the lowest score always stay.
+    """
+    points = with_next(_cumulated(pred, keys, y, p, steps), keys, "value", ["pos", "neg"], descending=True, steps=steps)
+    first = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
+    same = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
+    drawn = _rates_at(points, keys, kept=first | ~F.coalesce(same, F.lit(False)))
+    classes = points.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    origin = classes.select(
+        *keys,
+        F.lit(float("inf")).alias("threshold"),
+        F.when(F.col("__n") > 0, 0.0).alias("fpr"),
+        F.when(F.col("__p") > 0, 0.0).alias("tpr"),
+    )
+    return origin.unionByName(drawn)
+
+
+def _cumulated(pred: DataFrame, keys: Sequence[str], y: str, p: str, steps: int | None) -> DataFrame:
+    return running_sums(
         score_counts(pred, keys, y, p), keys, "value", ["pos", "neg"], descending=True, steps=steps
     )
+
+
+def _rates_at(above: DataFrame, keys: Sequence[str], kept: Column | None = None) -> DataFrame:
     totals = above.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    return above.join(small_side(totals), list(keys)).select(
+    rows = above if kept is None else above.where(kept)
+    return rows.join(small_side(totals), list(keys)).select(
         *keys,
         F.col("value").alias("threshold"),
         F.try_divide((F.col("neg_before") + F.col("neg")).cast("double"), F.col("__n")).alias("fpr"),

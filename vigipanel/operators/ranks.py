@@ -156,6 +156,38 @@ def running_sums(
     )
 
 
+def with_next(
+    table: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    columns: Sequence[str],
+    *,
+    descending: bool = False,
+    steps: int | None = None,
+) -> DataFrame:
+    """Add `next_<c>`: the value of c in the row that follows in the group, NULL for the last.
+
+    `table` has one row per (keys, value), none of them missing.  Beyond `TASK_ROWS` rows (or
+    with `steps` given) the groups are cut into cells: the last row of a cell is followed by
+    the first row of the next cell that has any, found on the table of the cells' first rows.
+    """
+    keys = list(keys)
+    table = materialise(table)
+    direction = F.desc if descending else F.asc
+    following = lambda by, order, c: F.lead(c).over(Window.partitionBy(*by).orderBy(order))
+    if steps is None:
+        if table.count() <= TASK_ROWS:
+            return table.withColumns({f"next_{c}": following(keys, direction(value), c) for c in columns})
+        steps = 10
+    celled = value_cells(table, keys, value, steps)
+    pick = F.max_by if descending else F.min_by
+    firsts = celled.groupBy(*keys, _CELL).agg(pick(F.struct(*columns), value).alias("__first"))
+    after = firsts.select(*keys, _CELL, following(keys, direction(_CELL), "__first").alias("__after"))
+    inside = celled.join(after, [*keys, _CELL]).withColumn("__row", F.struct(*columns))
+    inside = inside.withColumn("__next", F.coalesce(following([*keys, _CELL], direction(value), "__row"), F.col("__after")))
+    return inside.select(*table.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns])
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group; one scan of the key columns, combined map-side."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigipanel.operators.encode import impute_median
-from vigipanel.operators.ranks import exact_quantiles
-from vigipanel.session import materialise, small_side
+from vigipanel.operators.wide import joint_counts, wide_quantiles
+from vigipanel.session import materialise
 
 def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, variance): sample variances of all columns from one pass."""
@@ -85,24 +85,15 @@ def mutual_information(
 ) -> DataFrame:
     """(feature, mi) in nats, over equal-frequency bins of each feature.
 
-    The bin edges are exact quantiles.  After the binning everything runs on the joint
-    counts, at most bins x classes rows per feature.
+    The bin edges are exact quantiles.  Rows are counted per bin and class as they are read,
+    for all columns at once; what follows runs on the joint counts, at most bins x classes
+    rows per feature.
     """
-    long = df.select(label, *[F.col(c).cast("double") for c in columns]).unpivot(
-        [label], list(columns), "feature", "value"
-    )
     probs = {f"c{i}": i / bins for i in range(1, bins)}
-    cuts = exact_quantiles(long, ["feature"], "value", probs).select(
-        "feature", F.array(*probs).alias("cuts")
-    )
-    binned = (
-        long.where("value is not null")
-        .join(small_side(cuts), "feature")
-        .withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
-    )
-    joint = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
+    edges = wide_quantiles(df, columns, probs).collect()  # a row per column
+    joint = joint_counts(df, columns, label, {r["feature"]: [r[p] for p in probs] for r in edges})
     total, by_bin, by_class = (
-        F.sum("n").over(Window.partitionBy("feature", *k)) for k in ([], ["bin"], [label])
+        F.sum("n").over(Window.partitionBy("feature", *k)) for k in ([], ["bin"], ["label"])
     )
     term = F.col("n") / total * F.ln(F.col("n") * total / (by_bin * by_class))
     return (

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# What stands before a feature's name in the column of its contributions.
+PREFIX = "phi_"
+
 
 def rank_by(df: DataFrame, metric: str, ties: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.desc(metric), *ties)
@@ -51,21 +54,38 @@ def best_by(results: DataFrame, metrics: Sequence[str], name: str = "model") ->
     )
 
 
-def waterfall(
-    long: DataFrame, rows: Sequence[str], k: int = 10, phi: str = "phi", feature: str = "feature"
-) -> DataFrame:
+def waterfall(wide: DataFrame, keep: Sequence[str], k: int = 10, prefix: str = PREFIX) -> DataFrame:
     """Per row: its k strongest contributions and the sum of the rest, by value.
 
-    `long` holds the rows to show, one line per feature.
+    `wide` holds a column per feature.  A row's contributions become an array that is sorted,
+    cut and summed within the row, so nothing is shuffled and no row is multiplied by more
+    than the k + 1 bars that it shows.
     """
-    strength = Window.partitionBy(*rows).orderBy(F.desc(F.abs(phi)), feature)
-    by_value = Window.partitionBy(*rows).orderBy("phi", "feature")
-    return (
-        long.withColumn("__rn", F.row_number().over(strength))
-        .withColumn("__name", F.when(F.col("__rn") <= k, F.col(feature)).otherwise("Others"))
-        .groupBy(*rows, F.col("__name").alias("feature"))
-        .agg(F.sum(phi).alias("phi"))
-        .withColumn("position", F.row_number().over(by_value))
+    phi = [c for c in wide.columns if c.startswith(prefix)]
+    bars = F.array_sort(
+        F.array(
+            *[
+                F.struct(
+                    F.col(c).isNull().alias("none"),
+                    (-F.abs(c)).alias("strength"),
+                    F.lit(c.removeprefix(prefix)).alias("feature"),
+                    F.col(c).alias("phi"),
+                )
+                for c in phi
+            ]
+        )
+    )
+    shown = F.transform(F.slice("__bars", 1, k), lambda b: F.struct(b["phi"].alias("phi"), b["feature"].alias("feature")))
+    add = lambda total, b: F.coalesce(total + b["phi"], total, b["phi"])
+    rest = F.aggregate(F.slice("__bars", k + 1, max(len(phi) - k, 1)), F.lit(None).cast("double"), add)
+    others = F.array(F.struct(rest.alias("phi"), F.lit("Others").alias("feature")))
+    every = F.concat(shown, others) if len(phi) > k else shown
+    placed = wide.select(*keep, bars.alias("__bars")).select(*keep, F.posexplode(F.array_sort(every)).alias("__at", "__bar"))
+    return placed.select(
+        *keep,
+        F.col("__bar")["feature"].alias("feature"),
+        F.col("__bar")["phi"].alias("phi"),
+        (F.col("__at") + 1).alias("position"),
     )
 
 
@@ -99,8 +119,20 @@ def example_rows(
 
 
 def dependence(
-    long: DataFrame, importance: DataFrame, k: int = 4, value: str = "importance"
+    wide: DataFrame,
+    importance: DataFrame,
+    keep: Sequence[str],
+    k: int = 4,
+    value: str = "importance",
+    prefix: str = PREFIX,
 ) -> DataFrame:
-    """(feature value, contribution) pairs of the k most important features."""
-    top = top_features(importance, k, value).select("feature")
-    return long.join(F.broadcast(top), "feature", "left_semi")  # k rows
+    """(keep, feature, phi, x): contribution and value of the k most important features.
+
+    `wide` holds the value of a feature under its name and the contribution under the prefixed
+    one, so a row gives its k pairs by itself and no two tables are joined.
+    """
+    top = [r["feature"] for r in top_features(importance, k, value).collect()]  # k names
+    pair = lambda c: F.struct(F.lit(c).alias("feature"), F.col(prefix + c).alias("phi"), F.col(c).cast("double").alias("x"))
+    if not top:
+        return wide.limit(0).select(*keep, *(F.lit(None).cast(t).alias(n) for n, t in (("feature", "string"), ("phi", "double"), ("x", "double"))))
+    return wide.select(*keep, F.inline(F.array(*[pair(c) for c in top])))

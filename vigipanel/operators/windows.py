@@ -9,7 +9,8 @@ keeps one exchange and one sort on the keys however many columns it adds.
 How a group reaches its task:
 
 * `weekly_groups=True` states that (keys, order) is unique and the order a calendar
-  day, as in a panel.  A group is then bounded by the calendar and stays whole.
+  day, as in a panel.  A group is then bounded by the calendar and stays whole.  The rows are
+  sorted anyway, so a doubled week shows beside its twin and is refused there, without a job.
 * Otherwise the groups are counted first.  Those over `limit` rows are cut into runs of
   `limit` rows by exact position.  A run also gets copies of the `back` rows before it
   and the `ahead` rows after it, which the frames need, and drops them afterwards.  The
@@ -28,7 +29,7 @@ from vigipanel.session import TASK_ROWS, materialise, small_side
 
 Built = Callable[[WindowSpec], Column]
 
-_POS, _RUN, _NULLS = "__pos", "__run", "__null_slot"
+_POS, _RUN, _NULLS, _TWICE = "__pos", "__run", "__null_slot", "__twice"
 _AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
 
 
@@ -84,14 +85,29 @@ def with_ordered(
             return _in_runs(df, columns, keys, order, back, ahead, null_keys, limit, hot)
     if null_keys == "drop":
         window = Window.partitionBy(*keys).orderBy(order)
-        return df.dropna(subset=keys).withColumns({n: c(window) for n, c in columns.items()})
+        made = {n: c(window) for n, c in columns.items()}
+        if weekly_groups:
+            made[_TWICE] = F.lag(order, 1).over(window) == F.col(order)
+        return _refuse_twice(df.dropna(subset=keys).withColumns(made), keys, order)
     slot = F.when(_keyless(keys), F.pmod(F.xxhash64(order, *keys), F.lit(1 << 20)))
     window = Window.partitionBy(*keys, _NULLS).orderBy(order)
-    return (
-        df.withColumn(_NULLS, slot)
-        .withColumns({n: F.when(F.col(_NULLS).isNull(), c(window)) for n, c in columns.items()})
-        .drop(_NULLS)
-    )
+    made = {n: F.when(F.col(_NULLS).isNull(), c(window)) for n, c in columns.items()}
+    if weekly_groups:
+        made[_TWICE] = F.col(_NULLS).isNull() & (F.lag(order, 1).over(window) == F.col(order))
+    return _refuse_twice(df.withColumn(_NULLS, slot).withColumns(made).drop(_NULLS), keys, order)
+
+
+def _refuse_twice(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Fail on a row that has the order value of the row before it in its group.
+
+    The check is a filter on a column of the same window, so it is never pruned and costs
+    neither an exchange nor a sort.
+    """
+    if _TWICE not in df.columns:
+        return df
+    where = F.concat_ws(", ", *[F.col(c).cast("string") for c in [*keys, order]])
+    fail = F.raise_error(F.concat(F.lit(f"two rows of one {order}: "), where)).cast("boolean")
+    return df.where(F.when(F.col(_TWICE), fail).otherwise(F.lit(True))).drop(_TWICE)
 
 
 def _keyless(keys: Sequence[str]) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigipanel.plans import q_edges, q_groups, q_models, q_tables
+from vigipanel.plans import q_edges, q_groups, q_models, q_more, q_tables
 from vigipanel.plans.catalog import ORACLES, QUERIES
 
-MODULES = (q_tables, q_groups, q_models, q_edges)
+MODULES = (q_tables, q_groups, q_models, q_edges, q_more)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,9 +97,14 @@ def build_features(
     keep_warmup: bool = False,
     weekly_groups: bool = True,
     limit: int = TASK_ROWS,
+    fit_until: Column | None = None,
 ) -> DataFrame:
     """Incidence, label, lags, rolling means, signals, climate columns, season.
 
+    `fit_until` is a condition on the rows, for example the training years: thresholds and the
+    means that anomalies refer to are then taken from these rows alone, still as windows over
+    the same exchange.  A group without such rows has no threshold (label 0) and no anomalies.
+
     With `weekly_groups=False` nothing is assumed about the groups: thresholds and means
     are aggregated and joined back, and groups over `limit` rows are cut into runs.
     """
@@ -113,14 +118,16 @@ def build_features(
     for name, c in VOLATILITY.items():
         ordered[name] = rolling(c, "std", 4, 0, spec.volatility_min)
     back = max(*spec.inc_lags, *spec.inc_rolls, *spec.weather_lags, 4)
-    means = {f"__{c}_mean": F.avg(c) for c in spec.weather}
+    fitted = (lambda c: F.col(c)) if fit_until is None else (lambda c: F.when(fit_until, F.col(c)))
+    means = {f"__{c}_mean": F.avg(fitted(c)) for c in spec.weather}
     if weekly_groups:
         group = Window.partitionBy(*keys)
-        ordered["__limit"] = lambda w: window_threshold(keys, "incidence")
+        ordered["__limit"] = lambda w: window_threshold(keys, "incidence", fit_until)
         ordered |= {n: (lambda w, m=m: m.over(group)) for n, m in means.items()}
     else:
         base = materialise(base)
-        limits = outbreak_thresholds(base, keys, "incidence").withColumnRenamed(
+        source = base if fit_until is None else base.where(fit_until)
+        limits = outbreak_thresholds(source, keys, "incidence").withColumnRenamed(
             "threshold", "__limit"
         )
         base = base.join(small_side(limits), list(keys), "left")
@@ -150,24 +157,24 @@ def build_features(
     return out if keep_warmup else drop_warmup(out, spec.warmup)
 
 
-def features_v3(master: DataFrame) -> DataFrame:
-    return build_features(master, V3)
+def features_v3(master: DataFrame, fit_until: Column | None = None) -> DataFrame:
+    return build_features(master, V3, fit_until=fit_until)
 
 
-def features_v4(master: DataFrame) -> DataFrame:
-    return build_features(master, V4)
+def features_v4(master: DataFrame, fit_until: Column | None = None) -> DataFrame:
+    return build_features(master, V4, fit_until=fit_until)
 
 
-def features_v5(master: DataFrame) -> DataFrame:
-    return build_features(master, V5)
+def features_v5(master: DataFrame, fit_until: Column | None = None) -> DataFrame:
+    return build_features(master, V5, fit_until=fit_until)
 
 
-def features_fallback(master: DataFrame) -> DataFrame:
+def features_fallback(master: DataFrame, fit_until: Column | None = None) -> DataFrame:
     """Count-based features, with a label per disease on raw counts.
 
     A disease is a coarse key, so its threshold is found without gathering it.
     """
-    labelled = label_outbreaks(master, ["maladie"], "totalcas")
+    labelled = label_outbreaks(master, ["maladie"], "totalcas", fit_until=fit_until)
     made: dict[str, Built] = {f"{c}_lag{k}": lag(c, k) for c in WEATHER for k in (1, 2)}
     made |= {f"cases_lag{k}": lag("totalcas", k) for k in (1, 2, 3, 4)}
     made |= {f"cases_roll{w}": rolling("totalcas", "mean", w, 1, 1) for w in (4, 8, 12)}
@@ -194,12 +201,12 @@ def add_history(df: DataFrame) -> DataFrame:
     )
 
 
-def forecast_table(master: DataFrame, cut: int) -> DataFrame:
+def forecast_table(master: DataFrame, cut: int, fit_until: Column | None = None) -> DataFrame:
     """v5 features of groups present in both periods, plus history, without missing values.
 
     The history is taken after the warm-up rows are gone, so it has a warm-up of its own.
     """
-    common = in_both_periods(features_v5(master), KEYS, cut, weekly_groups=True)
+    common = in_both_periods(features_v5(master, fit_until), KEYS, cut, weekly_groups=True)
     return drop_any_null(add_history(common))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigipanel.functions import scalar as S
 from vigipanel.ml import explain as X
 from vigipanel.ml import models as M
+from vigipanel.ml.certify import certified
 from vigipanel.operators import encode as E
 from vigipanel.operators import metrics as V
 from vigipanel.operators import selection as L
@@ -18,8 +22,9 @@ from vigipanel.plans import fixtures as fx
 from vigipanel.plans.catalog import (
     CUT, INC, MASTER, PANEL, feature_sql, lag_sql, query, r, roll,
 )
-from vigipanel.plans.q_groups import CORR, TRAIN_V3, corr_sql, train_v3
+from vigipanel.plans.q_groups import CORR, FORECAST, TRAIN_V3, corr_sql, train_v3
 from vigipanel.plans.q_tables import ROW, labelled
+from vigipanel.plans.studies import disease_models, forecast_grid, forecast_matrix, nowcast_matrix
 from vigipanel.schema import KEYS, LABEL, WEATHER, WEEK
 from vigipanel.session import materialise, scratch_path
 from vigipanel.sources import panel as src
@@ -325,12 +330,15 @@ LABEL_SCORES = """ls as (select 'quality' as model, quality as y, 1 - 1 / (1 + n
 )
 def e03b(spark, sf):
     """Labels against a score from the length of the document, through the cell path."""
+    return V.auc(label_scores(spark, sf), ["model"], steps=6)
+
+
+def label_scores(spark, sf):
     joined = fx.table(spark, sf, "labels").join(
         fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id"
     )
     p = F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("n_chars") / F.lit(500.0))
-    long = joined.withColumn("p", p).unpivot(["doc_id", "p"], ["quality", "toxic"], "model", "y")
-    return V.auc(long, ["model"], steps=6)
+    return joined.withColumn("p", p).unpivot(["doc_id", "p"], ["quality", "toxic"], "model", "y")
 
 
 @query(
@@ -347,6 +355,41 @@ def e04(spark, sf):
     return V.roc_points(scores(spark, sf), ["model"])
 
 
+@query(
+    "e04_roc_curve",
+    f"""with {SCORES}, c as (select model, p, count(*) filter (y = 1) as pos,
+        count(*) filter (y = 0) as neg from scores group by 1, 2),
+    d as (select *, row_number() over (partition by model order by p desc) as i,
+        lead(pos) over (partition by model order by p desc) as next_pos,
+        lead(neg) over (partition by model order by p desc) as next_neg,
+        sum(pos) over (partition by model order by p desc) as tp, sum(neg) over (partition by model order by p desc) as fp,
+        sum(pos) over (partition by model) as n1, sum(neg) over (partition by model) as n0 from c)
+    select model, round(p, 6) + 0.0 as threshold, round(fp / n0, 6) + 0.0 as fpr, round(tp / n1, 6) + 0.0 as tpr
+    from d where i = 1 or next_pos is null or next_pos <> pos or next_neg <> neg
+    union all select distinct model, 'infinity'::double, 0.0::double, 0.0::double from c""",
+)
+def e04_drawn(spark, sf):
+    return V.roc_curve(scores(spark, sf), ["model"])
+
+
+@query(
+    "e04_roc_curve_documents",
+    f"""with {LABEL_SCORES}, c as (select model, p, count(*) filter (y = 1) as pos,
+        count(*) filter (y = 0) as neg from ls group by 1, 2),
+    d as (select *, row_number() over (partition by model order by p desc) as i,
+        lead(pos) over (partition by model order by p desc) as next_pos,
+        lead(neg) over (partition by model order by p desc) as next_neg,
+        sum(pos) over (partition by model order by p desc) as tp, sum(neg) over (partition by model order by p desc) as fp,
+        sum(pos) over (partition by model) as n1, sum(neg) over (partition by model) as n0 from c)
+    select model, round(p, 6) + 0.0 as threshold, round(fp / n0, 6) + 0.0 as fpr, round(tp / n1, 6) + 0.0 as tpr
+    from d where i = 1 or next_pos is null or next_pos <> pos or next_neg <> neg
+    union all select distinct model, 'infinity'::double, 0.0::double, 0.0::double from c""",
+)
+def e04_drawn_documents(spark, sf):
+    """Labels against a score from the length of the document, neighbours found across cells."""
+    return V.roc_curve(label_scores(spark, sf), ["model"], steps=6)
+
+
 def sweep_sql(grid) -> str:
     rows = " union all ".join(
         f"""select model, {t}::double as threshold, count(*) filter (y = 1 and p >= {t}) as tp,
@@ -473,12 +516,12 @@ contrib as (select prov, maladie, debutsem,
 long as (select * from contrib unpivot include nulls (phi for feature in ({', '.join(COEF)})))"""
 
 
-def explained(spark, sf):
+def explained(spark, sf, keep=X_KEYS):
     v3 = materialise(
         ft.features_v3(fx.master(spark, sf)).select(*X_KEYS, "annee", *COEF)
     )
     means = X.feature_means(v3.where(F.col("annee") <= CUT), list(COEF))
-    return X.linear_contributions(v3.where(F.col("annee") > CUT), COEF, means, X_KEYS)
+    return X.linear_contributions(v3.where(F.col("annee") > CUT), COEF, means, keep)
 
 
 @query(
@@ -571,7 +614,7 @@ def o05(spark, sf):
       (partition by prov, maladie, debutsem order by g.phi, feature) as int) as position from g""",
 )
 def o07(spark, sf):
-    return topk.waterfall(x01(spark, sf), X_KEYS, 10)
+    return topk.waterfall(explained(spark, sf), X_KEYS, 10)
 
 
 @query(
@@ -583,73 +626,105 @@ def o07(spark, sf):
     from long join vals using (prov, maladie, debutsem, feature) semi join top using (feature)""",
 )
 def o09(spark, sf):
-    wide = materialise(explained(spark, sf))
-    pairs = topk.dependence(X.to_long(wide, X_KEYS), X.global_importance(wide), 4)
-    x = ft.features_v3(fx.master(spark, sf)).where(F.col("annee") > CUT)
-    values = x.select(*X_KEYS, *COEF).unpivot(list(X_KEYS), list(COEF), "feature", "x")
-    return pairs.join(values, [*X_KEYS, "feature"])
+    wide = materialise(explained(spark, sf, [*X_KEYS, *COEF]))
+    return topk.dependence(wide, X.global_importance(wide), X_KEYS, 4)
 
 
 # ---- training ------------------------------------------------------------------------------------
 
-NOWCAST = ["inc_lag1", "inc_lag2", "inc_lag4", "inc_roll4", "inc_roll12", "inc_trend", "t2m_lag1",
-           "rh2m_lag1", "prectotcorr_anom", "month_sin", "month_cos"]
-# Small settings for the searches, where a full one takes hours (README); the models on their
-# own are trained at full size.
-TRIAL = {
-    "XGBoost": {"maxIter": 5, "maxDepth": 3},
-    "Random Forest": {"numTrees": 10, "maxDepth": 5},
-    "Gradient Boosting": {"maxIter": 5, "maxDepth": 3},
-    "Logistic Regression": {"maxIter": 50},
-    "SVM": {"maxIter": 20, "random_features": 32},
-    "Neural Network": {"hidden": (16, 8), "maxIter": 30},
-}
+# What several queries of one session train or search is done once for each set of tables.
+_DONE = {}
+_LOCK = threading.RLock()
+
+
+def once(what, spark, sf, make):
+    with _LOCK:
+        key = (what, sf, spark.sparkContext.applicationId)
+        if key not in _DONE:
+            _DONE[key] = make()
+        return _DONE[key]
 
 
 def split_v3(spark, sf):
-    v3 = ft.features_v3(fx.master(spark, sf)).select(*X_KEYS, "annee", LABEL, *NOWCAST)
-    rows = materialise(v3.dropna())
-    return rows.where(F.col("annee") <= CUT), rows.where(F.col("annee") > CUT)
+    """(train, test, columns): the whole v3 table with places as codes, missing values filled
+    with training medians."""
+
+    def make():
+        rows, columns = nowcast_matrix(ft.features_v3(fx.master(spark, sf)), CUT)
+        early, late = rows.where(F.col("annee") <= CUT), rows.where(F.col("annee") > CUT)
+        train, test = (materialise(df) for df in E.impute_median(early, [early, late], columns))
+        return train, test, columns
+
+    return once("v3", spark, sf, make)
+
+
+# Models of hundreds of trees, which take minutes: the first query that needs one fits them side by side.
+SLOW = ("XGBoost", "Random Forest", "Gradient Boosting")
 
 
-# What does not depend on the solver: the rows, their labels, and that p is a probability.
-TEST_ROWS = f"""test_rows as (select prov, maladie, debutsem, is_outbreak from v3
-  where annee > {CUT} and {' and '.join(f'{c} is not null' for c in NOWCAST)})"""
+def trained(spark, sf, name):
+    """One of the six models at full size, fitted once a session."""
+
+    def make():
+        train, _, columns = split_v3(spark, sf)
+        specs = [s for s in M.fixed_specs() if (s.name in SLOW if name in SLOW else s.name == name)]
+        return {f.spec.name: f for f in M.fit_models(train, columns, LABEL, specs)}
+
+    return once(SLOW if name in SLOW else name, spark, sf, make)[name]
+
+
+def compared(spark, sf):
+    """(model, keys, y, p) of all six models over the test rows."""
+    _, test, _ = split_v3(spark, sf)
+    fitted = [trained(spark, sf, s.name) for s in M.fixed_specs()]
+    return once("compared", spark, sf, lambda: materialise(M.score_models(fitted, test, LABEL, X_KEYS)))
+
+
+# What does not depend on the solver: the rows, their labels, that p is a probability, and that
+# the model satisfies its certificate (`ml.certify`), which a constant classifier does not.
+TEST_ROWS = f"""kept as (select * from v3 where inc_lag4 is not null), test_rows as (
+  select prov, maladie, debutsem, is_outbreak from kept
+  where annee > {CUT} and maladie in (select maladie from kept where annee <= {CUT}))"""
 SCORED_SQL = f"""with {feature_sql(ft.V3, 'v3')}, {TEST_ROWS}
-select *, true as is_probability from test_rows"""
+select *, true as is_probability, true as certified from test_rows"""
 
 
-def trained(name):
+def model_query(name):
     def build(spark, sf):
-        train, test = split_v3(spark, sf)
-        spec = next(s for s in M.fixed_specs() if s.name == name)
-        scored = M.fit(train, NOWCAST, LABEL, spec).score(test)
-        return scored.select(*X_KEYS, LABEL, F.col("p").between(0, 1).alias("is_probability"))
+        train, test, _ = split_v3(spark, sf)
+        fitted = trained(spark, sf, name)
+        proven = once(f"certificate of {name}", spark, sf, lambda: certified(fitted, train, LABEL))
+        scored = fitted.score(test)
+        return scored.select(
+            *X_KEYS, LABEL, F.col("p").between(0, 1).alias("is_probability"), F.lit(proven).alias("certified")
+        )
 
     return build
 
 
-for _id, _model in (
-    ("m01_weighted_boosting", "XGBoost"),
-    ("m02_random_forest", "Random Forest"),
-    ("m03_gradient_boosting", "Gradient Boosting"),
-    ("m04_logistic_regression", "Logistic Regression"),
-    ("m05_radial_svm", "SVM"),
-    ("m06_neural_network", "Neural Network"),
-):
-    query(_id, SCORED_SQL)(trained(_model))
+MODEL_IDS = {
+    "m01_weighted_boosting": "XGBoost",
+    "m02_random_forest": "Random Forest",
+    "m03_gradient_boosting": "Gradient Boosting",
+    "m04_logistic_regression": "Logistic Regression",
+    "m05_radial_svm": "SVM",
+    "m06_neural_network": "Neural Network",
+}
+for _id, _model in MODEL_IDS.items():
+    query(_id, SCORED_SQL)(model_query(_model))
+
+SIX = f"(values {', '.join(f'({chr(39)}{m}{chr(39)})' for m in MODEL_IDS.values())}) m(model)"
 
 
 @query(
     "m08_compare_models",
     f"""with {feature_sql(ft.V3, 'v3')}, {TEST_ROWS}, n as (select count(*) as rows,
       cast(sum(is_outbreak) as bigint) as positives from test_rows)
-    select model, rows, positives, true as rates_fit from n, (values {', '.join(f"('{m}')" for m in TRIAL)}) m(model)""",
+    select model, rows, positives, true as rates_fit from n, {SIX}""",
 )
 def m08_checked(spark, sf):
     """Each model's counts cover the test rows and its rates follow from them."""
-    train, test = split_v3(spark, sf)
-    pred = materialise(M.compare_models(train, test, NOWCAST, LABEL, M.fixed_specs(TRIAL), X_KEYS))
+    pred = compared(spark, sf)
     counts = pred.groupBy("model").agg(F.count("*").alias("rows"), F.sum("y").cast("bigint").alias("positives"))
     rates = V.comparison(pred, ["model"], 0.2, strict=True)
     fit = F.lit(True)
@@ -658,50 +733,125 @@ def m08_checked(spark, sf):
     return counts.join(rates, "model").select("model", "rows", "positives", fit.alias("rates_fit"))
 
 
-@query("m08_comparison_table")
+@query("m08_comparison_table", f"select model, true as recomputed, true as in_order from {SIX}")
 def m08(spark, sf):
-    train, test = split_v3(spark, sf)
-    pred = M.compare_models(train, test, NOWCAST, LABEL, M.fixed_specs(TRIAL), X_KEYS)
-    return V.comparison(materialise(pred), ["model"], 0.2, strict=True)
+    """The table at a threshold of 0.2, each rate and area held against the rows it is of."""
+    pred = compared(spark, sf)
+    table = V.comparison(pred, ["model"], 0.2, strict=True)
+    flagged = pred.withColumn("hit", F.coalesce(F.col("p") > 0.2, F.lit(False)))
+    at = {"tp": (1, True), "fp": (0, True), "fn": (1, False)}
+    own = flagged.groupBy("model").agg(*[F.count_if((F.col("y") == y) & (F.col("hit") == h)).alias(f"own_{n}") for n, (y, h) in at.items()])
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    tp, fp, fn = (F.col(f"own_{n}") for n in at)
+    # The share of pairs that a model orders rightly, by the mean rank of the positives.
+    rank = F.rank().over(Window.partitionBy("model").orderBy("p"))
+    ties = F.count("*").over(Window.partitionBy("model", "p"))
+    ranked = pred.withColumn("r", rank + (ties - 1) / 2).groupBy("model").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("r1"), F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")
+    )
+    area = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0"))
+    close = lambda a, b: F.coalesce(F.abs(a - b) < 1e-9, a.isNull() & b.isNull())
+    checks = close(F.col("precision"), share(tp, tp + fp)) & close(F.col("recall"), share(tp, tp + fn)) & close(F.col("auc"), area)
+    before = F.lag("auc").over(Window.orderBy("position"))  # six rows
+    placed = table.select("*", F.monotonically_increasing_id().alias("position")).withColumn("before", before)
+    in_order = F.coalesce(F.col("before") >= F.col("auc"), F.lit(True))
+    return placed.join(own, "model").join(ranked, "model").select("model", checks.alias("recomputed"), in_order.alias("in_order"))
 
 
-@query("m09_model_per_disease")
-def m09(spark, sf):
-    table = ft.forecast_table(fx.master(spark, sf), CUT)
-    columns = [*NOWCAST, "rolling_mean_8", "outbreak_persistence"]
+def disease_table(spark, sf):
     spec = M.ModelSpec("LightGBM", "boosted", M.FULL["lightgbm"], "ratio")
-    spec = spec.with_params(maxIter=5, maxDepth=3)
-    return M.train_per_group(table, "maladie", columns, ft.TARGET, spec, CUT, min_positives=10)
+    return once("per disease", spark, sf, lambda: materialise(disease_models(fx.master(spark, sf), CUT, spec)))
 
 
-@query("m10_importances")
+@query(
+    "m09_model_per_disease",
+    f"""with {FORECAST}, g as (select maladie, count(*) as samples, cast(sum(target_outbreak_future) as bigint) as outbreaks,
+      count(distinct case when annee <= {CUT} then target_outbreak_future end) as classes,
+      count_if(annee > {CUT}) as tests from forecast group by 1)
+    select maladie, samples, outbreaks, case when classes < 2 then 'one class in training'
+      when tests = 0 then 'no rows to test' else 'trained' end as status, true as rates_fit
+    from g where samples >= 300 and outbreaks >= 20""",
+)
+def m09(spark, sf):
+    """A full model of each disease with 300 rows and 20 outbreaks; its rates are rates."""
+    fit = F.lit(True)
+    for name in ("precision", "recall", "f1", "auc"):
+        fit = fit & F.coalesce(F.col(name).between(0, 1), F.lit(True))
+    return disease_table(spark, sf).select("maladie", "samples", "outbreaks", "status", fit.alias("rates_fit"))
+
+
+@query(
+    "m10_importances",
+    "select cast(i as int) as position, true as is_share, true as adds_up, true as in_order from range(1, 16) t(i)",
+)
 def m10(spark, sf):
-    train, _ = split_v3(spark, sf)
-    spec = next(s for s in M.fixed_specs() if s.name == "Random Forest")
-    return topk.top_features(M.fit(train, NOWCAST, LABEL, spec).importances(), 15)
+    """The fifteen strongest features of the full forest: shares of a whole, best first."""
+    shares = materialise(trained(spark, sf, "Random Forest").importances())
+    whole = shares.agg(F.abs(F.sum("importance") - 1) < 1e-9).scalar()
+    order = Window.orderBy(F.desc("importance"), "feature")  # fifteen rows
+    top = topk.top_features(shares, 15).withColumn("position", F.row_number().over(order).cast("int"))
+    before = F.coalesce(F.lag("importance").over(order) >= F.col("importance"), F.lit(True))
+    return top.select("position", F.col("importance").between(0, 1).alias("is_share"), whole.alias("adds_up"), before.alias("in_order"))
+
+
+def forecast_study(spark, sf):
+    """The forecast study with its full grid, once a session."""
+    spec = M.ModelSpec("Gradient Boosting", "boosted", {"subsamplingRate": 0.8}, 4)
+
+    def make():
+        table = ft.forecast_table(fx.master(spark, sf), CUT)
+        return forecast_grid(table, CUT, spec, M.GRIDS["gradient_boosting"])
+
+    return once("forecast study", spark, sf, make)
+
+
+def stratified_search(spark, sf):
+    """A full grid over stratified folds of the training years of the forecast table."""
+    spec = M.ModelSpec("LightGBM", "boosted", {}, "ratio")
 
+    def make():
+        matrix, columns = forecast_matrix(ft.forecast_table(fx.master(spark, sf), CUT))
+        train = materialise(matrix.where(F.col("annee") <= CUT))
+        rows = splits.stratified_folds(train, 3, ft.TARGET, ("row_debutsem", "row_prov"), ("row_maladie",))
+        return M.grid_search(rows, columns, ft.TARGET, spec, M.GRIDS["lightgbm"], M.stratified_conditions(3))
 
-def forecast_rows(spark, sf):
-    table = ft.forecast_table(fx.master(spark, sf), CUT)
-    return table.where(F.col("annee") <= CUT).select(*X_KEYS, ft.TARGET, *NOWCAST)
+    return once("stratified search", spark, sf, make)
 
 
-@query("e10_grid_search_expanding")
+def options_sql(name):
+    rows = ", ".join(f"({i}, '{str(o).replace(chr(39), chr(39) * 2)}')" for i, o in enumerate(M.combinations(M.GRIDS[name])))
+    return f"select cast(option as int) as option, params, true as in_range, true as recomputed from (values {rows}) o(option, params)"
+
+
+def checked_options(found):
+    """Every option's mean F1 against the one of its folds' stored probabilities, counted anew."""
+    each = found.predictions.select("fold", "y", F.inline(F.arrays_zip(F.col("options").alias("option"), F.col("stages").alias("p"))).alias("option", "p"))
+    anew = V.threshold_sweep(each, [0.5], ["option", "fold"]).groupBy("option").agg(F.avg("f1").alias("anew"))
+    same = F.abs(F.col("mean_f1") - F.col("anew")) < 1e-12
+    return found.results.join(anew, "option").select(
+        "option", "params", F.col("mean_f1").between(0, 1).alias("in_range"), same.alias("recomputed")
+    )
+
+
+@query("e10_grid_search_expanding", options_sql("gradient_boosting"))
 def e10(spark, sf):
-    rows = splits.expanding_folds(forecast_rows(spark, sf), 3)
-    spec = M.ModelSpec("Gradient Boosting", "boosted", {}, 4)
-    grid = {"maxIter": (3, 5), "maxDepth": (2, 3)}
-    results, _ = M.grid_search(rows, NOWCAST, ft.TARGET, spec, grid, M.expanding_conditions(3))
-    return results
+    return checked_options(forecast_study(spark, sf).search)
 
 
-@query("e10_grid_search_stratified")
+@query("e10_grid_search_stratified", options_sql("lightgbm"))
 def e10b(spark, sf):
-    rows = splits.stratified_folds(forecast_rows(spark, sf), 3, ft.TARGET)
-    spec = M.ModelSpec("LightGBM", "boosted", {"subsamplingRate": 0.8}, "ratio")
-    grid = {"maxIter": (3,), "maxDepth": (2, 3)}
-    results, _ = M.grid_search(rows, NOWCAST, ft.TARGET, spec, grid, M.stratified_conditions(3))
-    return results
+    return checked_options(stratified_search(spark, sf))
+
+
+def tree_phi(spark, sf):
+    """(wide contributions, base) of the full gradient boosting over the test rows, stored."""
+
+    def make():
+        _, test, columns = split_v3(spark, sf)
+        wide, base = X.tree_contributions(trained(spark, sf, "Gradient Boosting").model, test, columns, X_KEYS)
+        return materialise(wide), base
+
+    return once("contributions", spark, sf, make)
 
 
 @query(
@@ -710,21 +860,27 @@ def e10b(spark, sf):
 )
 def x01_tree(spark, sf):
     """Contributions of the full model; with the base value they add up to the log-odds."""
-    train, test = split_v3(spark, sf)
-    spec = next(s for s in M.fixed_specs() if s.name == "Gradient Boosting")
-    fitted = M.fit(train, NOWCAST, LABEL, spec)
-    wide, base = X.tree_contributions(fitted.model, test, NOWCAST, X_KEYS)
-    total = sum((F.col(X.PREFIX + c) for c in NOWCAST), F.lit(base))
-    scored = fitted.score(test).select(*X_KEYS, "p")
+    _, test, columns = split_v3(spark, sf)
+    wide, base = tree_phi(spark, sf)
+    total = sum((F.col(X.PREFIX + c) for c in columns), F.lit(base))
+    scored = trained(spark, sf, "Gradient Boosting").score(test).select(*X_KEYS, "p")
     # The probability loses digits near 0 and 1, so the sum is brought to its scale.
     apart = F.abs(1 / (1 + F.exp(-total)) - F.col("p"))
     return wide.join(scored, list(X_KEYS)).select(*X_KEYS, (apart < 1e-9).alias("adds_up"))
 
 
-@query("x01_tree_importances")
+@query(
+    "x01_tree_importances",
+    f"""with {feature_sql(ft.V3, 'v3')}, {TEST_ROWS} select maladie, count(*) as n_rows, true as recomputed, true as not_negative
+    from test_rows group by 1""",
+)
 def x01_tree_importances(spark, sf):
-    train, test = split_v3(spark, sf)
-    spec = next(s for s in M.fixed_specs() if s.name == "Gradient Boosting")
-    wide, _ = X.tree_contributions(M.fit(train, NOWCAST, LABEL, spec).model, test, NOWCAST, X_KEYS)
-    return X.group_importance(wide, "maladie")
-
+    """Every importance per disease is the mean of the absolute contributions of its rows."""
+    wide, _ = tree_phi(spark, sf)
+    found = X.group_importance(wide, "maladie", exclude=("maladie_code",))
+    long = X.to_long(wide, X_KEYS)
+    own = long.groupBy("maladie", "feature").agg((F.sum(F.abs("phi")) / F.count("phi")).alias("own"), F.count("phi").alias("n_rows"))
+    same = F.abs(F.col("importance") - F.col("own")) <= 1e-12 + 1e-9 * F.abs("own")
+    return found.join(own, ["maladie", "feature"]).groupBy("maladie").agg(
+        F.max("n_rows").alias("n_rows"), F.every(same).alias("recomputed"), F.every(F.col("importance") >= 0).alias("not_negative")
+    )

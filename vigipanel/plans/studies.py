@@ -36,6 +36,9 @@ from vigipanel.schema import (
     PROV,
     ROW_KEY,
     TARGET,
+    WEATHER,
+    WEEK,
+    WIND,
     YEAR,
 )
 from vigipanel.session import materialise
@@ -88,28 +91,52 @@ def forecast_matrix(
     return matrix, feature_columns(matrix, kept)
 
 
-def forecast_comparison(features: DataFrame, cut: int, specs: Sequence[M.ModelSpec]) -> DataFrame:
-    """Models for the future target; thresholds chosen for recall, best recall first."""
+def validation_split(train: DataFrame, share: float, day: str) -> tuple[DataFrame, DataFrame]:
+    """(fitting rows, validation rows): the last `share` of the training weeks validate."""
+    marked = splits.split_by_date_quantile(train, 1 - share, day, "__part")
+    return marked.where("__part = 'train'").drop("__part"), marked.where("__part = 'test'").drop("__part")
+
+
+def forecast_comparison(
+    features: DataFrame, cut: int, specs: Sequence[M.ModelSpec], *, validate: float = 0.2
+) -> DataFrame:
+    """Models for the future target; thresholds chosen for recall, best recall first.
+
+    The last `validate` of the training weeks is kept from the fits and chooses the thresholds;
+    the test rows are only reported on.  `validate=0` chooses them on the test rows.
+    """
     common = in_both_periods(features, KEYS, cut, weekly_groups=True)
     matrix, columns = forecast_matrix(common)
     train, test = _train_test(matrix, cut)
     keep = [f"row_{c}" for c in ROW_KEY]
-    pred = materialise(M.compare_models(train, test, columns, TARGET, specs, keep))
+    if validate:
+        train, held = validation_split(materialise(train), validate, f"row_{WEEK}")
+    fitted = M.fit_models(train, columns, TARGET, specs)
+    pred = materialise(M.score_models(fitted, test, TARGET, keep))
+    tune = materialise(M.score_models(fitted, held, TARGET, keep)) if validate else pred
     table = V.tuned_comparison(
-        pred, pred, ["model"], V.GRID_RECALL, "recall", V.DEFAULT_RECALL
+        tune, pred, ["model"], V.GRID_RECALL, "recall", V.DEFAULT_RECALL
     )
     return table.select("model", "auc", "recall", "threshold").orderBy(F.desc("recall"), "model")
 
 
 @dataclass
 class Tuned:
-    """A grid search and its test evaluation."""
+    """A grid search and its test evaluation; `sweep` is what the threshold was chosen on."""
 
     grid: DataFrame
     sweep: DataFrame
     threshold: float
     report: DataFrame
     importances: DataFrame
+    search: M.Search
+
+
+def held_out(search: M.Search, option: int, name: str) -> DataFrame:
+    """(model, y, p) of the search's held-out folds for one option: rows that no fit has seen."""
+    at = F.array_position("options", F.lit(option)).cast("int")
+    rows = search.predictions.where(at > 0)
+    return rows.select(F.lit(name).alias("model"), "y", F.get("stages", at - 1).alias("p"))
 
 
 def _tuned(
@@ -121,18 +148,27 @@ def _tuned(
     folds,
     thresholds: Sequence[float],
     default: float,
+    tune_on: str = "folds",
 ) -> Tuned:
-    results, best = M.grid_search(train, columns, TARGET, spec, grid, folds)
+    """The search, the threshold with the best F1, and the refitted model on the test rows.
+
+    The threshold is chosen on the held-out folds of the best option, or with `tune_on="test"`
+    on the rows that it is reported on.
+    """
+    search = M.grid_search(train, columns, TARGET, spec, grid, folds)
+    best = search.best
     pred = materialise(
         best.score(test).select(F.lit(spec.name).alias("model"), F.col(TARGET).alias("y"), "p")
     )
-    sweep = V.threshold_sweep(pred, thresholds, ["model"])
+    sweep = V.threshold_sweep(
+        pred if tune_on == "test" else held_out(search, search.option, spec.name), thresholds, ["model"]
+    )
     chosen = V.best_threshold(sweep, ["model"], "f1", default).first()["threshold"]
     flagged = pred.withColumn("yhat", classify("p", chosen, strict=False))
     report = V.classification_report(flagged, ["model"], "y", "yhat").join(
         V.auc(pred, ["model"]), "model"
     )
-    return Tuned(results, sweep, chosen, report, topk.top_features(best.importances(), 20))
+    return Tuned(search.results, sweep, chosen, report, topk.top_features(best.importances(), 20), search)
 
 
 def forecast_grid(
@@ -142,6 +178,7 @@ def forecast_grid(
     grid: Mapping[str, Sequence[Any]],
     thresholds: Sequence[float] = V.GRID_SHORT,
     default: float = V.DEFAULT_SHORT,
+    tune_on: str = "folds",
 ) -> Tuned:
     """Grid search over expanding folds of the training years, evaluated on the rest."""
     matrix, columns = forecast_matrix(rows)
@@ -150,7 +187,7 @@ def forecast_grid(
         train, 3, slices=("row_debutsem", "row_prov"), order=("row_maladie",)
     )
     return _tuned(
-        blocked, test, columns, spec, grid, M.expanding_conditions(3), thresholds, default
+        blocked, test, columns, spec, grid, M.expanding_conditions(3), thresholds, default, tune_on
     )
 
 
@@ -163,10 +200,18 @@ def disease_models(master: DataFrame, cut: int, spec: M.ModelSpec, **gates: Any)
 
 
 def climate_only_study(
-    features: DataFrame, disease: str, spec: M.ModelSpec, grid: Mapping[str, Sequence[Any]]
+    features: DataFrame,
+    disease: str,
+    spec: M.ModelSpec,
+    grid: Mapping[str, Sequence[Any]],
+    weather: Sequence[str] = (*WEATHER, WIND),
 ) -> Tuned:
-    """Weather, place and season only; split at the 80th percentile of the weeks."""
-    table = ordinal_encode(ft.climate_only_table(features, disease), [PROV])
+    """Weather, place and season only; split at the 80th percentile of the weeks.
+
+    A weather column that the feature table does not have, such as the optional wind speed,
+    is left out.
+    """
+    table = ordinal_encode(ft.climate_only_table(features, disease, weather=weather), [PROV])
     columns = feature_columns(table, {*CLIMATE_EXCLUDE, PROV}, CLIMATE_EXCLUDE_PREFIXES)
     rows = materialise(splits.split_by_date_quantile(table, 0.8))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
@@ -210,16 +255,14 @@ def attribution(features: DataFrame, cut: int, spec: M.ModelSpec) -> Attribution
     rows, columns = nowcast_matrix(features, cut)
     train, test = impute_median(rows.where(F.col(YEAR) <= cut), _train_test(rows, cut), columns)
     fitted = M.fit(train, columns, LABEL, spec)
-    wide, base = X.tree_contributions(fitted.model, test, columns, ROW_KEY)
+    wide, base = X.tree_contributions(fitted.model, test, columns, [*ROW_KEY, *columns])
     wide = materialise(wide)
     importance = X.global_importance(wide)
     by_disease = X.group_importance(wide, DISEASE, exclude=(f"{DISEASE}_code",))
     scored = fitted.score(test).select(*ROW_KEY, F.col(LABEL).alias("y"), "p")
     flagged = scored.withColumn("yhat", classify("p", 0.2, strict=True))
     examples = topk.example_rows(flagged, ROW_KEY)
-    long = X.to_long(wide, ROW_KEY)
-    shown = long.join(F.broadcast(examples), list(ROW_KEY))  # two rows
-    values = test.select(*ROW_KEY, *columns).unpivot(list(ROW_KEY), list(columns), "feature", "x")
+    shown = wide.join(F.broadcast(examples), list(ROW_KEY))  # two rows
     return Attribution(
         base,
         wide,
@@ -227,5 +270,5 @@ def attribution(features: DataFrame, cut: int, spec: M.ModelSpec) -> Attribution
         by_disease,
         topk.top_per_group(by_disease, [DISEASE], 3),
         topk.waterfall(shown, ["example", *ROW_KEY], 10),
-        topk.dependence(long, importance, 4).join(values, [*ROW_KEY, "feature"]),
+        topk.dependence(wide, importance, ROW_KEY, 4),
     )

@@ -22,6 +22,8 @@ POP = "pop"
 KEYS = (PROV, DISEASE)
 ROW_KEY = (PROV, DISEASE, WEEK)
 WEATHER = ("prectotcorr", "t2m", "rh2m")
+# A fourth measure that some weather documents have.
+WIND = "ws2m"
 
 HEALTH_SCHEMA = T.StructType(
     [
