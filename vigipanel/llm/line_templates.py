@@ -9,10 +9,13 @@ in half of their tails always meet in one.  Templates that stand in several othe
 different documents recur; unbroken runs of recurring lines are dropped from all documents.  A recurring line that
 stands alone and is short goes as well if more documents have it.
 
+A template is known by 128 bits: 64 of its leaf and 64 of its half of the tail.
+
 Copies of a whole document share all their lines.  So the documents around a template are not
 counted themselves: near-dedup's components are, and all copies of a document have one vote
 together.  A template recurs by the number of its votes alone, however many copies there are
-and however much of its documents it makes up.
+and however much of its documents it makes up.  Near-dedup looks only at documents of whose
+lines at least a third have a leaf in common with another document: copies of one share far more.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import map_batches
+from vigipanel.llm.common import map_batches, set_aside
 from vigipanel.llm.minhash import near_duplicates
 from vigipanel.session import materialise
 
@@ -43,12 +46,13 @@ LEAST_DOCS = 2
 # A run of recurring lines is dropped from this many tokens on.  Fewer could be a saying, so a
 # line in a shorter run must stand in more documents.
 RUN_TOKENS, SHORT_DOCS = 20, 10
-# Documents are copies of one if near-dedup links them: words of a shingle, similarity.
-COPY_WORDS, COPY_PERCENT = 5, 80
+# Documents are copies of one if near-dedup links them: words of a shingle, similarity; and the
+# share of its lines, one in COPY_LINES, that a document must have in common with others for that.
+COPY_WORDS, COPY_PERCENT, COPY_LINES = 5, 80, 3
 
-PARSED = "text_key bigint, leaf bigint, tail bigint"
+PARSED = "text_key bigint, n_lines int, leaf bigint, low bigint, high bigint"
 CLEANED = "n_dropped bigint, text string"
-FULL = (1 << 64) - 1
+FULL, HALF = (1 << 64) - 1, (1 << 32) - 1
 
 
 def _tokens(line: str) -> list[str]:
@@ -61,27 +65,38 @@ def _mask(token: str) -> str:
 
 
 def parse(text: str | None) -> list[tuple[int, int, list[str], int | None]]:
-    """(start, end, tokens, leaf) of each line; short lines have no leaf."""
+    """(start, end, masked tokens, leaf) of each line; short lines have no leaf."""
     out = []
     for m in SEGMENT.finditer(text or ""):
-        tokens = _tokens(m[0])
+        line = m[0]
+        tokens = own = _tokens(line)
         leaf = None
         if len(tokens) >= LEAST_TOKENS:
-            lead = [*map(_mask, tokens[:DEPTH])]
+            if VARIABLE.search(line):
+                tokens = [*map(_mask, own)]
+            lead = tokens[:DEPTH]
             # Fields alone are no template: rows of numbers recur only as they are.
-            path = " ".join([str(len(tokens)), *(lead if any(t != "<*>" for t in lead) else tokens[:DEPTH])])
-            leaf = xxhash.xxh3_64_intdigest(path)
+            if all(t == "<*>" for t in lead):
+                lead = own[:DEPTH]
+            leaf = xxhash.xxh3_64_intdigest(f"{len(own)} {' '.join(lead)}")
         out.append((*m.span(), tokens, leaf))
     return out
 
 
-def tail_of(tokens: list[str]) -> int:
-    """The tokens behind the leading ones: 16 bits for each interleaved slice, 0 for an empty one."""
-    tail = [_mask(t) for t in tokens[DEPTH:]]
-    out = 0
-    for i in range(min(SLICES, len(tail))):
-        out |= (xxhash.xxh32_intdigest(" ".join(tail[i::SLICES])) % 65535 + 1) << 16 * i
-    return out
+def tail_of(tokens: list[str]) -> tuple[int, int]:
+    """128 bits of the tokens behind the leading ones, which are cut into interleaved slices.
+
+    A template of three or four slices takes two of them, so 32 bits of each make 64; where it
+    takes one slice, the slice has 64 bits.
+    """
+    n = min(SLICES, len(tokens) - DEPTH)
+    if n <= 0:
+        return 0, 0
+    hashes = [xxhash.xxh3_64_intdigest(" ".join(tokens[DEPTH + i :: SLICES])) for i in range(n)]
+    if n <= 2:
+        return hashes[0] or 1, hashes[1] or 1 if n == 2 else 0
+    parts = [h & HALF or 1 for h in hashes] + [0] * (SLICES - n)
+    return parts[0] | parts[1] << 32, parts[2] | parts[3] << 32
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -89,25 +104,30 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in PARSED.split(", ")]
     for batch in batches:
-        key, leaf, tail = [], [], []
+        key, count, lines = [], [], []
         for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen = {(leaf_, tail_of(tokens)) for _, _, tokens, leaf_ in parse(value.as_py()) if leaf_ is not None}
+            seen = {(leaf, len(tokens), *tail_of(tokens)) for _, _, tokens, leaf in parse(value.as_py()) if leaf is not None}
             key += [text_key] * len(seen)
-            leaf += [line[0] for line in seen]
-            tail += [line[1] for line in seen]
-        arrays = [pa.array(key, pa.int64()), _signed(leaf), _signed(tail)]
-        yield pa.RecordBatch.from_arrays(arrays, ["text_key", "leaf", "tail"])
+            count += [len(seen)] * len(seen)
+            lines += seen
+        leaf, size, low, high = zip(*lines) if lines else ((), (), (), ())
+        # How many slices a tail has follows from the number of tokens.
+        arrays = [pa.array(key, pa.int64()), pa.array([c << 3 | max(0, min(SLICES, n - DEPTH)) for c, n in zip(count, size)], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*arrays, *map(_signed, (leaf, low, high))], names)
 
 
 def templates():
     """A line's templates: its leaf with each choice of half of its slices."""
-    parts = [F.shiftrightunsigned("tail", 16 * i).bitwiseAND(F.lit(65535)) for i in range(SLICES)]
+    n = F.col("n_lines").bitwiseAND(F.lit(7))
+    quarter = [F.shiftrightunsigned(c, by).bitwiseAND(F.lit(HALF)) for c in ("low", "high") for by in (0, 32)]
     out = F.array(F.xxhash64("leaf"))
-    for n in range(1, SLICES + 1):
-        halves = itertools.combinations(range(n), (n + 1) // 2)
+    for slices in range(1, SLICES + 1):
+        parts = [F.col("low"), F.col("high")] if slices <= 2 else quarter
+        halves = itertools.combinations(range(slices), (slices + 1) // 2)
         named = F.array(*(F.xxhash64("leaf", F.lit(" ".join(map(str, half))), *(parts[i] for i in half)) for half in halves))
-        out = F.when(parts[n - 1] != 0, named).otherwise(out)
+        out = F.when(n == slices, named).otherwise(out)
     return out
 
 
@@ -118,32 +138,39 @@ def voters(texts: DataFrame) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """(text_key, leaf, tail, alone) of the lines that belong to a recurring template; `alone`
-    if it stands in enough documents to go without a run.
+    """(text_key, leaf, low, high, alone) of the lines that belong to a recurring template;
+    `alone` if it stands in enough documents to go without a run.
 
-    Only leaves of several texts go on, and only texts with such leaves are compared with each
-    other.  Every step is an aggregation with partial sums or a join on hashed keys.
+    Only leaves of several texts go on, and only texts with many such leaves are compared with
+    each other; the others vote for themselves.  Every step is an aggregation with partial sums
+    or a join on hashed keys.
     """
+    line = ["text_key", "leaf", "low", "high"]
     texts = rows.where("length(text) > 0").select("text_key", "text")
     parsed = materialise(map_batches(texts, _parsed, PARSED))
-    ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
-    lines = materialise(parsed.join(ends.where("low <> high").select("leaf"), "leaf").distinct())
-    bearing = materialise(lines.select("text_key").distinct())
-    lines = materialise(lines.join(voters(texts.join(bearing, "text_key", "left_semi")), "text_key"))
-    members = lines.select("text_key", "voter", "leaf", "tail", F.explode(templates()).alias("template"))
-    votes = members.select("template", "voter").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    found = members.join(materialise(votes.where(F.col("docs") >= least_docs)), "template")
-    return found.groupBy("text_key", "leaf", "tail").agg((F.max("docs") >= short_docs).alias("alone"))
-
-
-def drop_lines(text: str, recurring: set[tuple[int, int]], alone: set[tuple[int, int]] = frozenset()) -> tuple[str, int]:
+    ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+    lines = materialise(parsed.join(ends.where("least <> most").select("leaf"), "leaf").dropDuplicates(line))
+    shared = lines.groupBy("text_key").agg(F.count("*").alias("shared"), F.max(F.shiftright("n_lines", 3)).alias("n"))
+    alike = materialise(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
+    found = materialise(voters(texts.join(alike, "text_key", "left_semi")))
+    voted = lines.join(found, "text_key", "left").withColumn("voter", F.coalesce("voter", "text_key"))
+    members = materialise(voted.select(*line, "voter", F.explode(templates()).alias("template")))
+    # Two voters are enough to recur; only what recurs is counted.
+    spread = members.groupBy("template").agg(F.min("voter").alias("least"), F.max("voter").alias("most"))
+    recurring = members.join(spread.where("least <> most").select("template"), "template")
+    votes = recurring.select("template", "voter").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    marked = recurring.join(votes.where(F.col("docs") >= least_docs), "template")
+    return marked.groupBy(*line).agg((F.max("docs") >= short_docs).alias("alone"))
+
+
+def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple[int, int, int]] = frozenset()) -> tuple[str, int]:
     """The text without its runs of recurring lines, and how many lines were dropped.
 
-    Short lines between two recurring ones belong to the run.  Of a run with too few tokens
-    the lines in `alone` are dropped.
+    Lines are (leaf, tail).  Short lines between two recurring ones belong to the run.  Of a
+    run with too few tokens the lines in `alone` are dropped.
     """
     lines = parse(text)
-    leaves = {leaf for leaf, _ in recurring}
+    leaves = {leaf for leaf, _, _ in recurring}
     runs: list[tuple[int, int]] = []
     start = last = None
 
@@ -154,11 +181,11 @@ def drop_lines(text: str, recurring: set[tuple[int, int]], alone: set[tuple[int,
             runs.append((start, last))
             return
         for at in range(start, last + 1):
-            if lines[at][3] is not None and (lines[at][3], tail_of(lines[at][2])) in alone:
+            if lines[at][3] is not None and (lines[at][3], *tail_of(lines[at][2])) in alone:
                 runs.append((at, at))
 
     for i, (_, _, tokens, leaf) in enumerate(lines):
-        if leaf in leaves and (leaf, tail_of(tokens)) in recurring:
+        if leaf in leaves and (leaf, *tail_of(tokens)) in recurring:
             start, last = (i if start is None else start), i
         elif leaf is not None:
             close()
@@ -184,8 +211,8 @@ def _cleaner(carried: list[str]):
             for value, found in zip(batch.column("text"), batch.column("marks")):
                 text, marks, gone = value.as_py(), found.as_py(), 0
                 if marks:
-                    lines = [(m["leaf"] & FULL, m["tail"] & FULL, m["alone"]) for m in marks]
-                    text, gone = drop_lines(text, {line[:2] for line in lines}, {line[:2] for line in lines if line[2]})
+                    lines = [(*(m[c] & FULL for c in ("leaf", "low", "high")), m["alone"]) for m in marks]
+                    text, gone = drop_lines(text, {line[:3] for line in lines}, {line[:3] for line in lines if line[3]})
                 texts.append(text)
                 dropped.append(gone)
             arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
@@ -194,19 +221,23 @@ def _cleaner(carried: list[str]):
     return work
 
 
-def drop_recurring(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """All rows and columns of `docs` with recurring lines dropped, and n_dropped.
+def drop_recurring(docs: DataFrame, text_col: str = "text", count_col: str = "n_dropped", **limits) -> DataFrame:
+    """All rows and columns of `docs` with recurring lines dropped, and how many, as `count_col`.
 
     A null or empty text stays as it is.  Repeated rows are treated alike and
     count once; null ids do no harm, for texts are known by their hash.  An empty table gives
-    an empty one.  Columns of `docs` called n_dropped, text_key or marks are left out.
+    an empty one.  A text of any length is parsed whole, in time proportional to it.  Ties do
+    not arise: a template recurs or not.  Other columns are kept whatever they are called; a
+    column called `count_col` gives way to the count.
     """
-    carried = [c for c in docs.columns if c not in (text_col, "n_dropped", "text_key", "marks")]
-    rows = docs.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    apart, back = set_aside(docs.drop(count_col) if count_col != text_col else docs, text_col)
+    carried = [*back]
+    rows = apart.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     # A text's recurring lines are no more than its lines.
     lines = recurring_lines(rows, **limits)
-    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "tail", "alone")).alias("marks"))
+    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "low", "high", "alone")).alias("marks"))
     marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "marks")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
-    out = map_batches(marked, _cleaner(carried), schema).withColumnRenamed("text", text_col)
-    return out.select(*[c for c in docs.columns if c in (*carried, text_col)], "n_dropped")
+    out = map_batches(marked, _cleaner(carried), schema).withColumnsRenamed({"text": text_col, "n_dropped": "_count"})
+    out = out.withColumnsRenamed(back).withColumnRenamed("_count", count_col)
+    return out.select(*[c for c in docs.columns if c != count_col], count_col)
