@@ -148,3 +148,39 @@ def test_elias_fano(steps, more):
 def test_crc_matches_spark(spark):
     data = np.array([1, 2, 3], "<u4").tobytes()
     assert spark.range(1).select(F.crc32(F.lit(data))).first()[0] == zlib.crc32(data)
+
+
+def test_caches_keep_what_is_used_and_stay_bounded(monkeypatch):
+    from vigipanel.llm import common
+
+    monkeypatch.setattr(common, "CACHE_ENTRIES", 10)
+    made = []
+    cache = common.Cache(lambda key: made.append(key) or key.upper())
+    for i in range(200):
+        assert cache["the"] == "THE" and cache[f"w{i}"] == f"W{i}"
+        assert len(cache) + len(cache.old) <= 20
+    assert made.count("the") == 1 and len(made) == 201
+    cache.forget()
+    assert not cache and not cache.old and cache["the"] == "THE" and made.count("the") == 2
+
+
+def test_a_task_of_another_operator_frees_the_caches(monkeypatch):
+    from vigipanel.llm import common
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    cache = common.Cache(str.upper)
+    common.keep("one", cache.forget)
+    assert cache["a"] == "A"
+    common.leave_to("one")
+    assert len(cache) == 1
+    common.leave_to("another")
+    assert len(cache) == 0
+
+
+def test_pairs_in_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    own = bpe.Vocabulary(bpe.read_ranks(RANKS))
+    text = "Neighbours are known twice, in a young and in an old table. " * 3
+    once = bpe.Prefixes(own, text.encode()).tokens()
+    assert once == bpe.Prefixes(own, text.encode()).tokens() == bpe.Prefixes(bpe.vocabulary(RANKS), text.encode()).tokens()
+    assert len(own.pairs) <= 4 and len(own.older) <= 4

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import CACHE_ENTRIES, ChunkCache, map_batches
+from vigipanel.llm.common import CACHE_ENTRIES, ChunkCache, keep, map_batches
 
 TOKENS = "doc_id bigint, ids array<int>"
 DECODED = TOKENS + ", bytes binary"
-
-
+# Caches are kept under this name between tasks.
+OWNER = "byte-level BPE"
 NEVER = 1 << 60
 
 
@@ -41,7 +41,9 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.ends.add_word(token.decode("latin-1"), rank)
         self.ends.make_automaton()
+        # Known neighbours, in two generations.
         self.pairs: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         self._spines: dict[int, tuple[list, list] | None] = {}
 
     def merges(self, data: bytes) -> tuple[list[bytes], list[tuple[bytes, bytes]]]:
@@ -92,11 +94,19 @@ class Vocabulary:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
+            known = self.older.get(key)
+            if known is None:
+                known = self._fits(left, right)
             if len(self.pairs) >= CACHE_ENTRIES:
+                self.older = dict(self.pairs)
                 self.pairs.clear()
-            known = self.pairs[key] = self._fits(left, right)
+            self.pairs[key] = known
         return known
 
+    def forget(self) -> None:
+        self.pairs.clear()
+        self.older = {}
+
     def _fits(self, left: int, right: int) -> bool:
         a, b = self.spines(left), self.spines(right)
         if a is None or b is None:
@@ -198,7 +208,10 @@ def encoder(path: str, pattern: str) -> ChunkCache:
         whole = own.ranks.get(data)
         return array("i", [whole] if whole is not None else Prefixes(own, data).tokens()).tobytes()
 
-    return ChunkCache(matches, word)
+    cache = ChunkCache(matches, word)
+    for held in (cache, own):
+        keep(OWNER, held.forget)
+    return cache
 
 
 def encode(
@@ -218,11 +231,8 @@ def encode(
             flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
-        # The worker goes on to other operators, and the memory is theirs.
-        cache.clear()
-        vocabulary(path).pairs.clear()
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), work, TOKENS)
+    return map_batches(docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text"), work, TOKENS, OWNER)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -237,7 +247,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             arrays = [batch.column(0), batch.column(1), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "bytes"])
 
-    return map_batches(tokens.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{ids_col}` ids"), work, DECODED)
+    return map_batches(tokens.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{ids_col}` ids"), work, DECODED, OWNER)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = "8m"
 SLICE_ROWS = 256
 
-# A token cache is emptied beyond this many entries, so that memory stays bounded.
-CACHE_ENTRIES = 300_000
+# Entries of a generation of a cache; it holds two at most, so that memory stays bounded.
+CACHE_ENTRIES = 250_000
 # Longer chunks are not worth keeping: they hardly ever come back.
 CACHE_CHARS = 40
 
@@ -25,18 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What worker processes keep between the tasks of one operator, by its name: how to let go of it.
+_KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def keep(owner: str, forget: Callable[[], None]) -> None:
+    """Note that this process holds something of an operator, and how to forget it."""
+    _KEPT.setdefault(owner, []).append(forget)
+
+
+def leave_to(owner: str) -> None:
+    """Forget what other operators have left in this process: its memory is `owner`'s now."""
+    for name, forgets in _KEPT.items():
+        if name != owner:
+            for forget in forgets:
+                forget()
+
+
 def map_batches(
-    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = ""
 ) -> DataFrame:
     """`mapInArrow` with the package on every worker.
 
     The session's batches are bounded to BATCH_BYTES, for each is held several times between
     Spark and Python; `work` gets them in slices, so that what it makes of one is small too.
+    Workers serve one task after another: caches of the operator called `owner` stay, those of
+    others go when the task starts.
     """
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_to(owner)
         return work(b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
 
     return df.mapInArrow(sliced, schema)
@@ -50,20 +70,32 @@ def set_aside(df: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
 
 
 class Cache(dict):
-    """A bounded memo of a function of short strings."""
+    """A bounded memo of a function of short strings, in two generations.
+
+    When the young one is full it becomes the old one, and what is asked for again moves back
+    to the young one; so frequent strings stay while rare ones go, and nothing is computed
+    anew for all at once.
+    """
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class ChunkCache(Cache):
     """Token ids of a text by its chunks between single spaces.
@@ -82,6 +114,10 @@ class ChunkCache(Cache):
         self.split, self.encode = split, encode
         self.others = Cache(encode)
 
+    def forget(self) -> None:
+        super().forget()
+        self.others.forget()
+
     def _chunk(self, chunk: str) -> bytes:
         pieces = self.split(" " + chunk)
         return self.encode(pieces[0]) if len(pieces) == 1 else self._joined(pieces)

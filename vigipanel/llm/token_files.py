@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import ChunkCache, map_batches
+from vigipanel.llm.common import ChunkCache, keep, map_batches
 from vigipanel.llm.elias_fano import EliasFano
 
+# Caches are kept under this name between tasks.
+OWNER = "token files"
 MAGIC = struct.Struct("<4sBQ")
 # A shard is closed at this many ids; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
@@ -65,7 +67,9 @@ def encoder(path: str) -> ChunkCache:
             return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
         return array("I", library.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    return ChunkCache(split, encode)
+    cache = ChunkCache(split, encode)
+    keep(OWNER, cache.forget)
+    return cache
 
 
 def pack_shard(ids: list[bytes]) -> bytes:
@@ -138,7 +142,7 @@ def write_token_files(
         F.monotonically_increasing_id().alias("place"),
     )
     dealt = ordered.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
-    map_batches(dealt.select("doc_id", "text"), _shards(tokenizer, end_id), SHARD).write.parquet(path)
+    map_batches(dealt.select("doc_id", "text"), _shards(tokenizer, end_id), SHARD, OWNER).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             part, before, doc_ids, payload = (batch.column(c)[row].as_py() for c in range(4))
             shard = Shard(payload)
-            ends = shard.ends.all().astype(np.int64)
+            ends = np.array([shard.ends.select(i) for i in range(shard.ends.n)], np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             flat = shard.array.astype("<u4").tobytes()
             ids = [flat[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
@@ -173,7 +177,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = map_batches(shards.select("part", "part_start", "doc_ids", "payload"), _documents, DOCUMENT)
+    rows = map_batches(shards.select("part", "part_start", "doc_ids", "payload"), _documents, DOCUMENT, OWNER)
     return rows.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
