@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from vigipanel.llm import decontaminate, html_text, licenses, line_templates, secrets, toxicity
@@ -379,3 +380,70 @@ def test_exceptions_are_merged_with_matches():
     text = toxicity.folded("not bad at all " * 70_000 + "bad")
     start = time.perf_counter()
     assert toxicity.weigh(text, model.automaton()) == (1.0, 280_001) and time.perf_counter() - start < 3
+
+
+def test_a_dump_of_keys_is_found(spark):
+    """Whether a key is reported does not depend on how many others there are."""
+    draw = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (1, 1500):
+        keys = ["".join(draw.choice(alphabet) for _ in range(40)) for _ in range(n)]
+        (row,) = secrets.find_secrets(spark.createDataFrame([(1, "\n".join(keys))], "doc_id bigint, text string")).collect()
+        own = {(i * 41, i * 41 + 40) for i in range(n)}
+        found = {(s.start, s.end) for s in row.spans if s.kind == 3}
+        whole = own & found
+        # The battery itself rejects ALPHA of random keys in each of its tests; parts may stand for a whole.
+        assert len(whole) >= (0.95 if n > 1 else 1) * n
+
+
+def test_widest_spans_are_those_in_no_other():
+    draw = random.Random(2)
+    for _ in range(50):
+        spans = list({tuple(sorted(draw.sample(range(30), 2))) for _ in range(12)})
+        want = [s for s in spans if not any(o != s and o[0] <= s[0] and o[1] >= s[1] for o in spans)]
+        assert secrets.widest(spans) == sorted(want)
+
+
+def test_random_spans_equal_a_plain_implementation(spark):
+    """The battery, the evidence and the discovery rule spelled out over a small corpus."""
+    import math
+
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9)))
+    key = lambda n, chars: "".join(draw.choice(chars) for _ in range(n))
+    texts = []
+    for i in range(60):
+        parts = [word() for _ in range(40)]
+        if i % 3 == 0:
+            parts.insert(5, key(draw.choice([20, 24, 32, 44]), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+        if i % 4 == 0:
+            parts.insert(9, "Aa1" * 10 + " path/" + key(26, "abcdefghijklmnopqrstuvwxyz234567") + "/x")
+        texts.append(" ".join(parts))
+    counts = secrets.prose()
+    for text in texts:
+        for c in secrets.RUN.sub(" ", text):
+            if ord(c) in counts:
+                counts[ord(c)] += 1
+    share = {chr(b): math.log(n / sum(counts.values())) for b, n in counts.items()}
+    tested = []
+    for i, text in enumerate(texts):
+        for m in secrets.RUN.finditer(text):
+            for left, right in secrets.beside(*m.span(), secrets.base_spans(text)):
+                for a, b in secrets.parts_of(text[left:right]):
+                    run = text[left + a : left + b].rstrip("=")
+                    name = secrets.encoding_of(run)
+                    if name is None or name[0] in secrets.NOT_KEYS or len(run) < 20:
+                        continue
+                    values = np.array([name[1].index(c) for c in run])
+                    evidence = -len(run) * math.log(len(name[1])) - sum(share[c] for c in run)
+                    at = min(secrets.MAX_BIN, max(0, int(evidence * secrets.BINS_PER_E)))
+                    tested.append((i, left + a, left + b, secrets.battery(values, len(name[1])) >= secrets.ALPHA, at))
+    least = secrets.MAX_BIN + 1
+    for at in {t[4] for t in tested}:
+        passed = sum(t[3] and t[4] >= at for t in tested)
+        if math.exp(-at / secrets.BINS_PER_E) <= secrets.FDR * passed / len(tested):
+            least = min(least, at)
+    want = {i: secrets.widest([(a, b) for j, a, b, ok, at in tested if j == i and ok and at >= least]) for i in range(len(texts))}
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in rows}
+    assert got == want and sum(map(len, want.values())) >= 15

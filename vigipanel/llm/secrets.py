@@ -7,8 +7,10 @@ uniformity of the characters, the number of runs above and below the middle of t
 correlation of neighbours.  Their p-values combine by Fisher's method, and a run is random if
 the battery finds no structure.  What remains could still be chance: ordinary text has runs
 that look random if they are short.  So each random run also gets a p-value against the
-corpus' own character frequencies (the likelihood ratio of uniform to text, whose inverse
-bounds that p-value whatever the length, so longer runs need less per character), and the
+character frequencies of words (the likelihood ratio of uniform to text, whose inverse
+bounds that p-value whatever the length, so longer runs need less per character).  These are
+counted over the corpus without its long runs, on top of a fixed model of prose, so that keys do not
+make themselves look ordinary however many there are.  The
 Benjamini-Hochberg rule over all runs of the corpus keeps the share of false ones below FDR.
 """
 
@@ -62,6 +64,15 @@ ALPHA, FDR = 0.001, 0.01
 # p-values are counted in bins of exp(-0.5).
 BINS_PER_E, MAX_BIN = 2, 2000
 
+# Per mille of the letters in running prose, and the shares of what is no small letter.
+LETTERS = dict(
+    a=82, b=15, c=28, d=43, e=127, f=22, g=20, h=61, i=70, j=2, k=8, l=40, m=24, n=67, o=75, p=19, q=1, r=60, s=63, t=91, u=28,
+    v=10, w=24, x=2, y=20, z=1,
+)
+CAPITALS, FIGURES, SIGNS = 0.03, 0.02, 0.01
+# Characters that the fixed model counts for.
+PROSE_CHARS = 10_000
+
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 FOUND = f"doc_id bigint, base {SPAN}, runs array<struct<start:bigint,end:bigint,encoding:string,random:double,bin:int>>"
 
@@ -169,19 +180,35 @@ def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256, np.int64)
     for batch in batches:
         for text in batch.column(0):
-            data = text.as_py()
-            if data:
-                total += np.bincount(np.frombuffer(data.encode(), np.uint8), minlength=256)
+            whole = text.as_py()
+            if whole:
+                data = whole.encode()
+                if LONG_KEY in data.translate(KEY_MASK):
+                    data = RUN.sub(" ", whole).encode()  # runs that may be keys say nothing about words
+                total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["byte", "n"])
 
 
+def prose() -> dict[int, float]:
+    """The fixed model: how often each key character stands among PROSE_CHARS of prose."""
+    letters, signs = sum(LETTERS.values()), [b for b in KEY_CHARS if not chr(b).isalnum()]
+    small = 1 - CAPITALS - FIGURES - SIGNS
+    out = {ord(c): small * n / letters for c, n in LETTERS.items()}
+    out |= {ord(c.upper()): CAPITALS * n / letters for c, n in LETTERS.items()}
+    out |= {ord(c): FIGURES / len(DIGITS) for c in DIGITS} | {b: SIGNS / len(signs) for b in signs}
+    return {b: PROSE_CHARS * share for b, share in out.items()}
+
+
 def char_shares(docs: DataFrame, text_col: str) -> dict[str, float]:
-    """Log share of every key character among the key characters of all texts (256 sums)."""
+    """Log share of every key character among those of all words and of the fixed model (256 sums)."""
     counts = map_batches(docs.select(text_col), _count_chars, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
-    n = {row.byte: row.n for row in counts.collect()}
-    total = sum(n.get(b, 0) + 1 for b in KEY_CHARS)
-    return {chr(b): math.log((n.get(b, 0) + 1) / total) for b in KEY_CHARS}
+    n = {b: known for b, known in prose().items()}
+    for row in counts.collect():
+        if row.byte in n:
+            n[row.byte] += row.n
+    total = sum(n.values())
+    return {chr(b): math.log(n[b] / total) for b in KEY_CHARS}
 
 
 def _find(log_share: dict[str, float]):
@@ -236,17 +263,30 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(map_batches(source, _find(char_shares(source, "text")), FOUND))
-    least = discovery_bin(found, fdr)
-    passed = F.filter("runs", lambda r: (r["random"] >= ALPHA) & (r["bin"] >= least))
+    return map_batches(found, _reported(discovery_bin(found, fdr)), f"doc_id bigint, base {SPAN}, spans {SPAN}")
 
-    def wider(r):
-        return lambda o: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
 
-    random = F.transform(
-        F.filter(passed, lambda r: ~F.exists(passed, wider(r))),
-        lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")),
-    )
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
+def widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other, sorted; one look at each."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def _reported(least: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for base, runs in zip(batch.column("base"), batch.column("runs")):
+                passed = [(r["start"], r["end"]) for r in runs.as_py() if r["random"] >= ALPHA and r["bin"] >= least]
+                random = [{"start": a, "kind": KINDS.index("random"), "end": b} for a, b in widest(passed)]
+                spans.append(sorted(base.as_py() + random, key=lambda s: (s["start"], s["kind"], s["end"])))
+            kept = [batch.column(c) for c in ("doc_id", "base")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, batch.column("base").type)], ["doc_id", "base", "spans"])
+
+    return work
 
 
 def _written(spans: str):
