@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches, set_aside
 from vigipanel.llm.minhash import near_duplicates
-from vigipanel.session import materialise
+from vigipanel.session import materialise, small_side
 
 # Up to a line break, or to a sentence's end before a blank.
 SEGMENT = re.compile(r"\S(?:[^\n.!?]++|[.!?](?!\s))*[.!?]?")
@@ -57,7 +57,7 @@ FULL, HALF = (1 << 64) - 1, (1 << 32) - 1
 
 def _tokens(line: str) -> list[str]:
     """Lower-case words without punctuation around them; signs alone are no tokens."""
-    return [word for token in line.lower().split() if (word := token.strip(string.punctuation))]
+    return [*filter(None, map(str.strip, line.lower().split(), itertools.repeat(string.punctuation)))]
 
 
 def _mask(token: str) -> str:
@@ -151,7 +151,8 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: i
     ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
     lines = materialise(parsed.join(ends.where("least <> most").select("leaf"), "leaf").dropDuplicates(line))
     shared = lines.groupBy("text_key").agg(F.count("*").alias("shared"), F.max(F.shiftright("n_lines", 3)).alias("n"))
-    alike = materialise(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
+    # Where there are few of them, their texts are picked out without a shuffle of all texts.
+    alike = small_side(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
     found = materialise(voters(texts.join(alike, "text_key", "left_semi")))
     voted = lines.join(found, "text_key", "left").withColumn("voter", F.coalesce("voter", "text_key"))
     members = materialise(voted.select(*line, "voter", F.explode(templates()).alias("template")))

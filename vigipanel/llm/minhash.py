@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vigipanel.llm.common import Cache, map_batches
 from vigipanel.llm.components import components
-from vigipanel.session import materialise
+from vigipanel.session import materialise, small_side
 
 BINS, ROWS = 160, 5
 STAR_ROUNDS = 2
@@ -271,9 +271,14 @@ def _node_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int)
 
 
 def _shingle_sets(rows: DataFrame, own: DataFrame, size: int) -> DataFrame:
-    """The sets of the given nodes, from one document each (by id, or by text where it has none)."""
-    by_id = rows.where("doc_id is not null").join(own.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    by_text = rows.where("doc_id is null").join(own.where("doc_id is null").select("alt").distinct(), "alt", "left_semi")
+    """The sets of the given nodes, from one document each (by id, or by text where it has none).
+
+    Up to a bound the ids are broadcast, so that the texts need not be shuffled.
+    """
+    ids = small_side(own.where("doc_id is not null").select("doc_id").distinct())
+    alts = small_side(own.where("doc_id is null").select("alt").distinct())
+    by_id = rows.where("doc_id is not null").join(ids, "doc_id", "left_semi")
+    by_text = rows.where("doc_id is null").join(alts, "alt", "left_semi")
     sets = map_batches(by_id.unionByName(by_text, allowMissingColumns=True).select("doc_id", "alt", "text"), _sets(size), SHINGLES)
     wanted = own.select("node").distinct()
     return sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
