@@ -29,7 +29,9 @@ def plain(texts):
                 for (j, b), other in lines.items()
                 if other == leaf and len(a) == len(b) and all(tail[s :: L.SLICES] == b[L.DEPTH :][s :: L.SLICES] for s in half)
             }
-            best = max(best, len(near))
+            forms = {(b, voter[j]) for (j, b), other in lines.items() if other == leaf and len(a) == len(b) and all(tail[s :: L.SLICES] == b[L.DEPTH :][s :: L.SLICES] for s in half)}
+            if len(near) >= L.LEAST_DOCS:
+                best = max(best, len(forms))
         docs[i, a] = best
     out = {}
     for i, text in enumerate(own):

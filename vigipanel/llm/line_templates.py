@@ -44,7 +44,7 @@ SLICES = 4
 # Different documents that a template must stand in.
 LEAST_DOCS = 2
 # A run of recurring lines is dropped from this many tokens on.  Fewer could be a saying, so a
-# line in a shorter run must stand in more documents.
+# line in a shorter run must stand in more documents (each form of it counted in each of them).
 RUN_TOKENS, SHORT_DOCS = 20, 10
 # Documents are copies of one if near-dedup links them: words of a shingle, similarity; and the
 # share of its lines, one in COPY_LINES, that a document must have in common with others for that.
@@ -155,13 +155,17 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: i
     alike = small_side(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
     found = materialise(voters(texts.join(alike, "text_key", "left_semi")))
     voted = lines.join(found, "text_key", "left").withColumn("voter", F.coalesce("voter", "text_key"))
-    members = materialise(voted.select(*line, "voter", F.explode(templates()).alias("template")))
-    # Two voters are enough to recur; only what recurs is counted.
-    spread = members.groupBy("template").agg(F.min("voter").alias("least"), F.max("voter").alias("most"))
-    recurring = members.join(spread.where("least <> most").select("template"), "template")
-    votes = recurring.select("template", "voter").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    marked = recurring.join(votes.where(F.col("docs") >= least_docs), "template")
-    return marked.groupBy(*line).agg((F.max("docs") >= short_docs).alias("alone"))
+    # Equal lines are one from here on, however many texts have them.
+    kinds = voted.select(*line[1:], F.col("n_lines").bitwiseAND(F.lit(7)).alias("n_lines"), "voter").distinct()
+    spread = (F.min("voter").alias("least"), F.max("voter").alias("most"), F.count("*").alias("docs"))
+    different = materialise(kinds.groupBy(*line[1:], "n_lines").agg(*spread))
+    members = different.select(*line[1:], "least", "most", "docs", F.explode(templates()).alias("template"))
+    spread = (F.min("least").alias("least"), F.max("most").alias("most"), F.sum("docs").alias("docs"))
+    # Two voters are enough to recur.
+    recurring = members.groupBy("template").agg(*spread).where((F.col("least") != F.col("most")) & (F.col("docs") >= least_docs))
+    marked = members.select(*line[1:], "template").join(recurring.select("template", "docs"), "template")
+    marks = small_side(marked.groupBy(*line[1:]).agg((F.max("docs") >= short_docs).alias("alone")))
+    return lines.select(*line).join(marks, line[1:]).select(*line, "alone")
 
 
 def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple[int, int, int]] = frozenset()) -> tuple[str, int]:
