@@ -220,7 +220,9 @@ def encode(
     """doc_id and ids of every whole text, in any order.
 
     A null or empty text has no ids.  Rows are independent: repeated rows and null ids are
-    passed on as they are, an empty table gives an empty one, other columns are ignored.
+    passed on as they are, an empty table gives an empty one, other columns are ignored.  A text of
+    any length is encoded whole.  Ids are whole numbers or text of them; the cast of
+    another id fails.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

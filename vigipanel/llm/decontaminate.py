@@ -197,6 +197,8 @@ def scan(
     A null or empty text has no words and no hits; items without an id or words match nothing.
     Rows are independent, so repeated rows and null ids pass on as they are; an empty table on
     either side gives no hits.  Other columns are ignored.  Spans merge where they touch.
+    A text of any length is scanned whole, in time proportional to it.  Each `block_words` words of
+    the benchmark are one broadcast automaton and one more Python step of the stage.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), FOUND])
@@ -238,7 +240,9 @@ def clean(
     """The documents without benchmark passages, with all columns of `docs`.
 
     Hit spans of more than `max_words` words are cut out; a document of whose words they make
-    up more than the share `max_coverage` goes as a whole.  Other texts stay as they are.
+    up more than the share `max_coverage` goes as a whole.  Other texts stay as they are, null and
+    empty ones among them; repeated rows are treated alike, rows without an id like others, an
+    empty table on either side changes nothing.  Columns are kept whatever they are called.
     """
     text_col = names.get("text_col", "text")
     id_col = names.get("id_col", "doc_id")

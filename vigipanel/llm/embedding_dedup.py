@@ -211,6 +211,8 @@ def near_duplicates(
     and those with null or non-finite parts are linked with nothing.  Equal directions are one
     node that counts its rows.  Rows without an id take part; they are kept only if no row of
     their component has an id.  An empty table gives an empty one; other columns are ignored.
+    A cosine of exactly `least` links.  Ids are whole numbers or text of them; the cast of
+    another id fails.
     """
     source = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"))
     rows = materialise(map_batches(source, _nodes, NODE))

@@ -358,7 +358,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: page_id, url, text, n_chars (code points).
 
     A null or empty page gives an empty text.  Rows are independent: repeated rows, null ids
-    and urls and empty tables pass through; other columns are ignored.
+    and urls and empty tables pass through; other columns are ignored.  A page of any length is
+    parsed whole; of containers with equal points the first wins.  Ids are whole numbers or text of them; the cast of
+    another id fails.
     """
     source = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")

@@ -214,6 +214,8 @@ def near_duplicates(
     own.  A text without words is linked with nothing.  Rows of one id count as one document,
     so all of them are kept or none.  Rows without an id take part; they are kept only if no
     row of their component has an id.  An empty table gives an empty one; other columns are ignored.
+    A text of any length is taken whole; a similarity of exactly the threshold links.  Ids are whole
+    numbers or text of them; the cast of another id fails.
     """
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),

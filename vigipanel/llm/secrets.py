@@ -259,7 +259,9 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text
     Kinds are numbered as in KINDS; spans are sorted by start, then kind.  Of a run that overlaps a
     base span the rest is tested; of random parts inside each other the widest is reported.  Null and empty texts have no spans.  Rows are independent but for
     the corpus' character counts and the discovery threshold: repeated rows count repeatedly,
-    null ids pass on, an empty table gives an empty one, other columns are ignored.
+    null ids pass on, an empty table gives an empty one, other columns are ignored.  A text of any length
+    is searched whole.  Ids are whole numbers or text of them; the cast of
+    another id fails.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialise(map_batches(source, _find(char_shares(source, "text")), FOUND))

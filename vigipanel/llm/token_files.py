@@ -132,7 +132,7 @@ def write_token_files(
     """Encode every whole text and write the ids in ascending order of the document id.
 
     A null or empty text gives the end id alone.  Documents without an id come first; rows of
-    equal ids keep the order of the input.  Other columns are ignored; an empty table gives
+    equal ids keep the order of the input.  Ids are whole numbers or text of them.  Other columns are ignored; an empty table gives
     an empty folder of shards.  Texts are dealt by ranges of (id, place in the input), so rows
     of one id do not meet in one task, and are tokenised once, after the only shuffle.
     """

@@ -216,7 +216,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever they are called.
+
+    Null and empty texts have no matches and are judged by the intercept; repeated rows are kept
+    or dropped together; an empty table gives an empty one.
+    """
     apart, back = set_aside(docs, "doc_id", "text")
     kept = score(apart, model, carry=("text", *back)).where("predicted = 0")
     return kept.drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
@@ -228,7 +232,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from the labels of documents that are not held out."""
+    """The model from the labels of documents that are not held out.
+
+    Labels without an id or a mark are left out; of several for one id the highest counts.  Rows
+    without an id are not learned from, repeated ones count repeatedly.  Without labelled rows the
+    lexicon is empty.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where(~held_out()).join(marks, "doc_id")
     return fit(rows)
