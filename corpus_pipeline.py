@@ -1,7 +1,10 @@
 """The training-data pipeline: stages over `documents`, each written and read again.
 
 Every stage takes what its predecessor kept and, but for the last, returns the columns of
-`documents`; n_chars follows the text.
+`documents`; n_chars follows the text.  An empty table passes every stage; null and empty texts
+are kept by all but near-dedup, where equal texts without words stay as different documents;
+repeated rows are treated alike, and near-dedup leaves one of them.  Columns beside those of
+`documents` pass on whatever they are called.
 """
 
 from __future__ import annotations
