@@ -16,7 +16,7 @@ BATCH_BYTES = "8m"
 SLICE_ROWS = 256
 
 # Entries of a generation of a cache; it holds two at most, so that memory stays bounded.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 # Longer chunks are not worth keeping: they hardly ever come back.
 CACHE_CHARS = 40
 
