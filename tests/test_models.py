@@ -37,7 +37,7 @@ def spec(name, **params):
         "SVM": {"maxIter": 20, "random_features": 24},
         "Neural Network": {"hidden": (6,), "maxIter": 40},
     }
-    return one.with_params(**small[name], **params)
+    return one.with_params(**{**small[name], **params})
 
 
 @pytest.mark.parametrize("name", [s.name for s in M.fixed_specs()])
