@@ -20,6 +20,7 @@ lines at least a third have a leaf in common with another document: copies of on
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import string
@@ -50,9 +51,9 @@ RUN_TOKENS, SHORT_DOCS = 20, 10
 # share of its lines, one in COPY_LINES, that a document must have in common with others for that.
 COPY_WORDS, COPY_PERCENT, COPY_LINES = 5, 80, 3
 
-PARSED = "text_key bigint, n_lines int, leaf bigint, low bigint, high bigint"
+PARSED = "text_key bigint, at int, n_lines int, leaf bigint, low bigint, high bigint"
 CLEANED = "n_dropped bigint, text string"
-FULL, HALF = (1 << 64) - 1, (1 << 32) - 1
+HALF = (1 << 32) - 1
 
 
 def _tokens(line: str) -> list[str]:
@@ -106,15 +107,16 @@ def _signed(values: list[int]) -> pa.Array:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PARSED.split(", ")]
     for batch in batches:
-        key, count, lines = [], [], []
+        key, place, count, lines = [], [], [], []
         for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen = {(leaf, len(tokens), *tail_of(tokens)) for _, _, tokens, leaf in parse(value.as_py()) if leaf is not None}
-            key += [text_key] * len(seen)
-            count += [len(seen)] * len(seen)
-            lines += seen
-        leaf, size, low, high = zip(*lines) if lines else ((), (), (), ())
-        # How many slices a tail has follows from the number of tokens.
-        arrays = [pa.array(key, pa.int64()), pa.array([c << 3 | max(0, min(SLICES, n - DEPTH)) for c, n in zip(count, size)], pa.int32())]
+            found = [(at, leaf, tokens) for at, _, tokens, leaf in parse(value.as_py()) if leaf is not None]
+            key += [text_key] * len(found)
+            place += [at for at, _, _ in found]
+            # How many slices a tail has follows from the number of tokens.
+            count += [len(found) << 3 | max(0, min(SLICES, len(tokens) - DEPTH)) for _, _, tokens in found]
+            lines += [(leaf, *tail_of(tokens)) for _, leaf, tokens in found]
+        leaf, low, high = zip(*lines) if lines else ((), (), ())
+        arrays = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(count, pa.int32())]
         yield pa.RecordBatch.from_arrays([*arrays, *map(_signed, (leaf, low, high))], names)
 
 
@@ -138,64 +140,59 @@ def voters(texts: DataFrame) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """(text_key, leaf, low, high, alone) of the lines that belong to a recurring template;
-    `alone` if it stands in enough documents to go without a run.
+    """(text_key, at, alone) of the lines that belong to a recurring template: where the line
+    starts in its text, and whether it stands in enough documents to go without a run.
 
     Only leaves of several texts go on, and only texts with many such leaves are compared with
     each other; the others vote for themselves.  Every step is an aggregation with partial sums
     or a join on hashed keys.
     """
-    line = ["text_key", "leaf", "low", "high"]
+    line = ["leaf", "low", "high"]
     texts = rows.where("length(text) > 0").select("text_key", "text")
     parsed = materialise(map_batches(texts, _parsed, PARSED))
     ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
-    lines = materialise(parsed.join(ends.where("least <> most").select("leaf"), "leaf").dropDuplicates(line))
+    lines = materialise(parsed.join(ends.where("least <> most").select("leaf"), "leaf").distinct())
     shared = lines.groupBy("text_key").agg(F.count("*").alias("shared"), F.max(F.shiftright("n_lines", 3)).alias("n"))
     # Where there are few of them, their texts are picked out without a shuffle of all texts.
     alike = small_side(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
     found = materialise(voters(texts.join(alike, "text_key", "left_semi")))
     voted = lines.join(found, "text_key", "left").withColumn("voter", F.coalesce("voter", "text_key"))
     # Equal lines are one from here on, however many texts have them.
-    kinds = voted.select(*line[1:], F.col("n_lines").bitwiseAND(F.lit(7)).alias("n_lines"), "voter").distinct()
+    kinds = voted.select(*line, F.col("n_lines").bitwiseAND(F.lit(7)).alias("n_lines"), "voter").distinct()
     spread = (F.min("voter").alias("least"), F.max("voter").alias("most"), F.count("*").alias("docs"))
-    different = materialise(kinds.groupBy(*line[1:], "n_lines").agg(*spread))
-    members = different.select(*line[1:], "least", "most", "docs", F.explode(templates()).alias("template"))
+    different = materialise(kinds.groupBy(*line, "n_lines").agg(*spread))
+    members = different.select(*line, "least", "most", "docs", F.explode(templates()).alias("template"))
     spread = (F.min("least").alias("least"), F.max("most").alias("most"), F.sum("docs").alias("docs"))
     # Two voters are enough to recur.
     recurring = members.groupBy("template").agg(*spread).where((F.col("least") != F.col("most")) & (F.col("docs") >= least_docs))
-    marked = members.select(*line[1:], "template").join(recurring.select("template", "docs"), "template")
-    marks = small_side(marked.groupBy(*line[1:]).agg((F.max("docs") >= short_docs).alias("alone")))
-    return lines.select(*line).join(marks, line[1:]).select(*line, "alone")
+    marked = members.select(*line, "template").join(recurring.select("template", "docs"), "template")
+    marks = small_side(marked.groupBy(*line).agg((F.max("docs") >= short_docs).alias("alone")))
+    return lines.select("text_key", "at", *line).join(marks, line).select("text_key", "at", "alone")
 
 
-def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple[int, int, int]] = frozenset()) -> tuple[str, int]:
+def drop_marked(text: str, marks: dict[int, bool]) -> tuple[str, int]:
     """The text without its runs of recurring lines, and how many lines were dropped.
 
-    Lines are (leaf, tail).  Short lines between two recurring ones belong to the run.  Of a
-    run with too few tokens the lines in `alone` are dropped.
+    `marks` has the starts of the recurring lines, and whether each goes alone; a start that is
+    no line's is of another text with the same hash.  Short lines between two recurring ones
+    belong to the run.  Of a run with too few tokens the lines that go alone are dropped.
     """
-    lines = parse(text)
-    leaves = {leaf for leaf, _, _ in recurring}
+    lines = [m.span() for m in SEGMENT.finditer(text)]
+    numbers = {start: i for i, (start, _) in enumerate(lines)}
+    alone = {numbers[start]: by_itself for start, by_itself in marks.items() if start in numbers}
+    size = functools.cache(lambda at: len(_tokens(text[slice(*lines[at])])))
+    groups: list[list[int]] = []
+    for at in sorted(alone):
+        if groups and all(size(i) < LEAST_TOKENS for i in range(groups[-1][-1] + 1, at)):
+            groups[-1].append(at)
+        else:
+            groups.append([at])
     runs: list[tuple[int, int]] = []
-    start = last = None
-
-    def close() -> None:
-        if start is None:
-            return
-        if sum(len(line[2]) for line in lines[start : last + 1]) >= RUN_TOKENS:
-            runs.append((start, last))
-            return
-        for at in range(start, last + 1):
-            if lines[at][3] is not None and (lines[at][3], *tail_of(lines[at][2])) in alone:
-                runs.append((at, at))
-
-    for i, (_, _, tokens, leaf) in enumerate(lines):
-        if leaf in leaves and (leaf, *tail_of(tokens)) in recurring:
-            start, last = (i if start is None else start), i
-        elif leaf is not None:
-            close()
-            start = None
-    close()
+    for group in groups:
+        if any(n >= RUN_TOKENS for n in itertools.accumulate(map(size, range(group[0], group[-1] + 1)))):
+            runs.append((group[0], group[-1]))
+        else:
+            runs += [(at, at) for at in group if alone[at]]
     if not runs:
         return text, 0
     out, at = [], 0
@@ -209,6 +206,12 @@ def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple
     return "".join(out), sum(end - first + 1 for first, end in runs)
 
 
+def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple[int, int, int]] = frozenset()) -> tuple[str, int]:
+    """The same for lines given as (leaf, tail), those in `alone` going without a run."""
+    keys = {start: (leaf, *tail_of(tokens)) for start, _, tokens, leaf in parse(text) if leaf is not None}
+    return drop_marked(text, {start: key in alone for start, key in keys.items() if key in recurring})
+
+
 def _cleaner(carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +219,7 @@ def _cleaner(carried: list[str]):
             for value, found in zip(batch.column("text"), batch.column("marks")):
                 text, marks, gone = value.as_py(), found.as_py(), 0
                 if marks:
-                    lines = [(*(m[c] & FULL for c in ("leaf", "low", "high")), m["alone"]) for m in marks]
-                    text, gone = drop_lines(text, {line[:3] for line in lines}, {line[:3] for line in lines if line[3]})
+                    text, gone = drop_marked(text, {m["at"]: m["alone"] for m in marks})
                 texts.append(text)
                 dropped.append(gone)
             arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]
@@ -240,7 +242,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", count_col: str = "n_
     rows = apart.select(*carried, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     # A text's recurring lines are no more than its lines.
     lines = recurring_lines(rows, **limits)
-    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("leaf", "low", "high", "alone")).alias("marks"))
+    marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("at", "alone")).alias("marks"))
     marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "marks")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
     out = map_batches(marked, _cleaner(carried), schema).withColumnsRenamed({"text": text_col, "n_dropped": "_count"})
