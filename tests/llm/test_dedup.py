@@ -178,3 +178,25 @@ def test_links_meet_however_large_the_table(n_vectors):
     y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1)[:, None]
     met = [len(np.intersect1d(*(embedding_dedup.caps_of(v, codes, caps) for v in pair))) > 0 for pair in zip(x, y)]
     assert np.mean(met) >= 0.99
+
+
+@pytest.mark.parametrize("dims,n_vectors,least", [(8, 10_000, 0.9), (8, 1_000_000, 0.9), (64, 1_000_000, 0.8), (384, 1_000_000, 0.9), (768, 10_000, 0.9)])
+def test_settings_follow_length_and_cosine(dims, n_vectors, least):
+    """Pairs at the very threshold, other than those that the setting was chosen by."""
+    codes, caps = embedding_dedup.settings_for(dims, n_vectors, least)
+    a, b = embedding_dedup.pairs_at(least, dims, 400, seed=77)
+    assert (embedding_dedup.caps_needed(a, b, codes, caps) <= caps).mean() >= 0.99
+
+
+def test_few_and_mixed_dimensions(spark):
+    """Short vectors of several lengths: links equal those of a comparison of all."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(1, 2, 3, 8)[i % 4]).tolist()) for i in range(400)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    want = dict.fromkeys(range(400), 0)
+    for size in (1, 2, 3, 8):
+        ids = [i for i, v in rows if len(v) == size]
+        units = np.array([rows[i][1] for i in ids])
+        units /= np.linalg.norm(units, axis=1)[:, None]
+        want |= {i: int(n) - 1 for i, n in zip(ids, (units @ units.T >= 0.9).sum(1))}
+    assert sum(want.values()) > 5000 and got == want

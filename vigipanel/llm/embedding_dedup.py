@@ -6,7 +6,10 @@ so a vector's best directions are list-decoded from 3 * CODES inner products.  A
 are the `caps` directions nearest to it, in each of `ROTATIONS` independent codes; vectors that
 share a cap meet there and are verified by their cosine in double precision.  The number of
 directions grows with the number of vectors, so a cap holds few unrelated ones; finer directions
-part near vectors sooner, so a vector's caps grow too, by `caps_for`, which keeps the recall.
+part near vectors sooner, so a vector's caps grow too, by `caps_for`.  How many directions and
+caps a length of vectors needs besides is measured before: `settings_for` draws pairs at exactly the
+wanted cosine and takes the cheapest setting in which every one of them meets.  It knows the
+length, the cosine and the number of vectors, and nothing of the vectors themselves.
 
 Within a cap nothing is paired off in rows: a task holds at most two chunks of a cap's
 members, compares them as matrices, counts each link in its first common cap only, and
@@ -27,14 +30,21 @@ from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches
 from vigipanel.llm.components import components
-from vigipanel.session import materialise
+from vigipanel.session import materialise, small_side
 
 BLOCKS, ROTATIONS, CAPS = 3, 3, 12
 # Vectors up to which CAPS are enough; beyond, caps grow with the cube root of the vectors.
 CAPS_ENOUGH_FOR = 50_000
+# Pairs that must all meet, and the nearest directions of a vector that are tried for it.
+PAIRS, TRIED = 1000, 256
+# What shipping a vector to a cap costs, in comparisons.
+SHIPPING = 50
+# Bits of a direction's number; above them stand the length and the rotation.
+DIRECTION_BITS = 44
 # Members of a cap that are compared as one matrix; larger caps are cut into chunks.
 CHUNK = 1024
 NODE = "vec_id bigint, node binary, dims int, vector binary"
+SETTINGS = "dims int, n_codes int, n_caps int"
 FILTERED = "node binary, copies bigint, dims int, vector binary, caps array<bigint>"
 COUNTED = "node binary, links bigint, root binary"
 
@@ -81,6 +91,12 @@ def code(dims: int, codes: int, rotation: int) -> list[np.ndarray]:
     return out
 
 
+@functools.lru_cache(maxsize=64)
+def corner(width: int, height: int, caps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two falling lists whose sum can be among the `caps` largest."""
+    return np.nonzero(np.outer(np.arange(1, width + 1), np.arange(1, height + 1)) <= caps)
+
+
 def nearest_directions(scores: list[np.ndarray], codes: int, caps: int) -> np.ndarray:
     """List decoding: the `caps` best sums of one score from each block, best-first pruned.
 
@@ -89,8 +105,9 @@ def nearest_directions(scores: list[np.ndarray], codes: int, caps: int) -> np.nd
     total, name = np.zeros(1), np.zeros(1, np.int64)
     for score in scores:
         best = np.argsort(-score, kind="stable")[:caps]
-        sums = (total[:, None] + score[best][None, :]).ravel()
-        names = (name[:, None] * codes + best[None, :]).ravel()
+        i, j = corner(len(total), len(best), caps)
+        sums = total[i] + score[best][j]
+        names = name[i] * codes + best[j]
         keep = np.argsort(-sums, kind="stable")[:caps]
         total, name = sums[keep], names[keep]
     return name
@@ -111,22 +128,82 @@ def caps_of(vector: np.ndarray, codes: int, caps: int) -> np.ndarray:
     out = []
     for rotation in range(ROTATIONS):
         scores = [vector @ block for block in code(dims, codes, rotation)]
-        out.append(nearest_directions(scores, codes, caps) + (dims * ROTATIONS + rotation) * codes**BLOCKS)
+        out.append(nearest_directions(scores, codes, caps) + (dims * ROTATIONS + rotation << DIRECTION_BITS))
     return np.sort(np.concatenate(out))
 
 
-def _filters(codes: int, caps: int):
+def pairs_at(least: float, dims: int, pairs: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors in pairs whose cosine is `least`."""
+    rng = np.random.default_rng([dims, pairs, seed])
+    a, b = rng.normal(size=(2, pairs, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    if dims == 1:
+        return a, a
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    return a, least * a + math.sqrt(max(0.0, 1 - least * least)) * b
+
+
+def caps_needed(a: np.ndarray, b: np.ndarray, codes: int, tried: int) -> np.ndarray:
+    """For each pair of rows, with how many caps a rotation they first share one; beyond
+    `tried`, infinity."""
+    needed = np.full(len(a), np.inf)
+    for rotation in range(ROTATIONS):
+        blocks = code(a.shape[1], codes, rotation)
+        scores_a, scores_b = [a @ m for m in blocks], [b @ m for m in blocks]
+        for i in range(len(a)):
+            left, right = (nearest_directions([x[i] for x in scores], codes, tried) for scores in (scores_a, scores_b))
+            _, at, to = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+            if len(at):
+                needed[i] = min(needed[i], np.maximum(at, to).min() + 1)
+    return needed
+
+
+@functools.lru_cache(maxsize=256)
+def settings_for(dims: int, n_vectors: int, least: float, caps: int = CAPS) -> tuple[int, int]:
+    """(codes, caps) for the vectors of one length.
+
+    Fewer directions part fewer pairs and hold more strangers each.  From the finest on, the
+    directions become fewer until comparing would cost more; with few enough, every vector
+    is in every cap, so there always is a setting.
+    """
+    floor = caps_for(n_vectors, caps)
+    tried = max(TRIED, 2 * floor)
+    a, b = pairs_at(least, dims, PAIRS)
+    codes, best = codes_for(n_vectors, floor), (math.inf, 0, 0)
+    while codes >= 1:
+        needed = caps_needed(a, b, codes, tried).max()
+        if needed < math.inf:
+            own = max(floor, int(needed))
+            cost = own * (SHIPPING + n_vectors * min(1.0, own / codes ** min(BLOCKS, dims)))
+            if cost >= best[0]:
+                break
+            best = cost, codes, own
+        codes = codes * 3 // 5
+    code.cache_clear()
+    return best[1:]
+
+
+def _settings(least: float, caps: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("vector"), batch.column("dims"))
-            found = [caps_of(unit(v.as_py(), d.as_py()), codes, caps) for v, d in pairs]
-            names = ["node", "copies", "dims", "vector"]
-            cols = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.list_(pa.int64()))], [*names, "caps"])
+            sizes = zip(batch.column("dims").to_pylist(), batch.column("n").to_pylist())
+            found = [settings_for(dims, n, least, caps) for dims, n in sizes]
+            arrays = [pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("dims"), *arrays], ["dims", "n_codes", "n_caps"])
 
     return work
 
 
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("vector", "dims", "n_codes", "n_caps")))
+        found = [caps_of(unit(data, dims), codes, caps) for data, dims, codes, caps in rows]
+        names = ["node", "copies", "dims", "vector"]
+        cols = [batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.list_(pa.int64()))], [*names, "caps"])
+
+
 def compare(cap: int, chunks: np.ndarray, units: np.ndarray, caps: list[np.ndarray], copies: np.ndarray, least: float, cross: bool):
     """Links of one cap: for each member the linked vectors first met here, and its least
     member reachable by this cap's links."""
@@ -208,7 +285,7 @@ def near_duplicates(
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors of one length whose cosine is at least `least` are linked.  Null or zero vectors
-    and those with null or non-finite parts are linked with nothing.  Equal directions are one
+    and those with null or non-finite parts are linked with nothing.  Equal vectors are one
     node that counts its rows.  Rows without an id take part; they are kept only if no row of
     their component has an id.  An empty table gives an empty one; other columns are ignored.
     A cosine of exactly `least` links.  Ids are whole numbers or text of them; the cast of
@@ -220,10 +297,9 @@ def near_duplicates(
     nodes = materialise(
         valid.groupBy("node").agg(F.min("vec_id").alias("own_id"), F.count("*").alias("copies"), F.min("dims").alias("dims"), F.min("vector").alias("vector"))
     )
-    n_nodes = nodes.count()
-    caps = caps_for(n_nodes, caps)
-    codes = codes_for(n_nodes, caps)
-    filtered = map_batches(nodes.select("node", "copies", "dims", "vector"), _filters(codes, caps), FILTERED)
+    sizes = nodes.groupBy("dims").agg(F.count("*").alias("n"))
+    settings = small_side(map_batches(sizes, _settings(least, caps), SETTINGS))
+    filtered = map_batches(nodes.select("node", "copies", "dims", "vector").join(settings, "dims"), _filters, FILTERED)
     counted = materialise(_verified(materialise(filtered), least, chunk))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(counted.selectExpr("node a", "root b"))
