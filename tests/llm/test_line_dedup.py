@@ -102,3 +102,15 @@ def test_a_column_called_like_the_count(spark):
     table = spark.createDataFrame([(1, "a b c d.", 9)], "doc_id bigint, text string, n_dropped bigint")
     assert L.drop_recurring(table).collect()[0].asDict() == {"doc_id": 1, "text": "a b c d.", "n_dropped": 0}
     assert L.drop_recurring(table, count_col="gone").columns == ["doc_id", "text", "n_dropped", "gone"]
+
+
+def test_starts_that_are_no_lines_of_the_text():
+    """Marks of another text with the same hash do nothing; short lines inside a run go with it."""
+    first, second = "one two three four five six seven eight nine ten eleven.", "a b c d e f g h i j k."
+    text = f"{first} Yes. {second} The end is not in it."
+    assert L.drop_marked(text, {3: True, 10_000: True}) == (text, 0)
+    marks = {text.index(first): False, text.index(second): False, 7: True}
+    assert L.drop_marked(text, marks) == ("The end is not in it.", 3)
+    assert L.drop_marked(text, {text.index(second): True}) == (f"{first} Yes. The end is not in it.", 1)
+    assert L.drop_marked(text, {text.index(second): False}) == (text, 0)
+    assert L.drop_marked("", {0: True}) == ("", 0)
