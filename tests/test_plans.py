@@ -131,3 +131,23 @@ def test_hot_group_build_equals_the_weekly_build(master, spec):
 def test_weather_of_another_group_is_kept(master):
     one = add_lags(master, ["t2m"], [1], KEYS, WEEK).where("maladie = 'MACHINERY'")
     assert one.count() == master.where("maladie = 'MACHINERY'").count()
+
+
+def test_a_query_fits_the_models_it_names_only(monkeypatch):
+    from types import SimpleNamespace
+
+    from vigipanel.plans import q_models
+
+    calls = []
+
+    def fitted(train, columns, label, specs):
+        calls.append([s.name for s in specs])
+        return [SimpleNamespace(spec=s) for s in specs]
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="fits its models only"))
+    monkeypatch.setattr(q_models, "split_v3", lambda spark, sf: (None, None, []))
+    monkeypatch.setattr(q_models.M, "fit_models", fitted)
+    assert q_models.trained(session, "", "Random Forest").spec.name == "Random Forest"
+    six = [s.name for s in q_models.M.fixed_specs()]
+    assert list(q_models.all_trained(session, "", six)) == six
+    assert calls == [["Random Forest"], [n for n in six if n != "Random Forest"]]
