@@ -230,3 +230,39 @@ def test_registered_models_and_searches_are_full():
     assert "with_params" not in source and "TRIAL" not in source
     assert set(q_models.MODEL_IDS.values()) == {s.name for s in M.fixed_specs()}
     assert q_models.options_sql("gradient_boosting").count("maxDepth") == 16
+
+
+def test_fits_grown_together_are_the_librarys_trees(rows):
+    from vigipanel.ml import grown as G
+
+    marked = M.assemble(rows.select("id", "y", "annee", *COLUMNS), COLUMNS, "__features").repartition(3)
+    trains = {0: marked, 1: marked.where("annee = 1999")}
+    weights = {0: None, 1: M.weight_column(trains[1], "y", "ratio")}
+    settings = [{"maxIter": 12, "maxDepth": 3, "minInstancesPerNode": 7}, {"maxIter": 5, "maxDepth": 2, "stepSize": 0.05}]
+    plans = [G.Plan(r, s) for r in trains for s in settings]
+    # Blocks of several tasks go level by level, those of one task stay in it.
+    many = G.grow(trains, weights, plans, "y")
+    one = G.grow({r: t.coalesce(1) for r, t in trains.items()}, weights, plans, "y")
+    for plan, a, b in zip(plans, many, one, strict=True):
+        spec = M.ModelSpec("GB", "boosted", plan.params, "ratio" if plan.rows else None)
+        library = M.fit(trains[plan.rows].drop("__features"), COLUMNS, "y", spec)
+        want = [r.p for r in library.score(rows).orderBy("id").select("p").collect()]
+        for made in (a, b):
+            own = [r.p for r in M.Fitted(spec, COLUMNS, made, lambda df: df).score(marked).orderBy("id").select("p").collect()]
+            assert own == pytest.approx(want, abs=1e-9)
+            assert made.getNumTrees == plan["maxIter"]
+            assert made.featureImportances.toArray() == pytest.approx(library.model.featureImportances.toArray(), abs=1e-9)
+
+
+def test_a_search_takes_no_fit_of_the_library(rows, monkeypatch):
+    """Dozens of fits of a few jobs a tree took longer than any limit."""
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a fit on its own")
+
+    monkeypatch.setattr(M, "GBTClassifier", refused)
+    blocked = rows.withColumn("block", F.floor(F.col("id") / 100))
+    grid = {"maxIter": (2, 30), "maxDepth": (2,), "subsamplingRate": (0.8,), "featureSubsetStrategy": ("0.8",)}
+    found = M.grid_search(blocked, COLUMNS, "y", M.ModelSpec("GB", "boosted", {}, "ratio"), grid, M.expanding_conditions(3))
+    assert found.results.where("mean_f1 > 0.5").count() == 2
+    assert found.best.importances().agg(F.sum("importance")).first()[0] == pytest.approx(1)
