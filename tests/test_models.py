@@ -5,6 +5,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -244,14 +245,20 @@ def test_fits_grown_together_are_the_librarys_trees(rows):
     many = G.grow(trains, weights, plans, "y")
     one = G.grow({r: t.coalesce(1) for r, t in trains.items()}, weights, plans, "y")
     for plan, a, b in zip(plans, many, one, strict=True):
-        spec = M.ModelSpec("GB", "boosted", plan.params, "ratio" if plan.rows else None)
-        library = M.fit(trains[plan.rows].drop("__features"), COLUMNS, "y", spec)
-        want = [r.p for r in library.score(rows).orderBy("id").select("p").collect()]
+        weight = weights[plan.rows]
+        train = trains[plan.rows].withColumn("w", F.lit(1.0) if weight is None else weight)
+        library = GBTClassifier(featuresCol="__features", labelCol="y", weightCol="w", seed=42, **plan.params).fit(train)
+        scored = library.transform(marked).orderBy("id")
+        want = [r.p for r in scored.select(vector_to_array("probability")[1].alias("p")).collect()]
+        nodes = X.ensemble_nodes(library, rows.sparkSession).toPandas()
         for made in (a, b):
-            own = [r.p for r in M.Fitted(spec, COLUMNS, made, lambda df: df).score(marked).orderBy("id").select("p").collect()]
-            assert own == pytest.approx(want, abs=1e-9)
+            own = made.transform(marked).orderBy("id")
+            assert [r.p for r in own.select(vector_to_array("probability")[1].alias("p")).collect()] == pytest.approx(want, abs=1e-9)
+            # The same leaves with the same rows; nodes are numbered otherwise.
+            leaves = [sorted(zip(n.tree, n.prediction.round(9), n.cover)) for n in (nodes[nodes.left < 0], made.nodes()[made.nodes().left < 0])]
+            assert np.array(leaves[0]) == pytest.approx(np.array(leaves[1]), abs=1e-8)
             assert made.getNumTrees == plan["maxIter"]
-            assert made.featureImportances.toArray() == pytest.approx(library.model.featureImportances.toArray(), abs=1e-9)
+            assert made.featureImportances.toArray() == pytest.approx(library.featureImportances.toArray(), abs=1e-9)
 
 
 def test_a_search_takes_no_fit_of_the_library(rows, monkeypatch):
@@ -260,7 +267,7 @@ def test_a_search_takes_no_fit_of_the_library(rows, monkeypatch):
     def refused(*args, **kwargs):
         raise AssertionError("a fit on its own")
 
-    monkeypatch.setattr(M, "GBTClassifier", refused)
+    monkeypatch.setattr(GBTClassifier, "fit", refused)
     blocked = rows.withColumn("block", F.floor(F.col("id") / 100))
     grid = {"maxIter": (2, 30), "maxDepth": (2,), "subsamplingRate": (0.8,), "featureSubsetStrategy": ("0.8",)}
     found = M.grid_search(blocked, COLUMNS, "y", M.ModelSpec("GB", "boosted", {}, "ratio"), grid, M.expanding_conditions(3))
