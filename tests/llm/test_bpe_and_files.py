@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vigipanel.llm import bpe, token_files
+from vigipanel.llm.common import CACHE_ENTRIES, LATIN, latin_pattern
 from vigipanel.llm.elias_fano import EliasFano
 from vigipanel.session import scratch_path
 
@@ -52,6 +53,33 @@ def test_chunks_give_the_libraries_ids(tik):
         assert ids_of(files, text, "<u4") == library.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_cut_at_once_and_kept_by_piece(tik):
+    assert latin_pattern(public_tokenizers.PATTERN).findall("l'été x9  y") == ["l", "'", "été", " x", "9", " ", " y"]
+    assert latin_pattern(r"\p{Lu}+|.") is None
+    own, files = bpe.encoder(RANKS, public_tokenizers.PATTERN), token_files.encoder(JSON)
+    library = Tokenizer.from_file(JSON)
+    for cache in (own, files):
+        cache.forget()
+    for c in map(chr, range(ord(LATIN))):
+        for text in (f"a{c}b", f"a {c} b", f"a{c * 3}b", f"a  {c}9"):
+            assert ids_of(own, text, "<i4") == tik.encode_ordinary(text)
+            assert ids_of(files, text, "<u4") == library.encode(text, add_special_tokens=False).ids
+    # A word is kept once, whatever stands beside it.
+    for cache in (own, files):
+        assert not len(cache) and len(cache.others)
+
+
+def test_caches_of_byte_bpe_stay_small(monkeypatch):
+    own = bpe.Vocabulary(bpe.read_ranks(RANKS))
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    draw = random.Random(5)
+    for _ in range(200):
+        bpe.Prefixes(own, bytes(draw.choices(b"abcdefghij", k=12)))
+        assert len(own.pairs) <= 50 and len(own.older) <= 50
+    cache = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    assert cache.entries == cache.others.entries == bpe.PIECES < CACHE_ENTRIES
+
+
 @given(st.binary(min_size=1, max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_prefix_table_is_the_definition(data):

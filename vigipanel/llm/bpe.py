@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import CACHE_ENTRIES, ChunkCache, keep, map_batches
+from vigipanel.llm.common import ChunkCache, keep, latin_pattern, map_batches
 
 TOKENS = "doc_id bigint, ids array<int>"
 DECODED = TOKENS + ", bytes binary"
 # Caches are kept under this name between tasks.
 OWNER = "byte-level BPE"
 NEVER = 1 << 60
+# Entries of a generation of the caches of pieces and of neighbours: a task has a worker that
+# encodes and one that decodes, beside those that earlier operators have left idle.
+PIECES, PAIRS = 200_000, 200_000
 
 
 class Vocabulary:
@@ -97,7 +100,7 @@ class Vocabulary:
             known = self.older.get(key)
             if known is None:
                 known = self._fits(left, right)
-            if len(self.pairs) >= CACHE_ENTRIES:
+            if len(self.pairs) >= PAIRS:
                 self.older = dict(self.pairs)
                 self.pairs.clear()
             self.pairs[key] = known
@@ -201,14 +204,14 @@ def encoder(path: str, pattern: str) -> ChunkCache:
     """
     import regex
 
-    own, matches = vocabulary(path), regex.compile(pattern).findall
+    own, matches, latin = vocabulary(path), regex.compile(pattern).findall, latin_pattern(pattern)
 
     def word(piece: str) -> bytes:
         data = piece.encode()
         whole = own.ranks.get(data)
         return array("i", [whole] if whole is not None else Prefixes(own, data).tokens()).tobytes()
 
-    cache = ChunkCache(matches, word)
+    cache = ChunkCache(matches, word, latin and latin.findall, PIECES)
     for held in (cache, own):
         keep(OWNER, held.forget)
     return cache

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import ChunkCache, keep, map_batches
+from vigipanel.llm.common import BEYOND_LATIN, ChunkCache, keep, latin_pattern, map_batches
 from vigipanel.llm.elias_fano import EliasFano
 
 # Caches are kept under this name between tasks.
@@ -41,14 +41,18 @@ DOCUMENT = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids bin
 # characters from 256 on, in order.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
-# Letters, digits and blanks below this character are the same in every Unicode version, so
-# words may be cut here as the library cuts them; other chunks it cuts itself.
-LATIN = "\u0250"
+# Of printable ASCII only the space has another character.
+SPACE = chr(BYTE_CHARS[32])
+# Entries of a generation of the cache of pieces.
+PIECES = 600_000
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkCache:
-    """Ids of a chunk as little-endian uint32 bytes, by the tokenizers library."""
+    """Ids of a chunk as little-endian uint32 bytes, by the tokenizers library.
+
+    Texts of Latin letters are cut here as the library cuts them; other chunks it cuts itself.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     import regex
@@ -56,18 +60,22 @@ def encoder(path: str) -> ChunkCache:
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True  # a special token's name in a text is ordinary text
-    matches, model = regex.compile(public_tokenizers.PATTERN).findall, library.model
+    latin = latin_pattern(public_tokenizers.PATTERN)
+    matches, model = (latin or regex.compile(public_tokenizers.PATTERN)).findall, library.model
 
     def split(text: str) -> list[str]:
-        return matches(text) if max(text) < LATIN else [text]
+        return [text] if BEYOND_LATIN.search(text) else matches(text)
 
     def encode(piece: str) -> bytes:
-        if max(piece) < LATIN:
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", SPACE)
+        elif not BEYOND_LATIN.search(piece):
             mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
-            return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
-        return array("I", library.encode(piece, add_special_tokens=False).ids).tobytes()
+        else:
+            return array("I", library.encode(piece, add_special_tokens=False).ids).tobytes()
+        return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
 
-    cache = ChunkCache(split, encode)
+    cache = ChunkCache(split, encode, latin and latin.findall, PIECES)
     keep(OWNER, cache.forget)
     return cache
 
@@ -150,7 +158,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             part, before, doc_ids, payload = (batch.column(c)[row].as_py() for c in range(4))
             shard = Shard(payload)
-            ends = np.array([shard.ends.select(i) for i in range(shard.ends.n)], np.int64)
+            ends = shard.ends.all().astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             flat = shard.array.astype("<u4").tobytes()
             ids = [flat[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
