@@ -273,3 +273,16 @@ def test_a_search_takes_no_fit_of_the_library(rows, monkeypatch):
     found = M.grid_search(blocked, COLUMNS, "y", M.ModelSpec("GB", "boosted", {}, "ratio"), grid, M.expanding_conditions(3))
     assert found.results.where("mean_f1 > 0.5").count() == 2
     assert found.best.importances().agg(F.sum("importance")).first()[0] == pytest.approx(1)
+
+
+def test_candidate_splits_of_all_sets_come_from_one_job(spark):
+    from vigipanel.ml import grown as G
+
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), 1.0) for i in range(40)], "a double, b double, __w double")
+    train = M.assemble(rows, ["a", "b"], "__features")
+    sets = {0: train, 3: train.where("a < 4")}
+    found = G.candidates(sets, {n: t.count() for n, t in sets.items()}, "__features", 1)
+    assert {n: [p.tolist() for p in points] for n, points in found.items()} == {
+        0: [[0.5, 1.5, 2.5, 3.5, 4.5, 5.5], [0.5, 1.5]],
+        3: [[0.5, 1.5, 2.5], [0.5, 1.5]],
+    }
