@@ -71,7 +71,7 @@ def test_latin_texts_are_cut_at_once_and_kept_by_piece(tik):
 
 def test_caches_of_byte_bpe_stay_small(monkeypatch):
     own = bpe.Vocabulary(bpe.read_ranks(RANKS))
-    monkeypatch.setattr(bpe, "PAIRS", 50)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
     draw = random.Random(5)
     for _ in range(200):
         bpe.Prefixes(own, bytes(draw.choices(b"abcdefghij", k=12)))

@@ -26,9 +26,9 @@ DECODED = TOKENS + ", bytes binary"
 # Caches are kept under this name between tasks.
 OWNER = "byte-level BPE"
 NEVER = 1 << 60
-# Entries of a generation of the caches of pieces and of neighbours: a task has a worker that
+# Entries of a generation of the caches, of pieces and of neighbours: a task has a worker that
 # encodes and one that decodes, beside those that earlier operators have left idle.
-PIECES, PAIRS = 200_000, 200_000
+PIECES = CACHE_ENTRIES = 200_000
 
 
 class Vocabulary:
@@ -100,7 +100,7 @@ class Vocabulary:
             known = self.older.get(key)
             if known is None:
                 known = self._fits(left, right)
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= CACHE_ENTRIES:
                 self.older = dict(self.pairs)
                 self.pairs.clear()
             self.pairs[key] = known
