@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigipanel.llm import bpe, decontaminate, line_templates, minhash, toxicity
 from vigipanel.llm.common import set_aside, table
-from vigipanel.session import scratch_path
+from vigipanel.session import materialise, scratch_path
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -50,9 +50,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of the ids and of the bytes decoded from them."""
+    """Token ids of every text, and digests of the ids and of the bytes decoded from them.
+
+    Ids are stored before they are decoded: in one job each task would hold a worker that encodes
+    and one that decodes, both with all that workers keep between tasks.
+    """
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    tokens = materialise(bpe.encode(docs, ranks, public_tokenizers.PATTERN))
     return bpe.digests(bpe.decode(tokens, ranks))
 
 

@@ -24,3 +24,14 @@ def test_stages_keep_odd_rows(spark):
     assert docs.where("doc_id = 4").count() == 1 and docs.where("doc_id = 4").first().text == text
     last = pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(str(r.doc_id) for r in last) == ["1", "2", "3", "4", "5", "6", "None"]
+
+
+def test_ids_are_stored_before_they_are_decoded(spark):
+    """A task of byte_bpe has one Python step: a second would hold a second worker's memory."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "One text of some words."), (2, None), (None, "")], "doc_id bigint, text string")
+    out = pipeline.byte_bpe(spark, docs, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in out.collect()) == [("1", True), ("2", False), ("None", False)]
