@@ -200,3 +200,17 @@ def test_few_and_mixed_dimensions(spark):
         units /= np.linalg.norm(units, axis=1)[:, None]
         want |= {i: int(n) - 1 for i, n in zip(ids, (units @ units.T >= 0.9).sum(1))}
     assert sum(want.values()) > 5000 and got == want
+
+
+def test_shingle_sets_equal_a_plain_cut():
+    """Sets of a group of texts: as many shingles as a plain cut finds, equal where its sets are."""
+    draw = random.Random(5)
+    words = ["a", "B", "b", "\u00c9", "x" * 129, "\x1c", "12345678", "123456789"]
+    texts = [None, "", " ", *("".join(draw.choice(words) + draw.choice([" ", "\t\n", "\x0b"]) for _ in range(draw.randrange(9))) for _ in range(500))]
+    plain = []
+    for text in texts:
+        own = (text or "").encode().lower().split()
+        plain.append(frozenset(tuple(own[i : i + 3]) for i in range(max(1, len(own) - 2))) if own else frozenset())
+    got = [tuple(s.tolist()) for s in minhash.shingle_sets(texts, 3)]
+    assert [len(s) for s in got] == [len(s) for s in plain] and all(list(s) == sorted(set(s)) for s in got)
+    assert len(set(zip(got, plain))) == len(set(got)) == len(set(plain))

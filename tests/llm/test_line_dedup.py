@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 from llm.test_dedup import brute as near_groups
 from pyspark.sql import functions as F
 
@@ -114,3 +115,41 @@ def test_starts_that_are_no_lines_of_the_text():
     assert L.drop_marked(text, {text.index(second): True}) == (f"{first} Yes. The end is not in it.", 1)
     assert L.drop_marked(text, {text.index(second): False}) == (text, 0)
     assert L.drop_marked("", {0: True}) == ("", 0)
+
+
+def test_lines_on_arrays_are_those_of_the_parse():
+    """Starts and tokens of every line as `parse` has them, and equal bits just where those are equal."""
+    draw = random.Random(7)
+    parts = ["a", "b", "Word", "x1", "@", "z@z", "12", "http://x", "://", "...", ".", "!", "?", "-", "(a)", "1.", "2!", "a.b", "==" * 20]
+    parts += ["\n", "\n\n", " ", "\u00a0", "\u3000", "\r", "\x1c", "\x85", "\u0130", "\u0391\u03a3", "\u00e9.", "\U0001f600", "w" * 128, "w" * 129]
+    texts = ["".join(draw.choice(parts) + draw.choice(["", " ", " "]) for _ in range(draw.randrange(60))) for _ in range(3000)]
+    texts += [t for t in corpus() if t]
+    for own in ([t for t in texts if t.isascii()], texts, ["", " \n"]):
+        want = [(i, at, len(tokens), leaf, *L.tail_of(tokens)) for i, t in enumerate(own) for at, _, tokens, leaf in L.parse(t) if leaf is not None]
+        got = [*zip(*(column.tolist() for column in L.lines_of(own)))]
+        assert [row[:3] for row in got] == [row[:3] for row in want]
+        for bits in (slice(2, 4), slice(2, 6)):
+            pairs = {(a[bits], b[bits]) for a, b in zip(got, want)}
+            assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_lines_take_no_python_step_for_each(monkeypatch):
+    """The parse of all lines goes by arrays: the plain one, line by line, is not called."""
+    monkeypatch.setattr(L, "parse", None)
+    monkeypatch.setattr(L, "tail_of", None)
+    texts = ["One two three four five six seven. Yes. Eight nine ten eleven\ntwelve.", "\u00e9l\u00e8ve a b c d.", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(texts)], ["text_key", "text"])
+    rows = [row for out in L._parsed(iter([batch])) for row in out.to_pylist()]
+    assert [(r["text_key"], r["at"], r["n_lines"]) for r in rows] == [(7, 0, 2 << 3 | 1), (7, 40, 2 << 3), (8, 0, 1 << 3)]
+
+
+def test_only_lines_around_the_marks_are_cut_again(monkeypatch):
+    """Line breaks bound lines, so paragraphs before the first mark and after the last one are left alone."""
+    before, after = "Some other words. " * 50, "Still other words! " * 50
+    line = " ".join(f"w{i}" for i in range(L.RUN_TOKENS)) + "."
+    text = f"{before}\n{line}\n\n{after}"
+    cut = []
+    segment = L.SEGMENT
+    monkeypatch.setattr(L, "SEGMENT", type("Cut", (), {"finditer": lambda _, *a: [cut.append(m) or m for m in segment.finditer(*a)]})())
+    assert L.drop_marked(text, {len(before) + 1: False}) == (f"{before}\n{after}", 1)
+    assert [m[0] for m in cut] == [line]

@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches, set_aside
-from vigipanel.llm.minhash import near_duplicates
+from vigipanel.llm.minhash import ODD, groups, mixed, near_duplicates, span_hashes, spans
 from vigipanel.session import materialise, small_side
 
 # Up to a line break, or to a sentence's end before a blank.
@@ -54,6 +55,14 @@ COPY_WORDS, COPY_PERCENT, COPY_LINES = 5, 80, 3
 PARSED = "text_key bigint, at int, n_lines int, leaf bigint, low bigint, high bigint"
 CLEANED = "n_dropped bigint, text string"
 HALF = (1 << 32) - 1
+# Blanks beyond ASCII, and classes of bytes: blanks, punctuation, what makes a token a field ("@" is both).
+BLANKS = [c for c in map(chr, range(128, 0x3001)) if c.isspace()]
+BLANK, SIGN, MARK = 1, 2, 4
+CLASSES = bytes(
+    BLANK * chr(c).isspace() + SIGN * (chr(c) in string.punctuation) + MARK * (chr(c) in "0123456789@") if c < 128 else 0 for c in range(256)
+)
+# The hash of a variable field.
+FIELD = np.uint64(xxhash.xxh3_64_intdigest("<*>") | 1)
 
 
 def _tokens(line: str) -> list[str]:
@@ -100,24 +109,111 @@ def tail_of(tokens: list[str]) -> tuple[int, int]:
     return parts[0] | parts[1] << 32, parts[2] | parts[3] << 32
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each byte, and where words start and end."""
+    classes = np.frombuffer(data.translate(CLASSES), np.uint8)
+    return classes, *spans(classes == BLANK)
+
+
+def _word_hashes(data: bytes, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each lower-case word without the punctuation around it: 0 for signs alone, odd for a variable field."""
+    starts, ends, sign = starts.copy(), ends.copy(), (classes & SIGN) > 0
+    for side, step, inside in ((starts, 1, 0), (ends, -1, -1)):
+        bare = np.flatnonzero(sign[side + inside] & (starts < ends))
+        for _ in range(8):
+            side[bare] += step
+            bare = bare[starts[bare] < ends[bare]]
+            bare = bare[sign[side[bare] + inside]]
+        for i in bare.tolist():
+            word = data[starts[i] : ends[i]].strip(string.punctuation.encode())
+            starts[i] = data.index(word, starts[i])
+            ends[i] = starts[i] + len(word)
+    hashes = np.maximum(span_hashes(data, starts, ends) & ~np.uint64(1), np.uint64(2)) * (starts < ends)
+    schemes = np.array([m.start() for m in re.finditer(b"://", data)], np.int64)
+    for found, length in ((np.flatnonzero(classes >= MARK), 1), (schemes, 3)):
+        word = np.searchsorted(starts, found, side="right") - 1
+        word = word[(word >= 0) & (found + length <= ends[word])]
+        hashes[word] |= np.uint64(1)
+    return hashes
+
+
+def _last_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words are the last of their line, as SEGMENT cuts it: those that end in one of its
+    signs, or stand before a line break.  A sign by itself that opens a line does not end it."""
+    codes = np.frombuffer(data, np.uint8)
+    broken = np.zeros(len(starts) + 1, bool)
+    broken[np.searchsorted(starts, np.flatnonzero(codes == ord("\n"))) - 1] = True
+    broken[len(starts) - 1] = True
+    end = codes[ends - 1]
+    sign = (end == ord(".")) | (end == ord("!")) | (end == ord("?"))
+    last = broken[:-1] | sign
+    for i in np.flatnonzero(sign & (ends - starts == 1)).tolist():
+        if i == 0 or last[i - 1]:
+            last[i] = broken[i]
+    return last
+
+
+def lines_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of all lines that `parse` gives a leaf: number of the text, start, number of tokens, leaf, low, high.
+
+    The same as `parse` and `tail_of` of each line, on arrays of the words of all texts: the hash of
+    a leaf or of a slice is a sum over its words, each mixed with its place.
+    """
+    text = "\n".join(texts)
+    plain = text.isascii()
+    for blank in () if plain else BLANKS:
+        text = text.replace(blank, " ")
+    data, low = text.encode(), text.lower().encode()
+    classes, starts, ends = _words(data)
+    words = _word_hashes(low, *((classes, starts, ends) if plain else _words(low)))
+    last = _last_words(data, starts, ends)
+    line = np.cumsum(last) - last
+    begins = starts[np.append(True, last[:-1])[: len(last)]]
+    if not plain:
+        # From bytes to characters.
+        begins = begins - np.searchsorted(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) == 0x80), begins)
+    there = words != 0
+    size = np.bincount(line[there], minlength=len(begins))
+    there &= (size >= LEAST_TOKENS)[line]
+    words, line = words[there], line[there]
+    begins, size = begins[size >= LEAST_TOKENS], size[size >= LEAST_TOKENS]
+    first = np.cumsum(size) - size
+    place = np.arange(len(words)) - np.repeat(first, size)
+    varies = (words & np.uint64(1)).astype(bool)
+    masked = np.where(varies, FIELD, words)
+    seed = place.astype(np.uint64) * ODD[1]
+    total = lambda of, where: np.add.reduceat(np.where(where, of, np.uint64(0)), first) if len(first) else of
+    lead, parts = place < DEPTH, mixed(masked * ODD[0] + seed)
+    fields = np.logical_and.reduceat(varies | ~lead, first) if len(first) else varies
+    # Fields alone are no template.
+    own = total(mixed(words * ODD[0] + seed), lead & np.repeat(fields, size)) if fields.any() else np.uint64(0)
+    leaf = mixed(np.where(fields, own, total(parts, lead)) + size.astype(np.uint64) * ODD[2])
+    slices = np.clip(size - DEPTH, 0, SLICES)
+    slot = np.where(lead, SLICES, (place - DEPTH) % SLICES)
+    found = [mixed(total(parts, slot == i)) for i in range(SLICES)]
+    whole = [np.maximum(h, np.uint64(1)) for h in found]
+    half = [np.maximum(h & np.uint64(HALF), np.uint64(1)) * (slices > i) for i, h in enumerate(found)]
+    few, shift, none = slices <= 2, np.uint64(32), np.uint64(0)
+    low = np.where(few, np.where(slices > 0, whole[0], none), half[0] | half[1] << shift)
+    high = np.where(few, np.where(slices > 1, whole[1], none), half[2] | half[3] << shift)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = np.searchsorted(offsets, begins, side="right") - 1
+    return owner, begins - offsets[owner], size, leaf, low, high
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PARSED.split(", ")]
     for batch in batches:
-        key, place, count, lines = [], [], [], []
-        for text_key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = [(at, leaf, tokens) for at, _, tokens, leaf in parse(value.as_py()) if leaf is not None]
-            key += [text_key] * len(found)
-            place += [at for at, _, _ in found]
-            # How many slices a tail has follows from the number of tokens.
-            count += [len(found) << 3 | max(0, min(SLICES, len(tokens) - DEPTH)) for _, _, tokens in found]
-            lines += [(leaf, *tail_of(tokens)) for _, leaf, tokens in found]
-        leaf, low, high = zip(*lines) if lines else ((), (), ())
-        arrays = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(count, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*arrays, *map(_signed, (leaf, low, high))], names)
+        rows = [*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        # Texts of ASCII alone take fewer steps, so they stand together.
+        for plain in (True, False):
+            keys, texts = np.array([k for k, t in rows if t.isascii() == plain], np.int64), [t for _, t in rows if t.isascii() == plain]
+            for a, b in groups(texts):
+                owner, at, size, *bits = lines_of(texts[a:b])
+                # How many slices a tail has follows from the number of tokens.
+                count = np.bincount(owner, minlength=b - a)[owner] << 3 | np.clip(size - DEPTH, 0, SLICES)
+                arrays = [keys[a:b][owner], at.astype(np.int32), count.astype(np.int32), *(x.view(np.int64) for x in bits)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names)
 
 
 def templates():
@@ -151,7 +247,9 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: i
     texts = rows.where("length(text) > 0").select("text_key", "text")
     parsed = materialise(map_batches(texts, _parsed, PARSED))
     ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
-    lines = materialise(parsed.join(ends.where("least <> most").select("leaf"), "leaf").distinct())
+    # Few leaves are shared, so that those of a partition are hashed rather than all lines sorted.
+    several = ends.where("least <> most").select("leaf").hint("shuffle_hash")
+    lines = materialise(parsed.join(several, "leaf").distinct())
     shared = lines.groupBy("text_key").agg(F.count("*").alias("shared"), F.max(F.shiftright("n_lines", 3)).alias("n"))
     # Where there are few of them, their texts are picked out without a shuffle of all texts.
     alike = small_side(shared.where(COPY_LINES * F.col("shared") >= F.col("n")).select("text_key"))
@@ -177,7 +275,11 @@ def drop_marked(text: str, marks: dict[int, bool]) -> tuple[str, int]:
     no line's is of another text with the same hash.  Short lines between two recurring ones
     belong to the run.  Of a run with too few tokens the lines that go alone are dropped.
     """
-    lines = [m.span() for m in SEGMENT.finditer(text)]
+    if not marks:
+        return text, 0
+    # Lines end at line breaks, so those before the first mark and after the last one are as they are.
+    first, last = text.rfind("\n", 0, min(marks)) + 1, text.find("\n", max(marks))
+    lines = [m.span() for m in SEGMENT.finditer(text, first, len(text) if last < 0 else last)]
     numbers = {start: i for i, (start, _) in enumerate(lines)}
     alone = {numbers[start]: by_itself for start, by_itself in marks.items() if start in numbers}
     size = functools.cache(lambda at: len(_tokens(text[slice(*lines[at])])))
@@ -215,11 +317,13 @@ def drop_lines(text: str, recurring: set[tuple[int, int, int]], alone: set[tuple
 def _cleaner(carried: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, dropped = [], []
-            for value, found in zip(batch.column("text"), batch.column("marks")):
-                text, marks, gone = value.as_py(), found.as_py(), 0
-                if marks:
-                    text, gone = drop_marked(text, {m["at"]: m["alone"] for m in marks})
+            texts, dropped, column = [], [], batch.column("marks")
+            at, alone = (part.to_pylist() for part in column.flatten().flatten())
+            marks = iter(zip(at, alone))
+            for text, n in zip(batch.column("text").to_pylist(), pc.list_value_length(column).to_pylist()):
+                gone = 0
+                if n:
+                    text, gone = drop_marked(text, dict(itertools.islice(marks, n)))
                 texts.append(text)
                 dropped.append(gone)
             arrays = [pa.array(dropped, pa.int64()), pa.array(texts, pa.string())]

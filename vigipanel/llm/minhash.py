@@ -25,16 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigipanel.llm.common import Cache, map_batches
+from vigipanel.llm.common import map_batches
 from vigipanel.llm.components import components
 from vigipanel.session import materialise, small_side
 
 BINS, ROWS = 160, 5
+EDGES = (np.arange(BINS + 1, dtype=np.float64) / BINS * 2.0**64)[1:-1].astype(np.uint64)
 STAR_ROUNDS = 2
 SKETCH = "doc_id bigint, alt bigint, n_shingles bigint, node binary, bands array<bigint>"
 SHINGLES = "doc_id bigint, alt bigint, node binary, shingles array<bigint>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
+# Characters that are taken apart at a time, a longer text at once; longer words are hashed one by one.
+GROUP_CHARS, LONG_WORD = 1 << 18, 128
+ASCII_BLANK = bytes(c in b" \t\n\r\x0b\x0c" for c in range(256))
+# The first bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
@@ -43,25 +50,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest)
+def spans(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs between blanks start and end."""
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    return edges[::2], edges[1::2]
 
 
-def shingle_set(text: str | None, size: int, hashes: Cache) -> np.ndarray:
-    """Rising distinct 64-bit hashes of the word shingles of a text, empty without words.
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the bytes of each span, eight bytes of all spans at a time; those of long spans one by one."""
+    size = ends - starts
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    hashes, at, left = size.astype(np.uint64), 0, np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    while len(left):
+        part = eight[starts[left] + at] & FIRST[np.minimum(size[left] - at, 8)]
+        hashes[left] = mixed(hashes[left] * ODD[0] + part * ODD[1])
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return hashes
 
-    Lower-case A-Z, words between ASCII blanks; a text of fewer words is one shingle.
-    """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(h))
-    n = len(h) - size + 1
+
+def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of about GROUP_CHARS characters together."""
+    first = chars = 0
+    for i, text in enumerate(texts, 1):
+        chars += len(text or "")
+        if chars >= GROUP_CHARS or i == len(texts):
+            yield first, i
+            first, chars = i, 0
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    n = len(words) - size + 1
     total = np.full(n, size, np.uint64)
     for i in range(size):
-        total = mixed(total * ODD[0] + h[i : i + n] * ODD[1])
-    return np.unique(total)
+        total = mixed(total * ODD[0] + words[i : i + n] * ODD[1])
+    return total
+
+
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """Of each text the rising distinct 64-bit hashes of its word shingles, empty without words.
+
+    Lower-case A-Z, words between ASCII blanks; a text of fewer words is one shingle.
+    """
+    for first, last in groups(texts):
+        parts = [(text or "").encode() for text in texts[first:last]]
+        data = b"\n".join(parts).lower()
+        starts, ends = spans(np.frombuffer(data.translate(ASCII_BLANK), np.bool_))
+        words = span_hashes(data, starts, ends)
+        whole = _shingles(words, size) if len(words) >= size else words[:0]
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(part) + 1 for part in parts)])).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            own = np.sort(whole[a : b - size + 1] if b - a >= size else _shingles(words[a:b], b - a) if a < b else words[:0])
+            yield own[np.append(True, own[1:] != own[:-1])[: len(own)]]
 
 
 @functools.lru_cache(maxsize=1)
@@ -71,10 +113,9 @@ def borrow_order() -> np.ndarray:
     return np.stack([rng.permutation(BINS) for _ in range(BINS)])
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """Band hashes of a rising, non-empty set."""
-    edges = (np.arange(BINS + 1, dtype=np.float64) / BINS * 2.0**64)[1:-1].astype(np.uint64)
-    first = np.concatenate([[0], np.searchsorted(shingles, edges)])
+def signature_of(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of each bin of a rising, non-empty set."""
+    first = np.concatenate([[0], np.searchsorted(shingles, EDGES)])
     filled = np.diff(np.concatenate([first, [len(shingles)]])) > 0
     signature = shingles[np.minimum(first, len(shingles) - 1)]
     empty = np.flatnonzero(~filled)
@@ -82,23 +123,29 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
         order = borrow_order()[empty]
         donor = order[np.arange(len(empty)), filled[order].argmax(1)]
         signature[empty] = signature[donor]
-    rows = signature.reshape(-1, ROWS)
-    total = np.arange(len(rows), dtype=np.uint64)
+    return signature
+
+
+def bands_of(signatures: list[np.ndarray]) -> np.ndarray:
+    """Band hashes, a row for each signature."""
+    rows = np.array(signatures, np.uint64).reshape(len(signatures), BINS // ROWS, ROWS)
+    total = np.tile(np.arange(BINS // ROWS, dtype=np.uint64), (len(rows), 1))
     for i in range(ROWS):
-        total = mixed(total * ODD[2] + rows[:, i] * ODD[3])
+        total = mixed(total * ODD[2] + rows[:, :, i] * ODD[3])
     return total
 
 
 def _sketch(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in batches:
-            count, node, bands = [], [], []
-            for text in batch.column(2):
-                shingles = shingle_set(text.as_py(), size, hashes)
+            count, node, signatures = [], [], []
+            for shingles in shingle_sets(batch.column(2).to_pylist(), size):
                 count.append(len(shingles))
                 node.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-                bands.append(bands_of(shingles).view(np.int64) if len(shingles) else None)
+                if len(shingles):
+                    signatures.append(signature_of(shingles))
+            found = iter(bands_of(signatures).view(np.int64))
+            bands = [next(found) if n else None for n in count]
             arrays = [pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *arrays], ["doc_id", "alt", "n_shingles", "node", "bands"]
@@ -109,9 +156,8 @@ def _sketch(size: int):
 
 def _sets(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), size, hashes) for text in batch.column(2)]
+            sets = [*shingle_sets(batch.column(2).to_pylist(), size)]
             node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             arrays = [pa.array(node, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "alt", "node", "shingles"])
@@ -123,9 +169,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold."""
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    # 100 * both >= percent * union, with the union spelt out, so that the intersection is made once.
     both = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - both
-    return pairs.where(100 * both >= percent * union).select("a", "b")
+    return pairs.where((100 + percent) * both >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def _comparable(percent: int):
@@ -156,22 +202,26 @@ def _star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of different components among `members` that can still be similar.
 
-    Shingles are put in order of their frequency among the members.  With the common part of
-    two sets at least `need` long, their first common shingle has at least that many behind
-    it in both, so each set is entered under its first few shingles only.  Under a shingle,
-    the members outside its main component are paired with all others.
+    Shingles are put in one order: first those that a single component has, then by their
+    frequency among the members.  With the common part of two sets at least `need` long, their
+    first common shingle has at least that many behind it in both, so each set is entered under
+    its first few shingles only, and under none that its component has for itself: those are
+    only counted.  Under a shingle, the members outside its main component are paired with all others.
     """
     nodes = members.select("node", "n", "component").distinct()
-    shingles = nodes.join(sets, "node").select("node", "n", "component", F.explode("shingles").alias("shingle"))
-    known = shingles.groupBy("shingle").agg(F.count("*").alias("times"))
+    shingles = nodes.join(sets, "node").select("node", F.xxhash64("component").alias("part"), F.explode("shingles").alias("shingle"))
+    spread = (F.count("*").alias("times"), F.min("part").alias("low"), F.max("part").alias("high"))
+    known = shingles.groupBy("shingle").agg(*spread).where("low <> high").select("shingle", "times")
     ordered = (
-        shingles.join(known, "shingle")
-        .groupBy("node", "n", "component")
+        shingles.select("node", "shingle").join(known, "shingle")
+        .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("rarest"))  # one text's shingles
     )
-    first = F.slice("rarest", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    entries = ordered.select("node", "n", "component", F.posexplode(first).alias("place", "entry"))
-    entries = materialise(entries.where("entry.times > 1").select("node", "n", "component", "place", "entry.shingle"))
+    before = F.col("n") - F.size("rarest")
+    first = F.slice("rarest", F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - before, F.lit(0)).cast("int"))
+    entries = nodes.join(ordered, "node").select("node", "n", "component", before.alias("before"), F.posexplode(first).alias("place", "entry"))
+    place = (F.col("before") + F.col("place")).alias("place")
+    entries = materialise(entries.select("node", "n", "component", place, "entry.shingle"))
     sizes = entries.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
     marked = entries.join(main.where("parts > 1").select("shingle", F.col("main.component").alias("main")), "shingle")
