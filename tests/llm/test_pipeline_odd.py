@@ -35,3 +35,13 @@ def test_ids_are_stored_before_they_are_decoded(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert sorted((str(r.doc_id), r.n_tokens > 0) for r in out.collect()) == [("1", True), ("2", False), ("None", False)]
+
+
+def test_passages_are_found_before_they_are_cut(spark):
+    """So it is in decontamination: one Python step in the job that cuts."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "One text of some words."), (2, None)], "doc_id bigint, text string")
+    out = pipeline.benchmark_decontamination(spark, docs, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "One text of some words."), (2, None)]

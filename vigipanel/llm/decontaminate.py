@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches, set_aside
+from vigipanel.session import materialise
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -243,12 +244,13 @@ def clean(
     up more than the share `max_coverage` goes as a whole.  Other texts stay as they are, null and
     empty ones among them; repeated rows are treated alike, rows without an id like others, an
     empty table on either side changes nothing.  Columns are kept whatever they are called.
+    What the scan finds is stored, so that no task holds workers that scan and one that cuts.
     """
     text_col = names.get("text_col", "text")
     id_col = names.get("id_col", "doc_id")
     apart, back = set_aside(docs, id_col, text_col)
     carry = tuple(back)
-    found = scan(apart, benchmark, carry=carry, **names)
+    found = materialise(scan(apart, benchmark, carry=carry, **names))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema[: len(carry) + 2])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
