@@ -78,6 +78,36 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, size, percent, ro
     assert got == brute(list(zip(ids, texts)), size, percent)
 
 
+def test_a_group_just_below_the_threshold_does_not_make_all_its_pairs(spark, monkeypatch):
+    """Copies of one text with four edits each: every two of them have a rare shingle in common."""
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(100):
+        own = list(base)
+        for place in draw.sample(range(2, 150, 5), 4):
+            own[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(own)))
+    rows += [(100, rows[5][1] + " y"), (101, " ".join(base[:-1]))]
+    made, linked = [], minhash.linked
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "linked", lambda pairs, *rest: made.append(pairs.count()) or linked(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert sum(made) < 5 * len(rows)
+
+
+def test_parity_never_differs_in_more_places_than_sets(spark):
+    draw = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 0), (40, 45, 38), (3000, 2000, 900)):
+        hashes = draw.integers(0, 1 << 64, n + m, dtype=np.uint64)
+        bits = [np.unpackbits(minhash.parity_of(np.sort(s)).view(np.uint8)) for s in (hashes[:n], hashes[n - both : n - both + m])]
+        assert len(bits[0]) == minhash.PARITY
+        assert (bits[0] != bits[1]).sum() <= n + m - 2 * both
+    assert not minhash.parity_of(hashes[:0]).any()
+
+
 def test_near_duplicates_without_ids_and_repeated(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "q r s t u v"), (7, "q r s t u v"), (None, "q r s t u v"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -9,9 +9,15 @@ probability (1 - 0.85 ** 5) ** 32 < 1e-8.
 In a bucket, members are compared with one centre, the one that shares the most buckets with
 others, so pairs grow with members and not with their square.  A star alone would lose a link
 whose ends are both far from the centre.  So a second round takes other centres where a bucket
-still holds several components, and what is left is joined exactly: sets of the threshold's
-similarity must share a shingle among the rarest few of both, at places that leave room for
-the overlap, and only pairs of different components are looked at.
+still holds several components, and of what is left every pair of different components is looked
+at: in buckets of a FEW members as it stands, among the members of larger ones by an exact join,
+for sets of the threshold's similarity must share a shingle among the rarest few of both, at
+places that leave room for the overlap.
+
+Each set has PARITY bits: whether an odd or even number of its shingles falls on each.  Where two
+sets' bits differ, so do the sets, and at least in so many shingles.  Pairs that differ too much by
+their bits are left out in the join itself, so a large group of texts that are nearly, but not
+quite, similar enough does not make all of its pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from vigipanel.session import materialise, small_side
 BINS, ROWS = 160, 5
 EDGES = (np.arange(BINS + 1, dtype=np.float64) / BINS * 2.0**64)[1:-1].astype(np.uint64)
 STAR_ROUNDS = 2
+# Bits of a set, and the members of a bucket that are paired as they stand.
+PARITY, FEW = 1024, 32
 SKETCH = "doc_id bigint, alt bigint, n_shingles bigint, node binary, bands array<bigint>"
-SHINGLES = "doc_id bigint, alt bigint, node binary, shingles array<bigint>"
+SHINGLES = "doc_id bigint, alt bigint, node binary, n bigint, parity array<bigint>, shingles array<bigint>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 # Characters that are taken apart at a time, a longer text at once; longer words are hashed one by one.
@@ -135,6 +143,12 @@ def bands_of(signatures: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits in words of 64: whether an odd number of the hashes falls on each."""
+    count = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketch(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,16 +173,21 @@ def _sets(size: int):
         for batch in batches:
             sets = [*shingle_sets(batch.column(2).to_pylist(), size)]
             node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            arrays = [pa.array(node, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "alt", "node", "shingles"])
+            lists = [pa.array(of, pa.list_(pa.int64())) for of in ([*map(parity_of, sets)], [s.view(np.int64) for s in sets])]
+            arrays = [pa.array(node, pa.binary()), pa.array([*map(len, sets)], pa.int64()), *lists]
+            names = ["doc_id", "alt", "node", "n", "parity", "shingles"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
     return work
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold."""
+    """The pairs (a, b) whose full shingle sets meet the threshold; `pairs` is a stored table."""
+    # Up to a bound only the sets that a pair needs are shuffled.
+    wanted = small_side(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = sets.select("node", "shingles").join(wanted, "node", "left_semi")
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+        pairs = pairs.join(own.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     # 100 * both >= percent * union, with the union spelt out, so that the intersection is made once.
     both = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.where((100 + percent) * both >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
@@ -179,6 +198,19 @@ def _comparable(percent: int):
     return f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)"
 
 
+def _alike(percent: int):
+    """Nor can sets whose bits differ in more places than similar sets have shingles of their own."""
+    differ = " + ".join(f"bit_count(parity[{i}] ^ centre_parity[{i}])" for i in range(PARITY // 64))
+    return f"{100 + percent} * (n + centre_n - ({differ})) >= {2 * percent} * (n + centre_n)"
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be similar by their bits."""
+    ends = sets.select(F.col("node").alias("a"), "n", "parity")
+    pairs = pairs.join(ends, "a").join(ends.toDF("b", "centre_n", "centre_parity"), "b")
+    return pairs.where(_alike(percent)).select("a", "b")
+
+
 def _star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """One pair per member at most: with a bucket's centre from another component.
 
@@ -200,15 +232,34 @@ def _star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different components among `members` that can still be similar.
+    """The pairs of different components that share a bucket and can still be similar.
+
+    Buckets of up to FEW members are joined with themselves, so pairs grow with members; of the
+    larger ones only pairs that shared shingles leave possible are looked at.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = materialise(members.select("bucket", "node", "n", "component").join(sizes, "bucket"))
+    few = sized.where(F.col("size") <= FEW).drop("size").join(sets.select("node", "parity"), "node")
+    centres = few.select("bucket", *(F.col(c).alias(f"centre_{c}") for c in ("node", "n", "component", "parity")))
+    once = F.col("centre_node") < F.col("node")
+    apart = F.col("component") != F.col("centre_component")
+    pairs = few.join(centres, "bucket").where(once & apart).where(_comparable(percent)).where(_alike(percent))
+    pairs = pairs.select(F.col("centre_node").alias("a"), F.col("node").alias("b"))
+    nodes = sized.where(F.col("size") > FEW).select("node", "n", "component").distinct()
+    if not nodes.isEmpty():
+        pairs = pairs.unionByName(_rarest_pairs(nodes, sets, percent))
+    return pairs.distinct()
+
+
+def _rarest_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components among `nodes` that can be similar by their rarest shingles.
 
     Shingles are put in one order: first those that a single component has, then by their
-    frequency among the members.  With the common part of two sets at least `need` long, their
+    frequency among the nodes.  With the common part of two sets at least `need` long, their
     first common shingle has at least that many behind it in both, so each set is entered under
     its first few shingles only, and under none that its component has for itself: those are
-    only counted.  Under a shingle, the members outside its main component are paired with all others.
+    only counted.  Under a shingle, the nodes outside its main component are paired with all others.
     """
-    nodes = members.select("node", "n", "component").distinct()
     shingles = nodes.join(sets, "node").select("node", F.xxhash64("component").alias("part"), F.explode("shingles").alias("shingle"))
     spread = (F.count("*").alias("times"), F.min("part").alias("low"), F.max("part").alias("high"))
     known = shingles.groupBy("shingle").agg(*spread).where("low <> high").select("shingle", "times")
@@ -225,19 +276,21 @@ def _remaining_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     sizes = entries.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
     marked = entries.join(main.where("parts > 1").select("shingle", F.col("main.component").alias("main")), "shingle")
+    marked = marked.join(sets.select("node", "parity"), "node")
     centres = marked.where("component <> main").select(
         "shingle",
         F.col("node").alias("centre"),
         F.col("component").alias("centre_component"),
         F.col("n").alias("centre_n"),
         F.col("place").alias("centre_place"),
+        F.col("parity").alias("centre_parity"),
     )
     once = (F.col("component") == F.col("main")) | (F.col("centre") < F.col("node"))
     apart = F.col("component") != F.col("centre_component")
     room = F.least(F.col("n") - F.col("place"), F.col("centre_n") - F.col("centre_place"))
     fits = room * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
-    pairs = centres.join(marked, "shingle").where(apart & once & fits).where(_comparable(percent))
-    return pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = centres.join(marked, "shingle").where(apart & once & fits).where(_comparable(percent)).where(_alike(percent))
+    return pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))
 
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
@@ -313,8 +366,8 @@ def _node_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int)
         if members.isEmpty():
             break
         last = turn == STAR_ROUNDS
-        pairs = _remaining_pairs(members, sets, percent) if last else _star_pairs(members, turn, percent)
-        links = links.unionByName(materialise(linked(pairs, sets, percent)))
+        pairs = _remaining_pairs(members, sets, percent) if last else _close(_star_pairs(members, turn, percent), sets, percent)
+        links = links.unionByName(materialise(linked(materialise(pairs), sets, percent)))
         found = components(links)
         if not last:
             named = members.drop("component").join(found, "node", "left")
@@ -333,4 +386,4 @@ def _shingle_sets(rows: DataFrame, own: DataFrame, size: int) -> DataFrame:
     by_text = rows.where("doc_id is null").join(alts, "alt", "left_semi")
     sets = map_batches(by_id.unionByName(by_text, allowMissingColumns=True).select("doc_id", "alt", "text"), _sets(size), SHINGLES)
     wanted = own.select("node").distinct()
-    return sets.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return sets.drop("doc_id", "alt").join(wanted, "node", "left_semi").dropDuplicates(["node"])
