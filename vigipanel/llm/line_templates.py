@@ -245,7 +245,8 @@ def recurring_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, short_docs: i
     """
     line = ["leaf", "low", "high"]
     texts = rows.where("length(text) > 0").select("text_key", "text")
-    parsed = materialise(map_batches(texts, _parsed, PARSED))
+    # Hashes hardly repeat, so that a dictionary of them is only work.
+    parsed = materialise(map_batches(texts, _parsed, PARSED), **{"parquet.enable.dictionary": "false"})
     ends = parsed.groupBy("leaf").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
     # Few leaves are shared, so that those of a partition are hashed rather than all lines sorted.
     several = ends.where("least <> most").select("leaf").hint("shuffle_hash")
@@ -347,7 +348,8 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", count_col: str = "n_
     # A text's recurring lines are no more than its lines.
     lines = recurring_lines(rows, **limits)
     marks = lines.groupBy("text_key").agg(F.collect_list(F.struct("at", "alone")).alias("marks"))
-    marked = rows.join(materialise(marks), "text_key", "left").select(*carried, "text", "marks")
+    # Marks are hashed, so that texts need not be sorted.
+    marked = rows.join(materialise(marks).hint("shuffle_hash"), "text_key", "left").select(*carried, "text", "marks")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema[: len(carried)]), CLEANED])
     out = map_batches(marked, _cleaner(carried), schema).withColumnsRenamed({"text": text_col, "n_dropped": "_count"})
     out = out.withColumnsRenamed(back).withColumnRenamed("_count", count_col)

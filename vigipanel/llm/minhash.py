@@ -200,8 +200,8 @@ def _comparable(percent: int):
 
 def _alike(percent: int):
     """Nor can sets whose bits differ in more places than similar sets have shingles of their own."""
-    differ = " + ".join(f"bit_count(parity[{i}] ^ centre_parity[{i}])" for i in range(PARITY // 64))
-    return f"{100 + percent} * (n + centre_n - ({differ})) >= {2 * percent} * (n + centre_n)"
+    differ = "aggregate(zip_with(parity, centre_parity, (x, y) -> bit_count(x ^ y)), 0, (total, x) -> total + x)"
+    return f"{100 + percent} * (n + centre_n - {differ}) >= {2 * percent} * (n + centre_n)"
 
 
 def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
