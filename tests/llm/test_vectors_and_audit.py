@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigipanel.llm import filter_audit, hard_negatives, multi_index
+from vigipanel.llm import filter_audit, hard_negatives, multi_index, vector_blocks
 from vigipanel.llm.vector_blocks import BLOCK_BYTES, BLOCK_ROWS
 
 # filter interaction audit
@@ -245,3 +245,70 @@ def test_neighbours_of_little(spark):
     assert multi_index.search(spark.createDataFrame(one, VECTORS), queries).count() == 0
     two = multi_index.search(spark.createDataFrame([*one, (3, [2.0, 4.0], 1, 1, 1.0, 1)], VECTORS), queries).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(0, 1, 3)] and abs(two[0].score - 1) < 1e-15
+
+
+# blocks of queries beside blocks of rows
+
+
+def plans_of(monkeypatch):
+    """Plans of what the operators give to Python, as they are made."""
+    plans = []
+    for module in (hard_negatives, multi_index, vector_blocks):
+        if hasattr(module, "map_batches"):
+            given = module.map_batches
+            monkeypatch.setattr(module, "map_batches", lambda df, *a, given=given: plans.append(df._jdf.queryExecution().executedPlan().toString()) or given(df, *a))
+    return plans
+
+
+@pytest.mark.parametrize("operator", [hard_negatives.mine])
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch, operator):
+    """The planner knows a block's size but not its copies, which are as many as the other side's blocks."""
+    plans = plans_of(monkeypatch)
+    operator(spark.createDataFrame(vector_rows(), VECTORS), F.col("vec_id") % 50 == 0, per_block=20).collect()
+    dealt = [p for p in plans if "explode" in p]
+    assert dealt and not any("Broadcast" in p for p in dealt)
+
+
+@pytest.mark.parametrize("teams, team_blocks, held", [(1, 100, 1 << 30), (3, 4, 1), (2, 7, 500)])
+def test_teams_and_sets_give_the_same(spark, monkeypatch, teams, team_blocks, held):
+    rows, anchors = vector_rows(4), F.col("vec_id") % 50 == 0
+    table = spark.createDataFrame(rows, VECTORS)
+    for name, value in (("TEAMS", teams), ("TEAM_BLOCKS", team_blocks), ("HELD_BYTES", held)):
+        monkeypatch.setattr(vector_blocks, name, value)
+    got = sorted(map(tuple, hard_negatives.mine(table, anchors, per_block=20).collect()))
+    assert got == mined(rows) and len(got) > 50
+    found, want = {}, true_neighbours(rows)
+    for r in multi_index.search(table, anchors, pool=10_000, per_block=20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.score))
+    for i, near in found.items():
+        assert np.allclose([s for _, s in sorted(near)], [-t for t, _ in want[i]], atol=1e-12)
+    assert found.keys() == {i for i, near in want.items() if near}
+
+
+def block_of(rng, label, n, dims, scale):
+    values = np.floor(scale * rng.normal(size=(n, dims)))
+    labels = np.sort(rng.integers(0, label, n))
+    whole = lambda x: np.asarray(x, "<i8").tobytes()
+    ids = rng.permutation(n)
+    row = {"n": n, "dims": dims, "ids": whole(ids), "labels": whole(labels), "alts": whole(ids), "vectors": values.astype("<f8").tobytes()}
+    return row, values, labels, ids
+
+
+@pytest.mark.parametrize("dims, scale", [(64, 30), (64, 1e5), (5, 30), (0, 1)])
+def test_scans_of_several_blocks_equal_all_products(dims, scale):
+    """Anchors carry their best from block to block, in single precision only where that is exact."""
+    rng = np.random.default_rng(dims)
+    asked, anchors, own, whose = block_of(rng, 3, 40, dims, scale)
+    blocks = [block_of(rng, 3, 300, dims, scale) for _ in range(5)]
+    scores = [(anchors.astype(np.int64) @ v.T.astype(np.int64), labels, ids) for _, v, labels, ids in blocks]
+    table = [r for b in hard_negatives._positives(4)([asked], iter([b[0] for b in blocks])) for r in b.to_pylist()]
+    bars = []
+    for i, (a, label) in enumerate(zip(whose, own)):
+        found = sorted((-int(s[i, j]), int(ids[j])) for s, labels, ids in scores for j in np.flatnonzero((labels == label) & (ids != a)))[:4]
+        assert [(-r["positive_score"], r["positive_id"]) for r in table if r["anchor_id"] == a] == found
+        bars.append({"id": int(a), "alt": int(a), "scores": [-s for s, _ in found]})
+    table = [r for b in hard_negatives._negatives(3, 50, 95)([{**asked, "bars": bars}], iter([b[0] for b in blocks])) for r in b.to_pylist()]
+    for i, (a, label, bar) in enumerate(zip(whose, own, bars)):
+        for place, p in enumerate(bar["scores"]):
+            found = sorted((-int(s[i, j]), int(ids[j])) for s, labels, ids in scores for j in np.flatnonzero((labels != label) & (50 * p <= 100 * s[i]) & (100 * s[i] <= 95 * p)))[:3]
+            assert [(-r["negative_score"], r["negative_id"]) for r in table if r["anchor_id"] == a and r["place"] == place] == found

@@ -1,13 +1,14 @@
 """Vectors in blocks of bounded size, and a set of queries in blocks against all of them.
 
-A block is one row: the ids, labels and values of its vectors as binary columns.  A block is
-small enough that one of rows and one of queries fit in a task, and every pair of them is a
-group of its own, so work is dealt evenly whatever the vectors or labels are.
+A block is one row: the ids, labels and values of its vectors as binary columns.  Blocks are
+dealt by a hash of their rows, so work is dealt evenly whatever the vectors or labels are.  Where
+queries meet rows, a task holds a set of query blocks while a team of row blocks passes by.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,11 @@ from vigipanel.llm.common import map_batches
 
 # A block holds at most about this many vectors, fewer of long ones.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 2 << 20
+# Teams have a block each up to this many, then more of them up to TEAM_BLOCKS; a set of queries is
+# held in about so many bytes, in double precision.
+TEAMS, TEAM_BLOCKS, HELD_BYTES = 24, 32, 32 << 20
+# Partitions that teams are dealt to, at most.
+MOST_PARTITIONS = 4096
 ROW = "vec_id bigint, label bigint, alt bigint, dims int, vector binary"
 BLOCK = "dims int, block int, n int, ids binary, labels binary, alts binary, vectors binary"
 
@@ -105,6 +111,53 @@ def packed(rows: DataFrame, n_blocks: F.Column) -> DataFrame:
     return map_batches(dealt.select("dims", "block", "vec_id", "label", "alt", "vector"), _packed, BLOCK)
 
 
+def sets_for(n: int, n_blocks: F.Column) -> F.Column:
+    """The number of sets that n queries in so many blocks are held in."""
+    needed = F.ceil(F.lit(8.0 * n / HELD_BYTES) * F.col("dims"))
+    return F.least(n_blocks, F.greatest(F.lit(1), needed)).cast("int")
+
+
+def teams_for(n_blocks: F.Column) -> F.Column:
+    """The number of teams of so many row blocks."""
+    return F.least(n_blocks, F.greatest(F.lit(TEAMS), F.ceil(n_blocks / F.lit(TEAM_BLOCKS)))).cast("int")
+
+
+def _meeting(work: Callable[[list[dict], Iterator[dict]], Iterator[pa.RecordBatch]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        for _, group in itertools.groupby(records, lambda r: (r["dims"], r["team"], r["held"])):
+            asked: list[dict] = []
+            for side, part in itertools.groupby(group, lambda r: r["side"]):
+                if side == 0:
+                    asked = list(part)
+                elif asked:
+                    yield from work(asked, part)
+
+    return run
+
+
+def met(
+    rows: DataFrame, n_rows: F.Column, queries: DataFrame, n_sets: F.Column,
+    work: Callable[[list[dict], Iterator[dict]], Iterator[pa.RecordBatch]], schema: str,
+) -> DataFrame:
+    """What `work(blocks of queries, blocks of rows)` makes of every block of queries and every
+    block of rows of the same length of vectors.
+
+    It is called once for each set and team, and gets the set as a list and the team's blocks one
+    at a time.  Rows are dealt once for each set and queries once for each team.  There is no join:
+    the planner would take the copies of a block for one, and broadcast them all.
+    """
+    teams = teams_for(n_rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = queries.withColumn("held", F.pmod("block", n_sets)).withColumn("team", each(teams)).withColumn("side", F.lit(0))
+    passing = rows.withColumn("held", each(n_sets)).withColumn("team", F.pmod("block", teams)).withColumn("side", F.lit(1))
+    # Long vectors have the most blocks.  Twice as many partitions as groups, so that few hold several.
+    groups = rows.agg(F.max("dims").alias("dims")).select(teams * n_sets).first()[0] or 1
+    key = ["dims", "team", "held"]
+    dealt = asked.unionByName(passing, allowMissingColumns=True).repartition(min(2 * groups, MOST_PARTITIONS), *key)
+    return map_batches(dealt.sortWithinPartitions(*key, "side", "block"), _meeting(work), schema)
+
+
 def paired(rows: DataFrame, n_rows: F.Column, queries: DataFrame, n_queries: F.Column) -> DataFrame:
     """Every block of queries beside every block of rows of the same length of vectors.
 
