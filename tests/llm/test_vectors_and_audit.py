@@ -260,7 +260,7 @@ def plans_of(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("operator", [hard_negatives.mine])
+@pytest.mark.parametrize("operator", [hard_negatives.mine, multi_index.search])
 def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch, operator):
     """The planner knows a block's size but not its copies, which are as many as the other side's blocks."""
     plans = plans_of(monkeypatch)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigipanel.llm.common import map_batches
-from vigipanel.llm.vector_blocks import BLOCK, blocks_for, numbers, packed, paired, valid_rows
+from vigipanel.llm.vector_blocks import BLOCK, blocks_for, met, numbers, packed, sets_for, valid_rows
 from vigipanel.session import materialise
 
 # Least bits of a code (a vector of many dimensions has two for each), vectors that it is learned
@@ -98,27 +98,30 @@ class Index:
         All codes asked go through the probes together; those that have enough leave.
         """
         (n, m), q, top = self.codes.shape, len(asked), 8 * self.codes.shape[1]
-        own, words = self.codes.view("<u8"), np.ascontiguousarray(asked).view("<u8")
-        # By query and code in one row of numbers: query * n + code.
-        seen = np.zeros(q * n, bool)
-        distance = np.full(q * n, top + 1, np.int16)
+        own, words = (np.ascontiguousarray(np.ascontiguousarray(x).view("<u8").T) for x in (self.codes, asked))
+        # By query and code in one row of numbers, a power of two for each query.
+        shift = (n - 1).bit_length()
+        seen = np.zeros(q << shift, bool)
+        distance = np.full(q << shift, top + 1, np.int16)
         # How many codes seen so far are at each distance.
         counts = np.zeros((q, top + 1), np.int64)
         limit, active = np.full(q, top), np.arange(q)
         for t, masks in enumerate(rings()):
             for j in range(m):
                 values = (asked[active, j][:, None] ^ masks).astype(np.int64).ravel()
-                begin = self.starts[j, values]
-                size = self.starts[j, values + 1] - begin
+                begin = self.starts[j].take(values)
+                size = self.starts[j].take(values + 1) - begin
                 total = int(size.sum())
                 if total:
-                    offset = np.repeat(begin - np.concatenate([[0], size.cumsum()[:-1]]), size)
-                    hit = self.places[j, offset + np.arange(total)]
-                    place = np.repeat(np.repeat(active * n, len(masks)), size) + hit
-                    place = place[~seen.take(place)]
+                    # A query's hits in one bucket after another: places of the index, then the query's own numbers.
+                    hit = np.repeat(begin - np.concatenate([[0], size[:-1].cumsum()]), size)
+                    hit += np.arange(total)
+                    place = np.repeat(active << shift, size.reshape(len(active), -1).sum(1))
+                    place += self.places[j].take(hit)
+                    place = place.compress(~seen.take(place))
                     seen[place] = True
-                    row, hit = np.divmod(place, n)
-                    apart = np.bitwise_count(own[hit] ^ words[row]).sum(1, dtype=np.int64)
+                    row, hit = place >> shift, place & ((1 << shift) - 1)
+                    apart = sum(np.bitwise_count(word.take(hit) ^ other.take(row)).astype(np.int64) for word, other in zip(own, words))
                     distance[place] = apart
                     counts += np.bincount(row * (top + 1) + apart, minlength=counts.size).reshape(counts.shape)
                 # Complete up to here: each substring but the first j + 1 was probed to t - 1.
@@ -130,8 +133,8 @@ class Index:
                 limit[active[done & ~whole]] = radius
                 active = active[~done]
                 if not len(active):
-                    return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, n) <= limit[:, None]]
-        return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, n) <= limit[:, None]]
+                    return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, -1)[:, :n] <= limit[:, None]]
+        return [np.flatnonzero(near[self.members]) for near in distance.reshape(q, -1)[:, :n] <= limit[:, None]]
 
 
 def _learned(bits: int):
@@ -164,12 +167,24 @@ def learned(rows: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> DataFram
     return materialise(map_batches(dealt, _learned(bits), MODEL))
 
 
-def _coded(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, codes) of a block that has its model beside it."""
-    dims = row["dims"]
-    vectors = units(numbers(row[f"{prefix}vectors"], row[f"{prefix}n"] * dims).reshape(-1, dims))
-    directions = np.frombuffer(row[f"{prefix}directions"], "<f8").reshape(dims, -1)
-    return vectors, codes_of(vectors, np.frombuffer(row[f"{prefix}mean"], "<f8"), directions)
+def _vectors(row: dict) -> np.ndarray:
+    """A block's unit vectors."""
+    return units(numbers(row["vectors"], row["n"] * row["dims"]).reshape(-1, row["dims"]))
+
+
+def _codes(row: dict) -> np.ndarray:
+    """The codes of a block that has its model beside it."""
+    directions = np.frombuffer(row["directions"], "<f8").reshape(row["dims"], -1)
+    return codes_of(_vectors(row), np.frombuffer(row["mean"], "<f8"), directions)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = batch.slice(i, 1)
+            codes = pa.array([_codes(own.to_pylist()[0]).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), codes], [*names, "codes"])
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +192,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             own = batch.slice(i, 1)
-            index = Index.of(_coded(own.to_pylist()[0])[1])
+            index = Index.of(_codes(own.to_pylist()[0]))
             made = [index.codes, index.places, index.members, index.starts]
             arrays = [pa.array([x.tobytes()], pa.binary()) for x in made]
             yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), *arrays], [*names, "codes", "places", "members", "starts"])
@@ -198,18 +213,24 @@ def nearest(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, r
 
 
 def _searched(k: int, pool: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in (p for batch in batches for i in range(batch.num_rows) for p in batch.slice(i, 1).to_pylist()):
-            index, ids = Index.read(pair), np.frombuffer(pair["ids"], "<i8")
-            vectors = units(numbers(pair["vectors"], pair["n"] * pair["dims"]).reshape(-1, pair["dims"]))
-            asked, codes = _coded(pair, "q_")
-            own, alts = (np.frombuffer(pair[c], "<i8") for c in ("q_ids", "q_alts"))
-            out = [[], [], [], []]
-            for query, near, query_id, alt in zip(asked, index.within(codes, pool), own, alts):
-                found, scores = nearest(vectors, ids, query, query_id, near, k)
-                for column, value in zip(out, (np.full(len(found), query_id), np.full(len(found), alt), found, scores)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "query_alt", "vec_id", "score"])
+    def work(asked: list[dict], blocks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for row in asked:
+            own, alts = (np.frombuffer(row[c], "<i8") for c in ("ids", "alts"))
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
+            held.append((_vectors(row), codes, own, alts, [(np.zeros(0, np.int64), np.zeros(0))] * row["n"]))
+        for row in blocks:
+            index, ids, vectors = Index.read(row), np.frombuffer(row["ids"], "<i8"), _vectors(row)
+            for queries, codes, own, _, best in held:
+                for i, near in enumerate(index.within(codes, pool)):
+                    found = nearest(vectors, ids, queries[i], own[i], near, k)
+                    both, scores = (np.concatenate(x) for x in zip(best[i], found))
+                    first = np.lexsort((both, -scores))[:k]
+                    best[i] = both[first], scores[first]
+        for _, _, own, alts, best in held:
+            sizes = [len(ids) for ids, _ in best]
+            out = [np.repeat(own, sizes), np.repeat(alts, sizes), *(np.concatenate(x) for x in zip(*best))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "query_alt", "vec_id", "score"])
 
     return work
 
@@ -246,8 +267,9 @@ def search(
     in_rows, in_asked = blocks_for(n_rows, per_block), blocks_for(n_asked, per_block or QUERIES)
     models = learned(rows, bits, sample)
     index = build_index(rows, in_rows, models)
-    questions = materialise(packed(asked, in_asked).join(models, "dims"))
-    found = map_batches(paired(index, in_rows, questions, in_asked), _searched(k, pool), FOUND)
+    # Queries are stored with their codes: a model can be larger than the block beside it.
+    questions = materialise(map_batches(packed(asked, in_asked).join(models, "dims"), _asked, BLOCK + ", codes binary"))
+    found = met(index, in_rows, questions, sets_for(n_asked, in_asked), _searched(k, pool), FOUND)
     order = Window.partitionBy("query_id", "query_alt").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -156,14 +156,3 @@ def met(
     key = ["dims", "team", "held"]
     dealt = asked.unionByName(passing, allowMissingColumns=True).repartition(min(2 * groups, MOST_PARTITIONS), *key)
     return map_batches(dealt.sortWithinPartitions(*key, "side", "block"), _meeting(work), schema)
-
-
-def paired(rows: DataFrame, n_rows: F.Column, queries: DataFrame, n_queries: F.Column) -> DataFrame:
-    """Every block of queries beside every block of rows of the same length of vectors.
-
-    Query columns have a q_ before their name.  Both sides are dealt by the pair's own key.
-    """
-    asked = queries.select(*(F.col(c).alias(c if c == "dims" else f"q_{c}") for c in queries.columns))
-    left = rows.withColumn("q_block", F.explode(F.sequence(F.lit(0), n_queries - 1)))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_rows - 1)))
-    return left.join(right, ["dims", "block", "q_block"])
